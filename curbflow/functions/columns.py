@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 MICROS_PER_MINUTE = 60_000_000
 
 
-def micros_between(start: str, end: str) -> Column:
+def micros_sql(start: str, end: str) -> str:
     """Microseconds from ``start`` to ``end`` (naive timestamps, UTC session)."""
-    return F.unix_micros(F.col(end).cast("timestamp")) - F.unix_micros(
-        F.col(start).cast("timestamp")
-    )
+    return f"(unix_micros(CAST({end} AS TIMESTAMP)) - unix_micros(CAST({start} AS TIMESTAMP)))"
 
 
-def minutes_between(start: str, end: str) -> Column:
-    return micros_between(start, end) / F.lit(float(MICROS_PER_MINUTE))
+def minutes_sql(start: str, end: str) -> str:
+    return f"{micros_sql(start, end)} / {MICROS_PER_MINUTE}D"
 
 
 def clean_double(column: Column) -> Column:
@@ -59,13 +57,6 @@ def rate_change(post: str | Column, pre: str | Column) -> Column:
     return F.try_divide((post - pre).cast("double"), pre.cast("double"))
 
 
-def floored_ratio(top: str | Column, base: str, floor: float) -> Column:
-    """Ratio whose denominator never drops below ``floor`` and stays NULL when missing."""
-    top = F.col(top) if isinstance(top, str) else top
-    bottom = F.when(F.col(base).isNotNull(), F.greatest(F.col(base), F.lit(float(floor))))
-    return top / bottom
-
-
 def is_true(condition: Column) -> Column:
     """A comparison with a missing value counts as false."""
     return F.coalesce(condition, F.lit(False))

@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 
 from curbflow import labels as L
 from curbflow.functions.columns import label_map
+from curbflow.session import materialize, ship_to_workers
 from curbflow.spec import PolicySpec
 
+ship_to_workers(__name__)
+
 DID_METRICS = (
     "log_order_count", "avg_fare_per_mile", "avg_driver_pay_per_minute", "avg_response_time_min",
 )
@@ -200,7 +203,8 @@ def did_fixed_effects(
     enough = F.lit(False)
     for metric in present:
         enough = enough | ((F.col("metric_name") == metric) & (filled[metric] > min_rows))
-    cells = did_cells(panel, present).where(enough)
+    # Four consumers read the cells; a written table spares them the panel.
+    cells = materialize(did_cells(panel, present).where(enough), "cells")
 
     n = F.col("n")
     zone_means = cells.groupBy("metric_name", "zone_id").agg(

@@ -10,16 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbflow.functions.columns import (
-    MICROS_PER_MINUTE,
-    clean_double,
-    is_true,
-    micros_between,
-    minutes_between,
-)
+from curbflow.functions.columns import MICROS_PER_MINUTE, micros_sql, minutes_sql
 from curbflow.spec import TripRules
 
 YELLOW, RIDE_HAILING = "yellow_taxi", "high_volume_fhv"
@@ -34,14 +28,22 @@ class Target:
     raw: str | None = None
     default: float | None = None
 
-    def column(self, available: Sequence[str]) -> Column:
+    def sql(self, available: Sequence[str]) -> str:
+        """Typed expression; text that does not parse becomes NULL, and so does NaN.
+
+        Spark orders NaN above every number, so a NaN left in place would break
+        rules that must ignore missing values.
+        """
+        gap = "NULL" if self.default is None else f"{self.default}"
+        gap = f"CAST({gap} AS {self.type})"
         if self.raw is None or self.raw not in available:
-            return F.lit(self.default).cast(self.type).alias(self.name)
-        value = F.col(self.raw)
-        value = clean_double(value) if self.type == "double" else value.try_cast(self.type)
+            return f"{gap} AS {self.name}"
+        value = f"try_cast(`{self.raw}` AS {self.type})"
+        if self.type == "double":
+            value = f"nanvl({value}, CAST(NULL AS DOUBLE))"
         if self.default is not None:
-            value = F.coalesce(value, F.lit(self.default).cast(self.type))
-        return value.alias(self.name)
+            value = f"coalesce({value}, {gap})"
+        return f"{value} AS {self.name}"
 
 
 # Canonical schemas and the raw column behind each of their columns.
@@ -120,9 +122,10 @@ STANDARD_ORDER = (
 
 
 def _project(raw: DataFrame, service: str, targets: Sequence[Target]) -> DataFrame:
-    extra = [F.col("source_trip_id")] if "source_trip_id" in raw.columns else []
-    columns = [target.column(raw.columns) for target in targets]
-    return raw.select(F.lit(service).alias("service_type"), *columns, *extra)
+    available = raw.columns
+    extra = ["source_trip_id"] if "source_trip_id" in available else []
+    columns = [target.sql(available) for target in targets]
+    return raw.selectExpr(f"'{service}' AS service_type", *columns, *extra)
 
 
 def validity_rules(rules: TripRules) -> list[tuple[str, str]]:
@@ -148,20 +151,19 @@ def standard_trips(raw: DataFrame, service: str, rules: TripRules | None = None)
         f"WHEN {predicate} THEN '{reason}'"
         for reason, predicate in validity_rules(rules or TripRules())
     )
-    pickup = F.col("pickup_datetime")
+    minutes = minutes_sql("pickup_datetime", "dropoff_datetime")
     return (
         _project(raw, service, STANDARD_TARGETS[service])
-        .withColumns(
-            {
-                "trip_duration_min": minutes_between("pickup_datetime", "dropoff_datetime"),
-                "pickup_date": F.to_date(pickup),
-                "pickup_hour": F.hour(pickup),
-                "pickup_weekday": F.weekday(pickup),
-                "pickup_month": F.date_format(pickup, "yyyy-MM"),
-            }
+        .selectExpr(
+            "*",
+            f"{minutes} AS trip_duration_min",
+            "to_date(pickup_datetime) AS pickup_date",
+            "hour(pickup_datetime) AS pickup_hour",
+            "weekday(pickup_datetime) AS pickup_weekday",
+            "date_format(pickup_datetime, 'yyyy-MM') AS pickup_month",
         )
-        .withColumn("invalid_reason", F.expr(f"CASE {branches} END"))
-        .withColumn("is_valid_trip", F.col("invalid_reason").isNull())
+        .selectExpr("*", f"CASE {branches} END AS invalid_reason")
+        .selectExpr("*", "invalid_reason IS NULL AS is_valid_trip")
         .select(*STANDARD_ORDER)
     )
 
@@ -192,15 +194,13 @@ def policy_trips(raw: DataFrame, service: str, rules: TripRules | None = None) -
     """Rows fit for policy metrics, with trip minutes and the response proxies."""
     rules = rules or TripRules()
     trips = _project(_pushdown_guard(raw, service, rules), service, POLICY_TARGETS[service])
-    trips = trips.withColumn("trip_time", minutes_between("pickup_datetime", "dropoff_datetime"))
-    kept = trips.where(
-        F.col("pickup_datetime").isNotNull()
-        & F.col("dropoff_datetime").isNotNull()
-        & F.col("pickup_location_id").isNotNull()
-        & F.col("dropoff_location_id").isNotNull()
-        & F.col("trip_miles").between(rules.min_trip_miles, rules.max_trip_miles)
-        & F.col("trip_time").between(1, rules.max_trip_hours * 60)
-        & (F.col("base_passenger_fare") >= rules.min_fare_amount)
+    minutes = minutes_sql("pickup_datetime", "dropoff_datetime")
+    kept = trips.selectExpr("*", f"{minutes} AS trip_time").where(
+        f"""pickup_datetime IS NOT NULL AND dropoff_datetime IS NOT NULL
+        AND pickup_location_id IS NOT NULL AND dropoff_location_id IS NOT NULL
+        AND trip_miles BETWEEN {rules.min_trip_miles}D AND {rules.max_trip_miles}D
+        AND trip_time BETWEEN 1D AND {rules.max_trip_hours * 60}D
+        AND base_passenger_fare >= {rules.min_fare_amount}D"""
     )
     return response_proxies(kept)
 
@@ -211,14 +211,17 @@ def response_proxies(trips: DataFrame, longest_min: int = 240, slow_min: int = 1
     ``response_us`` keeps the exact microseconds for the quantile operators.
     """
     limit = longest_min * MICROS_PER_MINUTE
-    arrival = micros_between("request_datetime", "on_scene_datetime")
-    wait = micros_between("request_datetime", "pickup_datetime")
-    minutes = F.lit(float(MICROS_PER_MINUTE))
-    return (
-        trips.withColumn("response_us", F.when(arrival.between(0, limit), arrival))
-        .withColumn("response_time_min", F.col("response_us") / minutes)
-        .withColumn("pickup_wait_proxy_min", F.when(wait.between(0, limit), wait) / minutes)
-        .withColumn("slow_response_flag", is_true(F.col("response_time_min") > slow_min))
+    arrival = micros_sql("request_datetime", "on_scene_datetime")
+    wait = micros_sql("request_datetime", "pickup_datetime")
+    return trips.selectExpr(
+        "*",
+        f"CASE WHEN {arrival} BETWEEN 0 AND {limit} THEN {arrival} END AS response_us",
+        f"CASE WHEN {wait} BETWEEN 0 AND {limit} THEN {wait} / {MICROS_PER_MINUTE}D END "
+        "AS pickup_wait_proxy_min",
+    ).selectExpr(
+        "*",
+        f"response_us / {MICROS_PER_MINUTE}D AS response_time_min",
+        f"coalesce(response_us / {MICROS_PER_MINUTE}D > {slow_min}, false) AS slow_response_flag",
     )
 
 

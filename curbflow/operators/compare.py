@@ -18,7 +18,7 @@ from curbflow.functions.columns import (
     zero,
 )
 from curbflow.functions.quantiles import exact_quantiles
-from curbflow.functions.scores import bounds, floored_minmax
+from curbflow.functions.scores import BOUNDS, floored_minmax, with_bounds
 from curbflow.spec import PolicySpec
 
 PERIODS = (("pre", False), ("post", True))
@@ -194,14 +194,13 @@ def driver_pressure(features: DataFrame) -> DataFrame:
         }
     )
     tolls, pay = zero("tolls_change_rate"), zero("driver_pay_per_minute_change_rate")
-    limits = bounds(wide, {"tolls": tolls, "pay": pay})
-    scored = wide.withColumn(
-        "driver_pressure_score",
-        (
-            floored_minmax(tolls, limits, "tolls")
-            + floored_minmax(pay, limits, "pay", inverted=True)
+    scored = (
+        with_bounds(wide, {"tolls": tolls, "pay": pay})
+        .withColumn(
+            "driver_pressure_score",
+            (floored_minmax(tolls, "tolls") + floored_minmax(pay, "pay", inverted=True)) / 2,
         )
-        / 2,
+        .drop(BOUNDS)
     )
     threshold = scored.agg(F.percentile("driver_pressure_score", 0.9).alias("p90")).scalar()
     return scored.withColumns(

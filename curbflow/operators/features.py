@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbflow.functions.columns import floored_ratio, is_true
+from curbflow.functions.columns import is_true
 from curbflow.labels import POST, PRE
 from curbflow.spec import PolicySpec
 
@@ -51,12 +51,11 @@ def _role(dimension: DataFrame, role: str) -> DataFrame:
 
 def calendar(df: DataFrame, spec: PolicySpec) -> DataFrame:
     """Columns that follow from the trip date alone."""
-    return df.withColumns(
-        {
-            "weekday": F.weekday("trip_date"),
-            "is_weekend": F.weekday("trip_date") >= 5,
-            "post_policy": F.col("trip_date") >= F.lit(spec.start_date),
-        }
+    return df.selectExpr(
+        "*",
+        "weekday(trip_date) AS weekday",
+        "weekday(trip_date) >= 5 AS is_weekend",
+        f"trip_date >= DATE '{spec.start_iso}' AS post_policy",
     )
 
 
@@ -66,44 +65,48 @@ def policy_features(trips: DataFrame, zones: DataFrame, spec: PolicySpec) -> Dat
     joined = trips.join(_role(dimension, "pickup"), "pickup_location_id", "left").join(
         _role(dimension, "dropoff"), "dropoff_location_id", "left"
     )
-    for role in ("pickup", "dropoff"):
-        joined = joined.withColumn(
-            f"{role}_zone_group", F.coalesce(F.col(f"_{role}_group"), F.lit("other"))
-        )
-    flags = {
-        f"is_{role}_{group}": F.col(f"{role}_zone_group") == f"{group}_zones"
+    grouped = joined.selectExpr(
+        "*",
+        "coalesce(_pickup_group, 'other') AS pickup_zone_group",
+        "coalesce(_dropoff_group, 'other') AS dropoff_zone_group",
+        "coalesce(_pickup_airport, false) OR coalesce(_dropoff_airport, false) "
+        "AS is_airport_trip",
+        f"DATE '{spec.start_iso}' AS policy_date",
+        "to_date(pickup_datetime) AS trip_date",
+        "hour(pickup_datetime) AS trip_hour",
+    ).drop("_pickup_group", "_dropoff_group", "_pickup_airport", "_dropoff_airport")
+    flags = [
+        f"{role}_zone_group = '{group}_zones' AS is_{role}_{group}"
         for group in GROUPS
         for role in ("pickup", "dropoff")
-    }
-    joined = joined.withColumns(flags)
-    joined = joined.withColumns(
-        {
-            "is_cross_treated_trip": F.col("is_pickup_treated") != F.col("is_dropoff_treated"),
-            "is_airport_trip": is_true(F.col("_pickup_airport"))
-            | is_true(F.col("_dropoff_airport")),
-            "policy_date": F.lit(spec.start_date),
-            "trip_date": F.to_date("pickup_datetime"),
-            "trip_hour": F.hour("pickup_datetime"),
-        }
-    ).drop("_pickup_group", "_dropoff_group", "_pickup_airport", "_dropoff_airport")
-    return unit_economics(calendar(joined, spec))
+    ]
+    flagged = grouped.selectExpr(
+        "*", *flags,
+        "(pickup_zone_group = 'treated_zones') != (dropoff_zone_group = 'treated_zones') "
+        "AS is_cross_treated_trip",
+    )
+    return unit_economics(calendar(flagged, spec))
 
 
 def unit_economics(trips: DataFrame) -> DataFrame:
     """Eight ratios with floored denominators (0.01 mile, 1 minute, 0.01 dollar)."""
-    miles, minutes, fare = ("trip_miles", 0.01), ("trip_time", 1), ("base_passenger_fare", 0.01)
-    policy_fees = F.col("congestion_surcharge") + F.col("cbd_congestion_fee")
-    return trips.withColumns(
-        {
-            "fare_per_mile": floored_ratio("base_passenger_fare", *miles),
-            "fare_per_minute": floored_ratio("base_passenger_fare", *minutes),
-            "driver_pay_per_mile": floored_ratio("driver_pay", *miles),
-            "driver_pay_per_minute": floored_ratio("driver_pay", *minutes),
-            "tip_rate": floored_ratio("tips", *fare),
-            "driver_pay_to_fare_ratio": floored_ratio("driver_pay", *fare),
-            "toll_burden_rate": floored_ratio("tolls", *fare),
-            "policy_fee_burden_rate": floored_ratio(policy_fees, *fare),
-        }
+    floors = {
+        "mile": "greatest(trip_miles, 0.01D)",
+        "minute": "greatest(trip_time, 1D)",
+        "fare": "greatest(base_passenger_fare, 0.01D)",
+    }
+    ratios = {
+        "fare_per_mile": ("base_passenger_fare", "mile"),
+        "fare_per_minute": ("base_passenger_fare", "minute"),
+        "driver_pay_per_mile": ("driver_pay", "mile"),
+        "driver_pay_per_minute": ("driver_pay", "minute"),
+        "tip_rate": ("tips", "fare"),
+        "driver_pay_to_fare_ratio": ("driver_pay", "fare"),
+        "toll_burden_rate": ("tolls", "fare"),
+        "policy_fee_burden_rate": ("(congestion_surcharge + cbd_congestion_fee)", "fare"),
+    }
+    return trips.selectExpr(
+        "*", *[f"{top} / {floors[unit]} AS {name}" for name, (top, unit) in ratios.items()]
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbflow import labels as L
-from curbflow.functions.columns import clean_double, minutes_between
+from curbflow.functions.columns import clean_double, minutes_sql
 from curbflow.operators.cleaning import RIDE_HAILING, YELLOW
 from curbflow.spec import TripRules
 
@@ -29,7 +29,7 @@ def quality_profile(raw: DataFrame, service: str, rules: TripRules | None = None
             "_end": F.col(end).try_cast("timestamp_ntz"),
             "_miles": clean_double(F.col(distance)),
         }
-    ).withColumn("_minutes", minutes_between("_start", "_end"))
+    ).selectExpr("*", f"{minutes_sql('_start', '_end')} AS _minutes")
     counters = {
         "null_pickup_time": F.col("_start").isNull(),
         "null_dropoff_time": F.col("_end").isNull(),

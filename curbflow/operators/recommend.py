@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curbflow import labels as L
 from curbflow.functions.columns import hour_window, is_true, rate_change, zero
-from curbflow.functions.scores import bounds, guarded_minmax
+from curbflow.functions.scores import BOUNDS, guarded_minmax, with_bounds
 from curbflow.operators.compare import ZONE_KEYS, pre_post
 from curbflow.operators.timeseries import peak_hour
 
@@ -52,25 +52,27 @@ def _positive(name: str) -> Column:
 
 def _sub_scores(df: DataFrame, metrics: dict[str, Column], toll: str, spill_name: str):
     """Append the four sub-scores and the blended action score."""
-    limits = bounds(df, metrics)
-
     def score(name):
-        return guarded_minmax(metrics[name], limits, name)
+        return guarded_minmax(metrics[name], name)
 
-    scored = df.withColumns(
-        {
-            "demand_gap_score": score("gap"),
-            "driver_pressure_score": _clip01(score(toll) - score("pay")),
-            "passenger_price_pressure_score": score("price"),
-            spill_name: score("spill"),
-        }
-    )
-    return scored.withColumn(
-        "final_action_score",
-        _blend(
-            F.col("demand_gap_score"), F.col("driver_pressure_score"),
-            F.col("passenger_price_pressure_score"), F.col(spill_name),
-        ),
+    return (
+        with_bounds(df, metrics)
+        .withColumns(
+            {
+                "demand_gap_score": score("gap"),
+                "driver_pressure_score": _clip01(score(toll) - score("pay")),
+                "passenger_price_pressure_score": score("price"),
+                spill_name: score("spill"),
+            }
+        )
+        .drop(BOUNDS)
+        .withColumn(
+            "final_action_score",
+            _blend(
+                F.col("demand_gap_score"), F.col("driver_pressure_score"),
+                F.col("passenger_price_pressure_score"), F.col(spill_name),
+            ),
+        )
     )
 
 

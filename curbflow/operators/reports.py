@@ -145,14 +145,15 @@ def pay_change_histogram(pressure: DataFrame, bins: int = 30) -> DataFrame:
     )
     limits = values.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
     # a constant column gets a unit range around its value
-    flat = limits["lo"] == limits["hi"]
-    low = F.when(flat, limits["lo"] - 0.5).otherwise(limits["lo"])
-    high = F.when(flat, limits["hi"] + 0.5).otherwise(limits["hi"])
-    width = (high - low) / bins
-    place = F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1)).cast("int")
+    pad = F.when(F.col("r.lo") == F.col("r.hi"), 0.5).otherwise(0.0)
+    ranged = (
+        values.withColumn("r", limits)
+        .select("v", (F.col("r.lo") - pad).alias("low"), (F.col("r.hi") + pad).alias("high"))
+        .select("v", "low", ((F.col("high") - F.col("low")) / bins).alias("width"))
+    )
+    place = F.least(F.floor((F.col("v") - F.col("low")) / F.col("width")), F.lit(bins - 1))
     return (
-        values.select(place.alias("bin"), low.alias("low"), width.alias("width"))
-        .groupBy("bin", "low", "width")
+        ranged.groupBy(place.cast("int").alias("bin"), "low", "width")
         .agg(F.count(F.lit(1)).alias("routes"))
         .select(
             "bin",
@@ -175,11 +176,7 @@ def report_scalars(
     drops: DataFrame, pickup: DataFrame, routes: DataFrame, response: DataFrame,
     windows: DataFrame,
 ) -> DataFrame:
-    """One row of headline values, each an independent scalar subquery."""
-
-    def scalar(df, column):
-        return df.select(column).scalar()
-
+    """One row of headline values, each source an independent scalar subquery."""
     top_zone = pickup.orderBy(
         F.col("pickup_order_count").desc(), F.col("pickup_zone").asc_nulls_first()
     ).limit(1)
@@ -190,19 +187,26 @@ def report_scalars(
         ).limit(1),
         "pickup_zone", "dropoff_zone",
     )
-    slow = worst_response(response)
+
+    def first(df, *columns):
+        return df.select(F.struct(*columns).alias("row")).scalar()
+
     return drops.select(
         "raw_count", "valid_count", "drop_rate",
-        scalar(top_zone, "pickup_zone").alias("top_pickup_zone"),
-        scalar(top_zone, "pickup_order_count").alias("top_pickup_orders"),
-        scalar(top_route, "route").alias("top_route"),
-        scalar(top_route, "order_count").alias("top_route_orders"),
-        scalar(slow, "pickup_zone").alias("slowest_zone"),
-        scalar(slow, "hour").alias("slowest_hour"),
-        scalar(slow, "p90_response_time_min").alias("slowest_p90"),
+        first(top_zone, "pickup_zone", "pickup_order_count").alias("_zone"),
+        first(top_route, "route", "order_count").alias("_route"),
+        first(worst_response(response), "pickup_zone", "hour", "p90_response_time_min").alias(
+            "_slow"
+        ),
         windows.agg(F.count_if("supply_reallocation_signal").alias("n"))
         .scalar()
         .alias("reallocation_signals"),
+    ).selectExpr(
+        "raw_count", "valid_count", "drop_rate", "_zone.pickup_zone AS top_pickup_zone",
+        "_zone.pickup_order_count AS top_pickup_orders", "_route.route AS top_route",
+        "_route.order_count AS top_route_orders", "_slow.pickup_zone AS slowest_zone",
+        "_slow.hour AS slowest_hour", "_slow.p90_response_time_min AS slowest_p90",
+        "reallocation_signals",
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from curbflow.operators import (
     causal, cleaning, compare, features, forecast, marts, panels, quality, recommend,
 )
+from curbflow.session import materialize
 from curbflow.sinks import warehouse, writers
 from curbflow.sources import adapters
 from curbflow.spec import NYC_CONGESTION_PRICING, PolicySpec
@@ -84,6 +85,11 @@ class Chain:
     def od_panel(self) -> DataFrame:
         return panels.od_hour_panel(self.features, self.zones, self.spec)
 
+    @cached_property
+    def stored_panel(self) -> DataFrame:
+        """The panel as a written table, for results that read it several times."""
+        return materialize(self.panel, "panel")
+
     @cached_property
     def pricing(self) -> DataFrame:
         return compare.pricing_driver_impact(self.features)
@@ -98,15 +104,26 @@ class Chain:
 
     @cached_property
     def zone_scores(self) -> DataFrame:
-        return recommend.zone_scores(self.panel, self.naive_gap, self.spillover)
+        panel = self.stored_panel
+        return recommend.zone_scores(
+            panel, forecast.seasonal_naive_gap(panel), compare.spillover_ranking(panel)
+        )
 
     @cached_property
     def route_scores(self) -> DataFrame:
         return recommend.route_scores(self.pricing)
 
+    @cached_property
+    def stored_zone_scores(self) -> DataFrame:
+        return materialize(self.zone_scores, "zone-scores")
+
+    @cached_property
+    def stored_route_scores(self) -> DataFrame:
+        return materialize(self.route_scores, "route-scores")
+
     @cached_property
     def cards(self) -> DataFrame:
-        return recommend.strategy_cards(self.zone_scores, self.route_scores)
+        return recommend.strategy_cards(self.stored_zone_scores, self.stored_route_scores)
 
 
 def run_pipeline(chain: Chain, out: str) -> dict[str, str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -568,8 +569,8 @@ FROM (SELECT metric_name, count(*) AS n_observations,
 FROM ({_DID_ROWS}) GROUP BY metric_name)""",
     lambda c: causal.did_cell_means(c.panel),
 )
-simple("did_fixed_effects", None, lambda c: causal.did_fixed_effects(c.panel))
-simple("did_intervals", None, lambda c: causal.did_intervals(causal.did_fixed_effects(c.panel)))
+simple("did_fixed_effects", None, lambda c: causal.did_fixed_effects(c.stored_panel))
+simple("did_intervals", None, lambda c: causal.did_intervals(causal.did_fixed_effects(c.stored_panel)))
 
 # --- forecasts ------------------------------------------------------------------
 
@@ -651,26 +652,26 @@ simple(
     f"""SELECT *, '{L.SUPPLY_ACTION}' AS recommended_action,
   {oracle.HOUR_WINDOW} AS target_time_window, '{L.SUPPLY_IMPACT}' AS expected_business_impact
 FROM supply""",
-    lambda c: recommend.supply_reallocation(c.zone_scores),
+    lambda c: recommend.supply_reallocation(c.stored_zone_scores),
 )
 simple(
     "route_incentives",
     f"""SELECT *, pickup_zone_name || ' -> ' || dropoff_zone_name AS target_od_pair,
   '{L.INCENTIVE_ACTION}' AS recommended_action,
   '{L.INCENTIVE_IMPACT}' AS expected_business_impact FROM incentives""",
-    lambda c: recommend.route_incentives(c.route_scores),
+    lambda c: recommend.route_incentives(c.stored_route_scores),
 )
 simple(
     "passenger_discounts",
     f"""SELECT *, '{L.DISCOUNT_ACTION}' AS recommended_action,
   {oracle.HOUR_WINDOW} AS target_time_window, '{L.DISCOUNT_IMPACT}' AS expected_business_impact
 FROM discounts""",
-    lambda c: recommend.passenger_discounts(c.zone_scores),
+    lambda c: recommend.passenger_discounts(c.stored_zone_scores),
 )
 simple(
     "low_value_supply",
     f"SELECT *, {oracle.HOUR_WINDOW} AS target_time_window FROM weak",
-    lambda c: recommend.low_value_supply(c.zone_scores).withColumn(
+    lambda c: recommend.low_value_supply(c.stored_zone_scores).withColumn(
         "target_time_window", hour_window("hour")
     ),
 )
@@ -949,9 +950,9 @@ simple(
     ),
     lambda c: reports.output_catalogue(
         {
-            "driver_supply_reallocation": recommend.supply_reallocation(c.zone_scores),
-            "route_incentive_recommendation": recommend.route_incentives(c.route_scores),
-            "passenger_discount_recommendation": recommend.passenger_discounts(c.zone_scores),
+            "driver_supply_reallocation": recommend.supply_reallocation(c.stored_zone_scores),
+            "route_incentive_recommendation": recommend.route_incentives(c.stored_route_scores),
+            "passenger_discount_recommendation": recommend.passenger_discounts(c.stored_zone_scores),
             "operation_strategy_cards": c.cards,
             "counterfactual_predictions": c.naive_gap,
         }
@@ -1063,10 +1064,21 @@ def _catalog(job: Job) -> DataFrame:
     return job.spark.table(name)
 
 
+# Plans are lazy, so one chain per session and folder serves all queries.
+_CHAINS: WeakKeyDictionary[SparkSession, dict[str, Chain]] = WeakKeyDictionary()
+
+
+def _chain(spark: SparkSession, folder: str) -> Chain:
+    known = _CHAINS.setdefault(spark, {})
+    if folder not in known:
+        known[folder] = Chain.over_tables(spark, folder)
+    return known[folder]
+
+
 def _run(plan: Callable[[Job], DataFrame]):
     def call(spark: SparkSession, folder: str) -> DataFrame:
         use_utc(spark)
-        return canonical(plan(Job(spark, folder, Chain.over_tables(spark, folder))))
+        return canonical(plan(Job(spark, folder, _chain(spark, folder))))
 
     return call
 

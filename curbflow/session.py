@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 # Small relations are broadcast by Catalyst/AQE from measured sizes
@@ -64,3 +66,11 @@ def materialize(df, name: str):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_to_workers(module: str) -> None:
+    """Send the functions of ``module`` with the task.
+
+    Python workers then need no copy of this package on their path.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -45,56 +45,40 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _every(n: int):
-    return F.col("event_id") % n == 0
-
-
 def raw_trips_hv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ride-hailing trips: one per event, pickup zone from the user's nation."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    events = table(spark, sf_dir, "events")
+    customer = table(spark, sf_dir, "customer")
     base = events.join(customer, events.user_id == customer.c_custkey, "left")
-    e = F.col("event_id")
-    fare = F.lit(2.5) + F.col("value") * 1.5
-    ride_seconds = (
-        F.when(_every(101), F.lit(-60)).when(_every(103), F.lit(32400)).otherwise(30 + (e * 37) % 5400)
-    )
-    early_zone = F.col("c_nationkey") <= 5
-    return (
-        base.withColumn("pickup_datetime", F.timestamp_add("SECOND", F.lit(960), "ts"))
-        .select(
-            e.alias("source_trip_id"),
-            F.col("ts").alias("request_datetime"),
-            F.when(_every(5), F.lit(None).cast("timestamp_ntz"))
-            .when(_every(331), F.timestamp_add("SECOND", F.lit(18000), "ts"))
-            .otherwise(F.timestamp_add("SECOND", ((e * 13) % 900).cast("int"), "ts"))
-            .alias("on_scene_datetime"),
-            "pickup_datetime",
-            F.when(
-                ~_every(83),
-                F.timestamp_add("SECOND", ride_seconds.cast("int"), "pickup_datetime"),
-            ).alias("dropoff_datetime"),
-            F.col("c_nationkey").alias("PULocationID"),
-            F.when(~_every(97), (e * 7 + 3) % 27).cast("int").alias("DOLocationID"),
-            F.when(_every(211), F.lit(250.0))
-            .when(_every(89), F.lit(0.0))
-            .otherwise(F.col("value") / 5.0)
-            .alias("trip_miles"),
-            F.when(_every(79), F.lit(-1.0))
-            .when(_every(73), F.lit(1500.0))
-            .otherwise(fare)
-            .alias("base_passenger_fare"),
-            (fare * (F.lit(0.6) + F.lit(0.001) * (e % 200))).alias("driver_pay"),
-            F.when(_every(10), 6.94).otherwise(0.0).alias("tolls"),
-            F.when(F.col("event_type") == "purchase", fare * 0.15).otherwise(0.0).alias("tips"),
-            F.when(early_zone, 2.75).otherwise(0.0).alias("congestion_surcharge"),
-            F.when((F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")) & early_zone, 1.5)
-            .otherwise(0.0)
-            .alias("cbd_congestion_fee"),
-            F.when(F.col("c_nationkey").isin(20, 21, 22), 2.5).otherwise(0.0).alias("airport_fee"),
-            F.when(_every(7), "Y").otherwise("N").alias("shared_match_flag"),
-            F.when(_every(11), "Y").otherwise("N").alias("wav_request_flag"),
-        )
+    fare = "2.5D + value * 1.5D"
+    return base.selectExpr(
+        "event_id", "ts", "event_type", "value", "c_nationkey",
+        "timestampadd(SECOND, 960, ts) AS pickup_datetime",
+    ).selectExpr(
+        "event_id AS source_trip_id",
+        "ts AS request_datetime",
+        """CASE WHEN event_id % 5 = 0 THEN NULL
+             WHEN event_id % 331 = 0 THEN timestampadd(SECOND, 18000, ts)
+             ELSE timestampadd(SECOND, int(event_id * 13 % 900), ts) END AS on_scene_datetime""",
+        "pickup_datetime",
+        """CASE WHEN event_id % 83 <> 0 THEN timestampadd(SECOND, int(
+             CASE WHEN event_id % 101 = 0 THEN -60 WHEN event_id % 103 = 0 THEN 32400
+                  ELSE 30 + event_id * 37 % 5400 END), pickup_datetime) END AS dropoff_datetime""",
+        "c_nationkey AS PULocationID",
+        "CASE WHEN event_id % 97 <> 0 THEN int((event_id * 7 + 3) % 27) END AS DOLocationID",
+        """CASE WHEN event_id % 211 = 0 THEN 250D WHEN event_id % 89 = 0 THEN 0D
+             ELSE value / 5D END AS trip_miles""",
+        f"""CASE WHEN event_id % 79 = 0 THEN -1D WHEN event_id % 73 = 0 THEN 1500D
+             ELSE {fare} END AS base_passenger_fare""",
+        f"({fare}) * (0.6D + 0.001D * (event_id % 200)) AS driver_pay",
+        "CASE WHEN event_id % 10 = 0 THEN 6.94D ELSE 0D END AS tolls",
+        f"CASE WHEN event_type = 'purchase' THEN ({fare}) * 0.15D ELSE 0D END AS tips",
+        "CASE WHEN c_nationkey <= 5 THEN 2.75D ELSE 0D END AS congestion_surcharge",
+        """CASE WHEN ts >= TIMESTAMP_NTZ '2024-01-16' AND c_nationkey <= 5 THEN 1.5D
+             ELSE 0D END AS cbd_congestion_fee""",
+        "CASE WHEN c_nationkey IN (20, 21, 22) THEN 2.5D ELSE 0D END AS airport_fee",
+        "CASE WHEN event_id % 7 = 0 THEN 'Y' ELSE 'N' END AS shared_match_flag",
+        "CASE WHEN event_id % 11 = 0 THEN 'Y' ELSE 'N' END AS wav_request_flag",
     )
 
 
@@ -104,30 +88,27 @@ def raw_trips_yellow(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
     supplier = table(spark, sf_dir, "supplier")
-    fare = F.col("l_extendedprice") / 1000
-    start_offset = ((F.col("l_orderkey") % 24) * 3600 + F.col("l_linenumber") * 420).cast("int")
     joined = (
         line.join(orders, line.l_orderkey == orders.o_orderkey)
         .join(customer, orders.o_custkey == customer.c_custkey)
         .join(supplier, line.l_suppkey == supplier.s_suppkey)
-        .withColumn(
-            "tpep_pickup_datetime",
-            F.timestamp_add("SECOND", start_offset, F.col("o_orderdate").cast("timestamp_ntz")),
-        )
     )
-    return joined.select(
+    fare = "l_extendedprice / 1000"
+    return joined.selectExpr(
+        "*",
+        """timestampadd(SECOND, int(l_orderkey % 24 * 3600 + l_linenumber * 420),
+             CAST(o_orderdate AS TIMESTAMP_NTZ)) AS tpep_pickup_datetime""",
+    ).selectExpr(
         "tpep_pickup_datetime",
-        F.timestamp_add(
-            "SECOND", (F.col("l_quantity") * 60).cast("int"), "tpep_pickup_datetime"
-        ).alias("tpep_dropoff_datetime"),
-        F.col("c_nationkey").alias("PULocationID"),
-        F.col("s_nationkey").alias("DOLocationID"),
-        (F.col("l_quantity") / 3.0).alias("trip_distance"),
-        fare.alias("fare_amount"),
-        (fare * (F.lit(1.0) + F.col("l_tax"))).alias("total_amount"),
-        (fare * F.col("l_discount")).alias("tip_amount"),
-        F.lit(0.0).alias("tolls_amount"),
-        F.lit(0.0).alias("congestion_surcharge"),
-        F.lit(0.0).alias("Airport_fee"),
-        (F.col("l_linenumber") % 6).alias("payment_type"),
+        "timestampadd(SECOND, int(l_quantity * 60), tpep_pickup_datetime) AS tpep_dropoff_datetime",
+        "c_nationkey AS PULocationID",
+        "s_nationkey AS DOLocationID",
+        "l_quantity / 3.0D AS trip_distance",
+        f"{fare} AS fare_amount",
+        f"{fare} * (1D + l_tax) AS total_amount",
+        f"{fare} * l_discount AS tip_amount",
+        "0D AS tolls_amount",
+        "0D AS congestion_surcharge",
+        "0D AS Airport_fee",
+        "l_linenumber % 6 AS payment_type",
     )

@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curbflow.session import ship_to_workers
+
+ship_to_workers(__name__)
+
 
 def file_inventory(spark: SparkSession, pattern: str) -> DataFrame:
     """One row per file with its size in MB and row count; data columns stay unread."""
