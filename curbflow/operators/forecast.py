@@ -29,9 +29,11 @@ LEGACY_FEATURES = ("pickup_hour", "weekday", "day", "is_weekend", "pickup_locati
 
 @dataclass(frozen=True)
 class ForestSettings:
+    """``max_depth`` bounds the node statistics that one round of splits has to shuffle."""
+
     trees: int = 160
     min_leaf: int = 2
-    max_depth: int = 12
+    max_depth: int = 10
     seed: int = 42
 
 
@@ -134,7 +136,8 @@ def _regressors(label: str, forest: ForestSettings, boost: BoostSettings) -> Map
     return {
         "random_forest": RandomForestRegressor(
             labelCol=label, numTrees=forest.trees, minInstancesPerNode=forest.min_leaf,
-            maxDepth=forest.max_depth, maxBins=64, seed=forest.seed,
+            maxDepth=forest.max_depth, maxBins=64, featureSubsetStrategy="all",
+            seed=forest.seed,
         ),
         "gradient_boosting": GBTRegressor(
             labelCol=label, maxIter=boost.rounds, maxDepth=boost.max_depth, stepSize=boost.step,
@@ -289,7 +292,8 @@ def fit_legacy_demand(
         ),
         RandomForestRegressor(
             labelCol="trip_count", numTrees=forest.trees, maxDepth=forest.max_depth,
-            minInstancesPerNode=forest.min_leaf, maxBins=64, seed=forest.seed,
+            minInstancesPerNode=forest.min_leaf, maxBins=64, featureSubsetStrategy="all",
+            seed=forest.seed,
         ),
     ]
     fitted = Pipeline(stages=stages).fit(split.where("is_train"))

@@ -113,6 +113,18 @@ class Chain:
     def route_scores(self) -> DataFrame:
         return recommend.route_scores(self.pricing)
 
+    @cached_property
+    def forest(self) -> forecast.Forecast:
+        return forecast.fit_forecast(self.stored_panel, "random_forest")
+
+    @cached_property
+    def boosted(self) -> forecast.Forecast:
+        return forecast.fit_forecast(self.stored_panel, "gradient_boosting")
+
+    @cached_property
+    def counterfactual(self) -> forecast.Counterfactual:
+        return forecast.fit_counterfactual(self.stored_panel)
+
     @cached_property
     def stored_zone_scores(self) -> DataFrame:
         return materialize(self.zone_scores, "zone-scores")
@@ -126,7 +138,9 @@ class Chain:
         return recommend.strategy_cards(self.stored_zone_scores, self.stored_route_scores)
 
 
-def run_pipeline(chain: Chain, out: str) -> dict[str, str]:
+def run_pipeline(
+    chain: Chain, out: str, boost: forecast.BoostSettings = forecast.BASELINE_BOOST
+) -> dict[str, str]:
     """Write trips, panels, metrics and results once, layer by layer.
 
     Each layer reads the files of the layer below, so a lost executor repeats one
@@ -192,7 +206,7 @@ def run_pipeline(chain: Chain, out: str) -> dict[str, str]:
     save("dws_policy_effect_result", causal.did_fixed_effects(panel))
     save("event_study_results", causal.event_study(panel, chain.spec))
 
-    baseline = forecast.fit_counterfactual(panel)
+    baseline = forecast.fit_counterfactual(panel, boost)
     gaps = save("counterfactual_predictions", baseline.predictions)
     save("counterfactual_metrics", baseline.metrics)
     zone_table = save("zone_scores", recommend.zone_scores(panel, gaps, spillover))

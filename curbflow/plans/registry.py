@@ -607,17 +607,16 @@ FROM split WHERE NOT is_train""",
 )
 
 
-def _fitted(name: str, model: str, view: Callable[[forecast.Forecast, str], DataFrame]) -> None:
-    QUERIES[name] = Query(
-        lambda job: view(forecast.fit_forecast(job.chain.panel, model), model)
-    )
-
-
-_fitted("forecast_rf", "random_forest", forecast.forecast_metrics)
-_fitted("forecast_gbt", "gradient_boosting", forecast.forecast_metrics)
-_fitted("feature_importance", "random_forest", lambda f, m: f.importance)
-simple("counterfactual_gap", None, lambda c: forecast.fit_counterfactual(c.panel).predictions)
-simple("counterfactual_metrics", None, lambda c: forecast.fit_counterfactual(c.panel).metrics)
+simple(
+    "forecast_rf", None, lambda c: forecast.forecast_metrics(c.forest, "random_forest")
+)
+simple(
+    "forecast_gbt", None, lambda c: forecast.forecast_metrics(c.boosted, "gradient_boosting")
+)
+simple("forecast_predictions", None, lambda c: forecast.forecast_predictions(c.boosted))
+simple("feature_importance", None, lambda c: c.boosted.importance)
+simple("counterfactual_gap", None, lambda c: c.counterfactual.predictions)
+simple("counterfactual_metrics", None, lambda c: c.counterfactual.metrics)
 simple(
     "legacy_demand_rf",
     None,
@@ -629,13 +628,11 @@ simple("seasonal_naive_gap", "SELECT * FROM gap", lambda c: c.naive_gap)
 @query("model_comparison")
 def _models(job: Job) -> DataFrame:
     """Holdout metrics of the naive yardstick and the forest; the best RMSE first."""
-    panel = job.chain.panel
-    naive = forecast.error_metrics(forecast.naive_forecast(panel)).select(
+    chain = job.chain
+    naive = forecast.error_metrics(forecast.naive_forecast(chain.stored_panel)).select(
         F.lit("naive_lag_1").alias("model_name"), "*"
     )
-    fitted = forecast.forecast_metrics(
-        forecast.fit_forecast(panel, "random_forest"), "random_forest"
-    )
+    fitted = forecast.forecast_metrics(chain.forest, "random_forest")
     return forecast.best_model(naive.unionByName(fitted))
 
 

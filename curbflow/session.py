@@ -59,12 +59,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df, name: str):
     """Write ``df`` once to the shared folder and read it back.
 
-    Cuts the lineage before iterative training. The files are on shared storage,
-    so a lost executor costs a re-read and not a recomputation.
+    Cuts the lineage before iterative training and for results that read a table
+    several times. The files are on shared storage, so a lost executor costs a
+    re-read and not a recomputation. The rebalance hint sizes the files by volume:
+    one for a small table, many for a large one.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.hint("rebalance").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
