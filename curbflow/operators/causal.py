@@ -34,6 +34,7 @@ Z_95 = 1.959963984540054  # 97.5 % point of the standard normal
 HOURS, WEEKDAYS = 24, 7
 # Design after the zone effect is absorbed: interaction, post, hour and weekday levels.
 WIDTH = 2 + HOURS + WEEKDAYS
+MEANS = [f"m{i}" for i in range(WIDTH)]  # zone means of the design columns
 
 
 def did_cells(panel: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -91,7 +92,7 @@ def _design(batch: pd.DataFrame) -> np.ndarray:
     rows = np.arange(n)
     x[rows, 2 + batch["hour"].to_numpy(int)] = 1.0
     x[rows, 2 + HOURS + batch["weekday"].to_numpy(int)] = 1.0
-    return x - np.stack(batch["x_bar"].to_numpy())
+    return x - batch[MEANS].to_numpy(float)
 
 
 def _partial_gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,18 +207,12 @@ def did_fixed_effects(
     # Four consumers read the cells; a written table spares them the panel.
     cells = materialize(did_cells(panel, present).where(enough), "cells")
 
-    n = F.col("n")
+    indicators = ["treated * post", "post"]
+    indicators += [f"int(hour = {h})" for h in range(HOURS)]
+    indicators += [f"int(weekday = {d})" for d in range(WEEKDAYS)]
     zone_means = cells.groupBy("metric_name", "zone_id").agg(
-        (F.sum(n * F.col("y_mean")) / F.sum(n)).alias("y_bar"),
-        F.array(
-            F.sum(n * F.col("treated") * F.col("post")) / F.sum(n),
-            F.sum(n * F.col("post")) / F.sum(n),
-            *[F.sum(F.when(F.col("hour") == h, n).otherwise(0)) / F.sum(n) for h in range(HOURS)],
-            *[
-                F.sum(F.when(F.col("weekday") == d, n).otherwise(0)) / F.sum(n)
-                for d in range(WEEKDAYS)
-            ],
-        ).alias("x_bar"),
+        F.expr("sum(n * y_mean) / sum(n)").alias("y_bar"),
+        *[F.expr(f"sum(n * {x}) / sum(n)").alias(m) for m, x in zip(MEANS, indicators)],
     )
     centred = cells.join(zone_means, ["metric_name", "zone_id"])
     gram = _matrix_sums(centred.mapInPandas(_partial_gram, PART_SCHEMA))

@@ -53,26 +53,46 @@ def with_route_label(routes: DataFrame, start: str, end: str, arrow: str = " →
 
 
 def executive_kpis(hourly: DataFrame, zone_hourly: DataFrame) -> DataFrame:
-    """Totals, weighted averages, peak hour and weekday, busiest borough in one row."""
-
-    def busiest(df, key):
-        totals = df.dropna(subset=[key]).groupBy(key).agg(F.sum("trip_count").alias("n"))
-        # most trips, then the smallest key
-        ordered = totals.orderBy(F.col("n").desc(), F.col(key).asc()).limit(1)
-        return ordered.select(key).scalar()
-
-    total = F.sum("trip_count")
-    return hourly.agg(
-        total.alias("total_trips"),
-        (F.sum("fare_sum") / total).alias("avg_fare"),
-        (F.sum("distance_sum") / total).alias("avg_distance"),
-        (F.sum("duration_sum") / total).alias("avg_duration"),
-    ).select(
-        "*",
-        busiest(hourly, "pickup_hour").alias("peak_hour"),
-        busiest(hourly, "pickup_weekday").alias("peak_weekday"),
-        busiest(zone_hourly, "pickup_borough").alias("top_borough"),
+    """Totals, weighted averages, peak hour and weekday, busiest borough in one row.
+
+    The hourly table collapses to 168 cells first; grouping sets over these cells
+    give the hour, weekday and grand totals in one pass.
+    """
+    sums = ["trip_count", "fare_sum", "distance_sum", "duration_sum"]
+    cells = hourly.groupBy("pickup_hour", "pickup_weekday").agg(
+        *[F.sum(name).alias(name) for name in sums]
     )
+    totals = cells.groupingSets(
+        [["pickup_hour"], ["pickup_weekday"], []], "pickup_hour", "pickup_weekday"
+    ).agg(F.grouping_id().alias("level"), *[F.sum(name).alias(name) for name in sums])
+    # grouping_id: 1 = by hour, 2 = by weekday, 3 = grand total
+    boroughs = (
+        zone_hourly.dropna(subset=["pickup_borough"])
+        .groupBy("pickup_borough")
+        .agg(F.sum("trip_count").alias("n"))
+        .orderBy(F.col("n").desc(), "pickup_borough")
+        .limit(1)
+    )
+
+    def grand(name):
+        return F.max(F.when(F.col("level") == 3, F.col(name)))
+
+    def peak(key, level):
+        # most trips, then the smaller key
+        rank = F.when(
+            (F.col("level") == level) & F.col(key).isNotNull(), F.struct("trip_count", -F.col(key))
+        )
+        return F.max_by(key, rank)
+
+    whole = grand("trip_count")
+    return totals.agg(
+        whole.alias("total_trips"),
+        (grand("fare_sum") / whole).alias("avg_fare"),
+        (grand("distance_sum") / whole).alias("avg_distance"),
+        (grand("duration_sum") / whole).alias("avg_duration"),
+        peak("pickup_hour", 1).alias("peak_hour"),
+        peak("pickup_weekday", 2).alias("peak_weekday"),
+    ).withColumn("top_borough", boroughs.select("pickup_borough").scalar())
 
 
 def executive_top_zones(zone_hourly: DataFrame, k: int = 10) -> DataFrame:

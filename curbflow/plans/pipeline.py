@@ -29,10 +29,14 @@ class Chain:
 
     @classmethod
     def over_tables(cls, spark: SparkSession, sf_dir: str) -> Chain:
-        """Chain over the star-schema stand-ins."""
+        """Chain over the star-schema stand-ins.
+
+        The stand-in trips land once as raw files, as real trip files do, so that
+        jobs scan columns and push filters instead of repeating the derivation.
+        """
         return cls(
-            lambda: adapters.raw_trips_hv(spark, sf_dir),
-            lambda: adapters.raw_trips_yellow(spark, sf_dir),
+            lambda: materialize(adapters.raw_trips_hv(spark, sf_dir), "raw-hv", False),
+            lambda: materialize(adapters.raw_trips_yellow(spark, sf_dir), "raw-yellow", False),
             lambda: adapters.zones(spark, sf_dir),
             adapters.ADAPTER_SPEC,
         )

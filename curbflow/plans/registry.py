@@ -523,9 +523,7 @@ GROUP BY weekday""",
 _EVENT = """SELECT greatest(least(floor(date_diff('day', DATE '2024-01-16', trip_date) / 7.0), 2), -2)
   ::INTEGER AS event_week, zone_group, '{m}' AS metric_name, {m}::DOUBLE AS y FROM panel
 WHERE zone_group IN ('treated_zones', 'control_zones')"""
-simple(
-    "event_study",
-    f"""SELECT event_week, metric_name, gap - ref AS estimated_effect, std_error,
+_EVENT_SQL = f"""SELECT event_week, metric_name, gap - ref AS estimated_effect, std_error,
   gap - ref - 1.96e0 * std_error AS ci_low, gap - ref + 1.96e0 * std_error AS ci_high,
   gap_std_error FROM (
 SELECT *, coalesce(max(gap) FILTER (event_week = -1) OVER (PARTITION BY metric_name),
@@ -538,12 +536,11 @@ SELECT metric_name, event_week,
     + var_samp(y) FILTER (zone_group = 'control_zones')
       / count(y) FILTER (zone_group = 'control_zones')) AS gap_std_error
 FROM ({' UNION ALL '.join(_EVENT.format(m=m) for m in causal.EVENT_METRICS)})
-WHERE y IS NOT NULL GROUP BY ALL))""",
-    lambda c: causal.event_study(c.panel, c.spec),
-)
+WHERE y IS NOT NULL GROUP BY ALL))"""
+simple("event_study", _EVENT_SQL, lambda c: causal.event_study(c.panel, c.spec))
 simple(
     "event_study_demand_series",
-    None,
+    f"SELECT * FROM ({_EVENT_SQL}) WHERE metric_name = 'log_order_count'",
     lambda c: reports.event_series(causal.event_study(c.panel, c.spec), "log_order_count"),
 )
 
@@ -1072,16 +1069,26 @@ def _chain(spark: SparkSession, folder: str) -> Chain:
     return known[folder]
 
 
-def _run(plan: Callable[[Job], DataFrame]):
-    def call(spark: SparkSession, folder: str) -> DataFrame:
-        use_utc(spark)
-        return canonical(plan(Job(spark, folder, _chain(spark, folder))))
+def plans() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Every query with the typed, unrounded columns of its operators."""
+
+    def runner(plan):
+        def call(spark: SparkSession, folder: str) -> DataFrame:
+            use_utc(spark)
+            return plan(Job(spark, folder, _chain(spark, folder)))
 
-    return call
+        return call
+
+    return {name: runner(entry.plan) for name, entry in QUERIES.items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _run(entry.plan) for name, entry in QUERIES.items()}
+    """Every query in the value format that the oracle comparison uses."""
+
+    def formatted(plan):
+        return lambda spark, folder: canonical(plan(spark, folder))
+
+    return {name: formatted(plan) for name, plan in plans().items()}
 
 
 def oracle_sql() -> dict[str, str]:

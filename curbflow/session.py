@@ -56,17 +56,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/curbflow-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df, name: str):
+def materialize(df, name: str, rebalance: bool = True):
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage before iterative training and for results that read a table
     several times. The files are on shared storage, so a lost executor costs a
-    re-read and not a recomputation. The rebalance hint sizes the files by volume:
-    one for a small table, many for a large one.
+    re-read and not a recomputation. Rebalancing sizes the files by volume, one for
+    a small table and many for a large one; without it ``df`` keeps its partitions
+    and nothing is shuffled.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.hint("rebalance").write.parquet(path)
+    (df.hint("rebalance") if rebalance else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
