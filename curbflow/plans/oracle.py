@@ -454,6 +454,61 @@ SELECT *, coalesce({_rate('fare_per_mile')}, 0) AS fare_per_mile_change_rate,
   greatest(coalesce(-({_rate('trip_count')}), 0), 0e0) AS demand_gap_rate FROM pricing))))""",
 }
 
+# Fixed-effects regression, written independently of the Spark job: zone effects are
+# removed by zone means, hour and weekday dummies by Gauss-Jordan elimination, and what is
+# left of the interaction and of the outcome gives the coefficient and its HC1 error.
+OTHERS = 1 + 23 + 6
+CTES["did_rows"] = " UNION ALL ".join(
+    f"SELECT '{m}' AS metric_name, zone_id, trip_date, hour, weekday, "
+    f"(zone_group = 'treated_zones')::INTEGER AS treated, post_policy::INTEGER AS post, "
+    f"{m}::DOUBLE AS y FROM panel WHERE zone_group IN ('treated_zones', 'control_zones') "
+    f"AND {m} IS NOT NULL"
+    for m in (
+        "log_order_count", "avg_fare_per_mile", "avg_driver_pay_per_minute",
+        "avg_response_time_min",
+    )
+)
+CTES["did_long"] = f"""
+SELECT metric_name, id, zone_id, k, v - avg(v) OVER (PARTITION BY metric_name, zone_id, k) AS v
+FROM (SELECT metric_name, id, zone_id, unnest(range(1, {OTHERS + 3})) AS k, unnest(
+  list_concat([post::DOUBLE], [(hour = h)::INTEGER::DOUBLE for h in range(1, 24)],
+    [(weekday = d)::INTEGER::DOUBLE for d in range(1, 7)], [(treated * post)::DOUBLE, y])) AS v
+FROM (SELECT *, row_number() OVER (ORDER BY metric_name, zone_id, trip_date, hour) AS id
+  FROM did_rows))"""
+CTES["did_gram"] = f"""
+SELECT metric_name, list(line ORDER BY i) AS m FROM (
+SELECT metric_name, i, list(v ORDER BY j) AS line FROM (
+SELECT a.metric_name, a.k AS i, b.k AS j, sum(a.v * b.v) AS v
+FROM did_long a JOIN did_long b ON a.id = b.id WHERE a.k <= {OTHERS} GROUP BY ALL)
+GROUP BY metric_name, i) GROUP BY metric_name"""
+CTES["did_sweep"] = f"""
+SELECT metric_name, 1 AS k, m FROM did_gram
+UNION ALL SELECT metric_name, k + 1, [CASE WHEN abs(m[k][k]) < 1e-9 THEN m[i]
+  WHEN i = k THEN [x / m[k][k] for x in m[k]]
+  ELSE [m[i][j] - m[i][k] * m[k][j] / m[k][k] for j in range(1, {OTHERS + 3})] END
+  for i in range(1, {OTHERS + 1})]
+FROM did_sweep WHERE k <= {OTHERS}"""
+CTES["did_left"] = f"""
+SELECT w.metric_name, w.zone_id,
+  list_extract(w.vs, {OTHERS + 1}) - list_sum([w.vs[i] * s.m[i][{OTHERS + 1}]
+    for i in range(1, {OTHERS + 1})]) AS x,
+  list_extract(w.vs, {OTHERS + 2}) - list_sum([w.vs[i] * s.m[i][{OTHERS + 2}]
+    for i in range(1, {OTHERS + 1})]) AS y
+FROM (SELECT metric_name, id, zone_id, list(v ORDER BY k) AS vs FROM did_long GROUP BY ALL) w
+JOIN did_sweep s ON s.metric_name = w.metric_name AND s.k = {OTHERS + 1}"""
+CTES["did_fit"] = f"""
+SELECT metric_name, b AS coef_treated_post, se AS std_error,
+  CASE WHEN abs(b / se) > 6 THEN 0 ELSE 1 - 2 / sqrt(pi()) * list_sum([
+    (CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * pow(abs(b / se) / sqrt(2), 2 * n + 1)
+    / (gamma(n + 1) * (2 * n + 1)) for n in range(0, 90)]) END AS p_value,
+  b - 1.959963984540054e0 * se AS confidence_interval_low,
+  b + 1.959963984540054e0 * se AS confidence_interval_high, rows AS n_observations FROM (
+SELECT metric_name, any_value(b) AS b, count(*) AS rows,
+  sqrt(sum(x * x * (y - b * x) ** 2) / sum(x * x) ** 2 * count(*)
+    / (count(*) - count(DISTINCT zone_id) - {OTHERS} - 1)) AS se
+FROM did_left JOIN (SELECT metric_name, sum(x * y) / sum(x * x) AS b FROM did_left
+  GROUP BY metric_name) USING (metric_name) GROUP BY metric_name)"""
+
 ROUTE_ORDER = (
     "final_action_score DESC, pickup_zone_name, dropoff_zone_name, is_airport_trip, "
     "is_cross_treated_trip"
@@ -598,4 +653,5 @@ def build(body: str) -> str:
             needed.add(name)
             pending.append(CTES[name])
     parts = [f"{name} AS ({text.strip()})" for name, text in CTES.items() if name in needed]
-    return f"WITH {', '.join(parts)} {body}" if parts else body
+    recursive = "RECURSIVE " if "did_sweep" in needed else ""
+    return f"WITH {recursive}{', '.join(parts)} {body}" if parts else body

@@ -566,8 +566,22 @@ FROM (SELECT metric_name, count(*) AS n_observations,
 FROM ({_DID_ROWS}) GROUP BY metric_name)""",
     lambda c: causal.did_cell_means(c.panel),
 )
-simple("did_fixed_effects", None, lambda c: causal.did_fixed_effects(c.stored_panel))
-simple("did_intervals", None, lambda c: causal.did_intervals(causal.did_fixed_effects(c.stored_panel)))
+simple(
+    "did_fixed_effects",
+    f"""SELECT *, CASE WHEN metric_name = 'log_order_count' THEN '{L.DID_DEMAND}'
+  ELSE '{L.DID_OTHER}' END AS business_interpretation FROM did_fit""",
+    lambda c: causal.did_fixed_effects(c.stored_panel),
+)
+_METRIC_LABEL = "CASE metric_name " + " ".join(
+    f"WHEN '{code}' THEN '{label}'" for code, label in L.METRIC_LABELS.items()
+) + " ELSE metric_name END"
+simple(
+    "did_intervals",
+    f"""SELECT metric_name, {_METRIC_LABEL} AS metric_label, coef_treated_post,
+  1.96e0 * std_error AS error_arm, confidence_interval_high - coef_treated_post AS arm_high,
+  coef_treated_post - confidence_interval_low AS arm_low FROM did_fit""",
+    lambda c: causal.did_intervals(causal.did_fixed_effects(c.stored_panel)),
+)
 
 # --- forecasts ------------------------------------------------------------------
 
