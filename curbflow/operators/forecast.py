@@ -125,11 +125,8 @@ def error_metrics(scored: DataFrame, actual: str = "order_count") -> DataFrame:
 
 
 def _vectors(table: DataFrame, features) -> DataFrame:
-    numeric = [F.col(name).cast("double").alias(name) for name in features]
-    others = [c for c in table.columns if c not in features]
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(
-        table.select(*others, *numeric)
-    )
+    """Adds the feature vector; whole numbers and flags keep their own columns and types."""
+    return VectorAssembler(inputCols=list(features), outputCol="features").transform(table)
 
 
 def _regressors(label: str, forest: ForestSettings, boost: BoostSettings) -> Mapping:

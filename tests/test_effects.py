@@ -211,6 +211,7 @@ def test_training_is_reproducible_and_beats_the_mean(spark):
     result = forecast.fit_counterfactual(wide, boost)
     assert result.predictions.where("predicted_counterfactual_order_count < 0").count() == 0
     assert result.predictions.count() == 3 * 10 * 4
+    assert dict(result.predictions.dtypes)["zone_id"] == "int"
     importance = forecast.fit_forecast(wide, "gradient_boosting", forest, boost).importance
     assert importance.agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
     with pytest.raises(ValueError):
