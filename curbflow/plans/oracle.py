@@ -42,7 +42,6 @@ COUNT = "count(*)"
 WINDOWS = _cut(
     "trip_hour", (-1, 5, 10, 14, 20, 24), ("凌晨", "早高峰", "午间", "晚高峰", "夜间")
 )
-DISTANCE = ((0, 2, 8, None),)
 RULES = """CASE
   WHEN pickup_datetime IS NULL OR dropoff_datetime IS NULL THEN 'missing_time'
   WHEN trip_duration_min <= 0 THEN 'non_positive_duration'

@@ -2,9 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL
+from curbflow.operators import cleaning
 from curbflow.operators.forecast import BoostSettings
 from curbflow.plans.pipeline import run_pipeline
-from curbflow.session import scratch_path, shared_dir
+from curbflow.session import materialize, scratch_path, shared_dir
 from curbflow.sinks import warehouse, writers
 from curbflow.sources import adapters, inventory, readers, sampling
 
@@ -138,3 +139,18 @@ def test_pipeline_writes_every_layer(spark, chain):
     assert counts["dwd_hvfhv_trip_clean"] == chain.trips.count()
     assert counts["dws_zone_hour_policy_panel"] == chain.panel.count()
     assert counts["policy_cards"] >= 1
+
+
+def test_small_readers(spark, tmp_path):
+    path = str(tmp_path / "panel")
+    spark.createDataFrame([("2025-01-05", 2), ("2025-01-04", 1), (None, 3)], "trip_date string, x int").write.parquet(path)
+    panel = readers.read_panel(spark, path)
+    assert dict(panel.dtypes)["trip_date"] == "date"
+    assert [r.x for r in readers.first_rows(cleaning.prune_missing(panel, ["trip_date"]), ["x"], 1).collect()] == [1]
+
+
+def test_materialize_keeps_rows_and_types(spark):
+    df = spark.range(10).selectExpr("id", "CAST(id AS INT) AS small", "id % 2 = 0 AS even")
+    for rebalance in (True, False):
+        stored = materialize(df, "unit", rebalance)
+        assert stored.dtypes == df.dtypes and stored.count() == 10
