@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +60,36 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         seen = mark
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def spanning_forest(
+    linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int
+) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of the pairs marked in ``linked`` (rows ``left``, columns
+    ``right``, places below ``n``): fewer edges than places, however many pairs there are."""
+    seen = np.zeros(n, bool)
+    row, column = np.full(n, -1), np.full(n, -1)
+    row[left] = np.arange(len(left))
+    column[right] = np.arange(len(right))
+    a: list[int] = []
+    b: list[int] = []
+    starts = np.concatenate([left[linked.any(axis=1)], right[linked.any(axis=0)]])
+    for start in starts.tolist():
+        if seen[start]:
+            continue
+        seen[start] = True
+        queue = [start]
+        while queue:
+            x = queue.pop()
+            near = []
+            if row[x] >= 0:
+                near.append(right[linked[row[x]]])
+            if column[x] >= 0:
+                near.append(left[linked[:, column[x]]])
+            new = np.unique(np.concatenate(near))
+            new = new[~seen[new]]
+            seen[new] = True
+            a += new.tolist()
+            b += [x] * len(new)
+            queue += new.tolist()
+    return a, b

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbflow.llm.common import row_key, runs, stored
-from curbflow.llm.graph import components
+from curbflow.llm.graph import components, spanning_forest
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -213,17 +213,16 @@ def _verify(threshold: float):
                 np.fill_diagonal(linked, False)
             count = np.zeros(len(node), np.int64)
             count[left] += linked @ copies[right]
-            head = np.arange(len(node))
             if i != j:
                 count[right] += linked.T @ copies[left]
-            for a, b in zip(*_forest(linked, left, right, len(node))):
+            for a, b in zip(*spanning_forest(linked, left, right, len(node))):
                 nodes.append(node[a])
                 links.append(0)
                 heads.append(node[b])
             for k in np.flatnonzero(count):
                 nodes.append(node[k])
                 links.append(count[k])
-                heads.append(node[head[k]])
+                heads.append(node[k])
             if len(nodes) > 20_000:
                 yield pd.DataFrame({"node": nodes, "links": links, "head": heads})
                 nodes, links, heads = [], [], []
@@ -238,34 +237,6 @@ def _verify(threshold: float):
     return run
 
 
-def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int):
-    """A spanning forest of the linked pairs: fewer edges than sets."""
-    seen = np.zeros(n, bool)
-    place_l, place_r = np.full(n, -1), np.full(n, -1)
-    place_l[left] = np.arange(len(left))
-    place_r[right] = np.arange(len(right))
-    a, b = [], []
-    for start in np.concatenate([left, right]):
-        if seen[start]:
-            continue
-        seen[start] = True
-        queue = [start]
-        while queue:
-            x = queue.pop()
-            near = []
-            if place_l[x] >= 0:
-                near.append(right[linked[place_l[x]]])
-            if place_r[x] >= 0:
-                near.append(left[linked[:, place_r[x]]])
-            for y in np.concatenate(near):
-                if not seen[y]:
-                    seen[y] = True
-                    a.append(y)
-                    b.append(x)
-                    queue.append(y)
-    return a, b
-
-
 def jaccard_links(
     docs: DataFrame,
     n: int = NGRAM,
