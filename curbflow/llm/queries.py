@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbflow.llm import (
-    embedding_dedup, line_dedup, mixing, ngram_join, packing, quality, topk,
+    embedding_dedup, html_extract, katz, line_dedup, mixing, ngram_join, packing, quality, topk,
+    toxicity,
 )
 from curbflow.llm.common import table
 
@@ -61,6 +62,29 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).drop("row")
 
 
+def _fold(n: int):
+    """crc32 of the id as text, modulo n; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
+
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract_pages(pages, html_extract.train_crf(pages))
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"), _fold(5) == 1)
+
+
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(_fold(4) != 2)
+    model = toxicity.train_toxicity(docs, labels)
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id", (_fold(4) == 2).alias("held_out"), "score", "predicted"
+    )
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
 
@@ -87,11 +111,14 @@ FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1,
     "op2_ngram_jaccard_join": op2,
+    "op3_html_extraction": op3,
     "op4_source_mixing": op4,
     "op5_line_dedup": op5,
     "op6_quality_classifier": op6,
     "op7_best_fit_packing": op7,
+    "op8_katz_lm_scoring": op8,
     "op9_embedding_near_dedup": op9,
+    "op10_toxicity": op10,
 }
 
 ORACLE: dict[str, str] = {
