@@ -41,23 +41,27 @@ def _small(edges: DataFrame) -> DataFrame:
     )
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node is either a root or has one edge, down to a root."""
+    roles = edges.selectExpr("v AS node", "0 AS child", "1 AS root", "false AS up").unionByName(
+        edges.selectExpr("u AS node", "1 AS child", "0 AS root", "u < v AS up")
+    )
+    wrong = roles.groupBy("node").agg(
+        F.sum("child").alias("children"), F.max("root").alias("root"), F.max("up").alias("up")
+    )
+    return wrong.where("children > 1 OR (children = 1 AND root = 1) OR up").isEmpty()
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Columns ``u`` and ``v`` (longs, any direction) to ``node``, ``component``.
 
     ``component`` is the smallest node that can be reached. Nodes without edges do not
     appear. Every round is a stored table; rounds grow with the logarithm of the size of a
-    component, and only one checksum row per round goes to the driver.
+    component, and at most one row per round goes to the driver.
     """
     now = stored(edges.select("u", "v").where("u <> v").distinct(), f"{name}-edges")
-    seen = None
-    while True:
+    while not _is_star_forest(now):
         now = stored(_small(_large(now)), f"{name}-stars")
-        mark = now.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if mark == seen:
-            break
-        seen = mark
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
