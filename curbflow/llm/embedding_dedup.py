@@ -190,6 +190,7 @@ def embedding_links(
         rows.groupBy("node").agg(
             F.min("label").alias("label"),
             F.count(F.lit(1)).alias("copies"),
+            F.min("vec_id").alias("least_id"),
             F.first("vector").alias("vector"),
         ),
         "embed-classes",
@@ -200,7 +201,7 @@ def embedding_links(
     unit = _unit(chosen, width)
     forest = fit_forest(unit, classes.count(), cosine, trees)
     routed = stored(
-        classes.mapInPandas(
+        classes.drop("least_id").mapInPandas(
             _route(forest),
             "node long, label long, copies long, vector array<double>, leaves array<long>",
         ),
@@ -230,19 +231,26 @@ def embedding_links(
         "embed",
     )
     counts = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    labelled = (
-        classes.select("node", "copies")
+    labelled = stored(
+        classes.select("node", "copies", "least_id")
         .join(joined, "node", "left")
         .join(counts, "node", "left")
         .select(
             "node",
+            "least_id",
             F.coalesce("component", "node").alias("component"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        )
+        ),
+        "embed-labels",
+    )
+    ids = stored(
+        labelled.groupBy("component").agg(F.min("least_id").alias("component_id")), "embed-ids"
+    )
+    # Stored sides let a join split a hot class.
+    named = stored(
+        labelled.join(ids, "component").select("node", "n_links", "component_id"), "embed-names"
     )
-    places = stored(rows.select("vec_id", "node").join(labelled, "node"), "embed-places")
-    ids = places.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    used = places.join(ids, "component").select("vec_id", "n_links", "component_id")
+    used = rows.select("vec_id", "node").join(named, "node").drop("node")
     idle = vectors.where(~F.coalesce(usable, F.lit(False))).select(
         F.col("vec_id").cast("long"),
         F.lit(0).cast("long").alias("n_links"),
