@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_PAGES = 400  # bound on the pages that training sees
-TRAIN_BLOCKS = 80  # training pages have at most so many blocks; decoding has no bound
+SAMPLE_PAGES = 300  # bound on the pages that training sees
+LAYOUTS = 4  # layouts that each training page is given besides its own
+TRAIN_BLOCKS = 60  # training pages have at most so many blocks; decoding has no bound
 
 # Roles of HTML elements.
 SKIPPED = "script|style|template|noscript|svg|math|iframe|object|title|textarea|select|button"
@@ -165,7 +166,7 @@ class Crf:
 
 
 def fit_crf(
-    pages: list[list[list[str]]], labels: list[list[int]], steps: int = 150
+    pages: list[list[list[str]]], labels: list[list[int]], steps: int = 160
 ) -> Crf | None:
     """Maximum likelihood with a small quadratic penalty, by gradient steps (Adam); forward
     and backward sums run over all pages at once."""
@@ -224,7 +225,7 @@ def fit_crf(
                 [miss[:, 0].sum()],
             ]
         )
-        slope += 1e-3 * theta
+        slope += 2e-4 * theta
         m1, m2 = 0.9 * m1 + 0.1 * slope, 0.999 * m2 + 0.001 * slope**2
         theta = theta - 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
     return Crf(
@@ -270,7 +271,7 @@ def _variants(blocks: list[Block], labels: list[int], seed: int):
     yield [b.path for b in blocks], blocks, labels
     pick = np.random.default_rng(seed)
     base = ("html", "body")
-    for _ in range(2):
+    for _ in range(LAYOUTS):
         word = MAIN_WORDS[pick.integers(len(MAIN_WORDS))]
         box = (("main",), (f"div.{word}",), ("section",), ("article",), (f"div.{word}", "article"),
                ("div",), ("div.page", f"div.{word}"))[pick.integers(7)]
@@ -281,11 +282,13 @@ def _variants(blocks: list[Block], labels: list[int], seed: int):
         def other(inside: tuple[str, ...], times: int) -> None:
             words = [bad[k] for k in pick.integers(len(bad), size=2)]
             part = (
-                ("aside",), ("nav", "ul", "li"), ("form",), ("header",), ("footer",),
-                (f"div.{words[0]}",), (f"section.{words[0]}",), (f"div.{words[0]}.{words[1]}", "p"),
+                ("aside",), ("aside", "p"), ("nav", "ul", "li"), ("nav",), ("form",), ("form", "p"),
+                ("header",), ("header", "h1"), ("footer",), ("footer", "p"),
+                (f"div.{words[0]}",), (f"div.{words[0]}", "p"), (f"section.{words[0]}", "p"),
+                (f"section.{words[0]}", "h2"), (f"div.{words[0]}.{words[1]}", "p"),
                 ("aside", f"div.{words[0]}", "p"), (f"ul.{words[0]}", "li"),
-                (f"div.{words[0]}", "article", "p"),
-            )[pick.integers(11)]
+                (f"aside.{words[0]}", "p"), (f"div.{words[0]}", "article", "p"),
+            )[pick.integers(19)]
             for _ in range(times):
                 block = texts[pick.integers(len(texts))]
                 text = block.text

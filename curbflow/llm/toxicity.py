@@ -16,6 +16,7 @@ SIZES = (3, 4, 5)
 BUCKETS = 1 << 22
 CLASS_SAMPLE = 3000  # bound on labelled rows of each class that training sees
 FEATURES = 6000
+LEAST_Z = 5.0  # z-score of a feature, or half the largest one in small samples
 LEAST_DOCUMENTS = 4  # a feature occurs in at least so many sample documents
 CUT = 0.3
 STRIPE = 1 << 20  # characters that are hashed at once
@@ -61,7 +62,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_toxicity(
-    rows: list[np.ndarray], toxic: np.ndarray, prior: float, steps: int = 200
+    rows: list[np.ndarray], toxic: np.ndarray, prior: float, steps: int = 300
 ) -> ToxicityModel | None:
     """``rows`` are the buckets present in each document. Features are chosen by the z-score
     of the two classes' document shares; their values are presence times the naive Bayes
@@ -80,7 +81,7 @@ def fit_toxicity(
     z = np.abs(in1 / n1 - in0 / n0) / spread
     z[(in1 + in0) < min(LEAST_DOCUMENTS, n1)] = 0
     chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-    chosen = chosen[z[chosen] > 0]
+    chosen = chosen[(z[chosen] > 0) & (z[chosen] >= min(LEAST_Z, z.max() / 2))]
     place = np.full(BUCKETS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     ratio = np.log((in1[chosen] + 0.5) / (n1 + 1)) - np.log((in0[chosen] + 0.5) / (n0 + 1))
@@ -95,7 +96,7 @@ def fit_toxicity(
         slope = np.concatenate(
             [np.bincount(feature, miss[owner] * value, len(chosen)), [miss.sum()]]
         )
-        slope[:-1] += 1e-4 * theta[:-1]
+        slope[:-1] += 1e-3 * theta[:-1]
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
         theta = theta - 0.02 * (first / (1 - 0.9**step)) / (

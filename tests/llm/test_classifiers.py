@@ -46,7 +46,7 @@ def test_quality_on_held_out_labels(spark):
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = data(spark, "documents"), data(spark, "labels")
     train = labels.where("crc32(string(doc_id)) % 4 <> 2")
-    model = toxicity.train_toxicity(docs, train, 800)
+    model = toxicity.train_toxicity(docs, train)
     got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
     test = [r for r in labels.collect() if fold(r.doc_id, 4) == 2]
     hit = [got[r.doc_id].predicted for r in test if r.toxic == 1]
