@@ -11,58 +11,75 @@ from curbflow.llm.common import stored
 
 BLOCK_ROWS = 8192  # candidates whose sorted lists one task builds at a time
 QUERY_ROWS = 2048  # queries that one task holds at a time
-DEPTHS = (16, 64, 256)  # list depths after which the bound is tested; then the whole lists
+DEPTHS = (16, 64, 256)  # list depths at which the bound is tested; then the whole lists
 
 
 class SortedLists:
-    """Rows of one block, sorted in every dimension."""
+    """Rows of one block, sorted in every dimension; the ends of the lists are kept."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.values = ids[order], values[order]
-        self.rising = np.argsort(self.values, axis=0, kind="stable").T
+        rising = np.argsort(self.values, axis=0, kind="stable").T
+        self.low = np.ascontiguousarray(rising[:, : DEPTHS[-1]])
+        self.high = np.ascontiguousarray(rising[:, ::-1][:, : DEPTHS[-1]])
 
     def _prefix(self, dims: np.ndarray, up: np.ndarray, depth: int) -> np.ndarray:
-        """Places of the best ``depth`` rows for each dimension: from the end of the list if
-        the query is positive there, else from its start."""
-        ends = self.rising[dims]
-        return np.where(up[:, None], ends[:, ::-1][:, :depth], ends[:, :depth])
-
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (ids, scores), ties to smaller ids. Sorted access goes down all lists
-        together; each row seen is scored in full (random access); the search stops when the
-        sum of the products at the current depth is below the kth score, so that no unseen
-        row can reach or tie it."""
+        """Places of the best ``depth`` rows for each dimension: from the high end of the list
+        if the query is positive there, else from the low end."""
+        return np.where(up[:, None], self.high[dims, :depth], self.low[dims, :depth])
+
+    def _best(self, at: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best by falling score; rows are in id order, so the place breaks ties."""
+        if len(at) > k:
+            floor = np.partition(scores, len(at) - k)[len(at) - k]
+            close = scores >= floor
+            at, scores = at[close], scores[close]
+        order = np.lexsort((at, -scores))[:k]
+        return at[order], scores[order]
+
+    def _from_ends(self, query: np.ndarray, own: int, k: int):
+        """Sorted access goes down all lists together; each row seen is scored in full
+        (random access). Stops as soon as the sum of the products at the current depth is
+        below the kth score, so that no unseen row can reach or tie it; None if that does not
+        happen within the kept depth."""
         dims = np.flatnonzero(query)
         up = query[dims] > 0
         n = len(self.ids)
         seen = np.zeros(n, bool)
         best_at, best = np.empty(0, np.int64), np.empty(0, query.dtype)
-        for depth in (*DEPTHS, n):
-            depth = min(depth, n)
-            if depth == n or depth * len(dims) >= 4 * n or not len(dims):
-                depth, new = n, np.flatnonzero(~seen)
-            else:
-                mark = np.zeros(n, bool)
-                mark[self._prefix(dims, up, depth).ravel()] = True
-                new = np.flatnonzero(mark & ~seen)
-            seen[new] = True
+        for depth in DEPTHS:
+            if not len(dims) or depth >= n or depth * len(dims) >= 4 * n:
+                return None
+            ends = self._prefix(dims, up, depth)
+            mark = np.zeros(n, bool)
+            mark[ends] = True
+            new = np.flatnonzero(mark & ~seen)
+            seen |= mark
             score = self.values[new] @ query
             mine = self.ids[new] != own
-            at = np.concatenate([best_at, new[mine]])
-            all_scores = np.concatenate([best, score[mine]])
-            if len(at) > k:  # rows are in id order, so the place breaks ties
-                floor = np.partition(all_scores, len(at) - k)[len(at) - k]
-                close = all_scores >= floor
-                at, all_scores = at[close], all_scores[close]
-            order = np.lexsort((at, -all_scores))[:k]
-            best_at, best = at[order], all_scores[order]
-            if depth == n:
-                break
-            edge = self.values[self._prefix(dims, up, depth)[:, -1], dims]
+            best_at, best = self._best(
+                np.concatenate([best_at, new[mine]]), np.concatenate([best, score[mine]]), k
+            )
+            edge = self.values[ends[:, -1], dims]
             if len(best) == k and edge @ query[dims] < best[-1]:
-                break
-        return self.ids[best_at], best
+                return best_at, best
+        return None
+
+    def search(
+        self, queries: np.ndarray, own: np.ndarray, k: int
+    ) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The k best (ids, scores) of every query, ties to smaller ids. Queries whose bound
+        stays above their kth score go to the end of the lists together."""
+        found = [self._from_ends(q, int(o), k) for q, o in zip(queries, own)]
+        open_queries = [i for i, f in enumerate(found) if f is None]
+        for a in range(0, len(open_queries), 128):
+            some = open_queries[a : a + 128]
+            scores = queries[some] @ self.values.T
+            for i, line in zip(some, scores):
+                others = np.flatnonzero(self.ids != own[i])
+                found[i] = self._best(others, line[others], k)
+        return [(self.ids[at], score) for at, score in found]
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -84,8 +101,8 @@ def _search_cell(k: int):
                 block = np.array([[int(x) for x in row] for row in block], object)
                 asked = np.array([[int(x) for x in row] for row in asked], object)
             lists = SortedLists(rows["vec_id"].to_numpy(), block)
-            for own, query in zip(queries["vec_id"].tolist(), asked):
-                ids, scores = lists.search(query, own, k)
+            own_ids = queries["vec_id"].to_numpy()
+            for own, (ids, scores) in zip(own_ids.tolist(), lists.search(asked, own_ids, k)):
                 out["query_id"] += [own] * len(ids)
                 out["vec_id"] += ids.tolist()
                 out["score"] += [int(s) for s in scores]
