@@ -60,6 +60,8 @@ DID_DEMAND = (
 DID_OTHER = (
     "Policy-period treated-zone price or driver-side metric change relative to control zones."
 )
+DID_NO_VARIATION = "treated x post does not vary within zones"
+DID_COLLINEAR = "treated x post is a combination of the other design columns"
 DROP_REASON = "invalid time, location, distance, duration or fare values"
 
 SUPPLY_ACTION = "在目标时段前预部署司机，并按实时请求量动态调整区域推荐权重。"

@@ -133,9 +133,27 @@ def _matrix_sums(parts: DataFrame) -> DataFrame:
     )
 
 
-def _inverse(values: np.ndarray) -> tuple[np.ndarray, int]:
+def _gram(values: np.ndarray) -> np.ndarray:
     gram = values[: WIDTH * WIDTH].reshape(WIDTH, WIDTH)
-    gram = (gram + gram.T) / 2
+    return (gram + gram.T) / 2
+
+
+def unidentified(values: np.ndarray) -> str | None:
+    """Why the interaction coefficient cannot be told from the other columns, if so.
+
+    What is left of the interaction after projecting out all other design columns is the
+    Schur complement of its norm in the Gram matrix.
+    """
+    gram = _gram(values)
+    own = gram[0, 0]
+    if own <= 1e-10:
+        return L.DID_NO_VARIATION
+    rest = own - gram[0, 1:] @ np.linalg.pinv(gram[1:, 1:], rcond=1e-10, hermitian=True) @ gram[1:, 0]
+    return L.DID_COLLINEAR if rest <= 1e-8 * own else None
+
+
+def _inverse(values: np.ndarray) -> tuple[np.ndarray, int]:
+    gram = _gram(values)
     spectrum = np.linalg.eigvalsh(gram)
     tolerance = max(abs(spectrum).max(), 1.0) * 1e-10
     rank = int((spectrum > tolerance).sum())
@@ -155,7 +173,7 @@ def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     # weights of the interaction coefficient in the sandwich
                     "selector": inverse[0].tolist(),
                     "rank": rank,
-                    "identified": bool(values[0] > 1e-10),
+                    "reason": unidentified(values),
                 }
             )
         if out:
@@ -173,15 +191,21 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             error = math.sqrt(max(variance, 0.0))
             coef = row.beta[0]
             z = abs(coef) / error if error > 0 else math.inf
+            estimates = {
+                "coef_treated_post": coef,
+                "std_error": error,
+                "p_value": math.erfc(z / math.sqrt(2)),
+                "confidence_interval_low": coef - Z_95 * error,
+                "confidence_interval_high": coef + Z_95 * error,
+            }
+            if row.reason is not None:
+                estimates = dict.fromkeys(estimates)
             out.append(
                 {
                     "metric_name": row.metric_name,
-                    "coef_treated_post": coef,
-                    "std_error": error,
-                    "p_value": math.erfc(z / math.sqrt(2)),
-                    "confidence_interval_low": coef - Z_95 * error,
-                    "confidence_interval_high": coef + Z_95 * error,
+                    **estimates,
                     "n_observations": int(row.n_observations),
+                    "not_identified": row.reason,
                 }
             )
         if out:
@@ -197,7 +221,8 @@ def did_fixed_effects(
     """Treated x post coefficient with zone, hour and weekday effects and HC1 errors.
 
     Metrics that are absent from the panel, or have no more than ``min_rows``
-    values, are skipped. p-values and intervals use the normal distribution.
+    values, are skipped. A metric whose coefficient the panel cannot identify keeps its row,
+    with NULL estimates and the reason in ``not_identified``. p-values and intervals use the normal distribution.
     """
     present = [m for m in metrics if m in panel.columns]
     filled = panel.agg(F.struct(*[F.count(m).alias(m) for m in present]).alias("n")).scalar()
@@ -210,17 +235,22 @@ def did_fixed_effects(
     indicators = ["treated * post", "post"]
     indicators += [f"int(hour = {h})" for h in range(HOURS)]
     indicators += [f"int(weekday = {d})" for d in range(WEEKDAYS)]
-    zone_means = cells.groupBy("metric_name", "zone_id").agg(
-        F.expr("sum(n * y_mean) / sum(n)").alias("y_bar"),
-        *[F.expr(f"sum(n * {x}) / sum(n)").alias(m) for m, x in zip(MEANS, indicators)],
+    # A zone has at most 24 x 7 x 2 cells, so centring is a window and not a join.
+    zone = Window.partitionBy("metric_name", "zone_id")
+    size = F.sum("n").over(zone)
+
+    def zone_mean(value: str):
+        return F.sum(F.expr(f"n * ({value})")).over(zone) / size
+
+    centred = cells.withColumns(
+        {"y_bar": zone_mean("y_mean")} | {m: zone_mean(x) for m, x in zip(MEANS, indicators)}
     )
-    centred = cells.join(zone_means, ["metric_name", "zone_id"])
     gram = _matrix_sums(centred.mapInPandas(_partial_gram, PART_SCHEMA))
     fit = gram.mapInPandas(
         _solve,
         "metric_name string, beta array<double>, selector array<double>, rank int, "
-        "identified boolean",
-    ).where("identified")
+        "reason string",
+    )
     meat = _matrix_sums(
         centred.join(fit.select("metric_name", "beta"), "metric_name").mapInPandas(
             _partial_meat, PART_SCHEMA
@@ -236,7 +266,7 @@ def did_fixed_effects(
             _finish,
             "metric_name string, coef_treated_post double, std_error double, p_value double, "
             "confidence_interval_low double, confidence_interval_high double, "
-            "n_observations bigint",
+            "n_observations bigint, not_identified string",
         )
     )
     demand = F.col("metric_name") == "log_order_count"

@@ -1,7 +1,7 @@
 """One value format for both engines, so that result hashes can be compared.
 
-Doubles are rounded to six digits, integers widen to 64 bits, dates and timestamps
-become ISO text. Operators themselves return unrounded, typed columns.
+Doubles are rounded to six digits, those below 0.001 to ten, integers widen to 64 bits,
+dates and timestamps become ISO text. Operators themselves return unrounded, typed columns.
 
 Money columns often end exactly on half a unit of the sixth digit, where the last
 bit of a sum decides the rounding. A fixed shift far below one unit, added in both
@@ -15,6 +15,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 
 DIGITS = 6
+SMALL, SMALL_DIGITS = 1e-3, 10  # p-values and fee burdens keep their leading digits
 TIE_SHIFT = 1.7320508e-8
 # Columns of the given tables that the oracle SQL reads.
 TABLE_COLUMNS = {
@@ -26,6 +27,13 @@ TABLE_COLUMNS = {
     "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INTEGER, "
     "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE",
     "events": "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE",
+    "part": "p_partkey BIGINT",
+    "documents": "doc_id BIGINT",
+    "embeddings": "vec_id BIGINT",
+    "pages": "page_id BIGINT",
+    "benchmark": "item_id BIGINT",
+    "labels": "doc_id BIGINT",
+    "conversations": "conv_id BIGINT",
 }
 
 
@@ -34,7 +42,11 @@ def canonical(df: DataFrame) -> DataFrame:
     for name, kind in df.dtypes:
         value = f"`{name}`"
         if kind in ("double", "float") or kind.startswith("decimal"):
-            value = f"round(double({value}) + {TIE_SHIFT!r}D, {DIGITS}) + 0D"
+            value = f"double({value})"
+            value = (
+                f"CASE WHEN abs({value}) < {SMALL!r}D THEN round({value} + {TIE_SHIFT * 1e-4!r}D,"
+                f" {SMALL_DIGITS}) ELSE round({value} + {TIE_SHIFT!r}D, {DIGITS}) END + 0D"
+            )
         elif kind in ("int", "smallint", "tinyint"):
             value = f"bigint({value})"
         elif kind == "date":
@@ -62,7 +74,11 @@ def canonical_sql(query: str) -> str:
     for name, kind, *_ in described:
         quoted = f'"{name}"'
         if kind in ("DOUBLE", "FLOAT") or kind.startswith("DECIMAL"):
-            value = f"round(CAST({quoted} AS DOUBLE) + {TIE_SHIFT!r}, {DIGITS}) + 0e0"
+            value = f"CAST({quoted} AS DOUBLE)"
+            value = (
+                f"CASE WHEN abs({value}) < {SMALL!r} THEN round({value} + {TIE_SHIFT * 1e-4!r},"
+                f" {SMALL_DIGITS}) ELSE round({value} + {TIE_SHIFT!r}, {DIGITS}) END + 0e0"
+            )
         elif kind in ("HUGEINT", "INTEGER", "SMALLINT", "TINYINT", "UBIGINT"):
             value = f"CAST({quoted} AS BIGINT)"
         elif kind == "DATE":

@@ -569,7 +569,8 @@ FROM ({_DID_ROWS}) GROUP BY metric_name)""",
 simple(
     "did_fixed_effects",
     f"""SELECT *, CASE WHEN metric_name = 'log_order_count' THEN '{L.DID_DEMAND}'
-  ELSE '{L.DID_OTHER}' END AS business_interpretation FROM did_fit""",
+  ELSE '{L.DID_OTHER}' END AS business_interpretation,
+  CAST(NULL AS VARCHAR) AS not_identified FROM did_fit""",
     lambda c: causal.did_fixed_effects(c.stored_panel),
 )
 _METRIC_LABEL = "CASE metric_name " + " ".join(
@@ -982,33 +983,47 @@ FROM features GROUP BY ALL)""",
 # --- samples and files ----------------------------------------------------------
 
 
-@query("bounded_time_sample")
+_TIME_SAMPLE_SQL = """
+WITH placed AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n
+  FROM events),
+sliced AS (SELECT * EXCLUDE (i, n), i * 12 // n AS slice FROM placed),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY slice
+  ORDER BY md5(event_id || '|' || (42 + slice)), event_id) AS place FROM sliced)
+SELECT * EXCLUDE (slice, place) FROM ranked WHERE place <= 100
+ORDER BY md5(event_id || '|42'), event_id LIMIT 1200"""
+
+
+@query("bounded_time_sample", _TIME_SAMPLE_SQL)
 def _time_sample(job: Job) -> DataFrame:
     """Time-spread sample of the event file: 12 slices, 1,200 rows per file."""
     events = adapters.table(job.spark, job.folder, "events")
     return sampling.time_spread_sample(events, ["event_id"], 1200)
 
 
-@query("uniform_capped_sample")
+@query(
+    "uniform_capped_sample",
+    "SELECT * FROM trips ORDER BY md5(source_trip_id || '|42'), source_trip_id LIMIT 1000",
+)
 def _uniform(job: Job) -> DataFrame:
     return sampling.uniform_sample(job.chain.trips, ["source_trip_id"], 1000).drop("response_us")
 
 
-@query("file_inventory")
-def _inventory(job: Job) -> DataFrame:
-    return inventory.file_inventory(job.spark, f"{job.folder}/orders.parquet").unionByName(
-        inventory.file_inventory(job.spark, f"{job.folder}/lineitem.parquet")
-    ).unionByName(inventory.file_inventory(job.spark, f"{job.folder}/events.parquet"))
-
-
-@query("schema_report")
-def _schemas(job: Job) -> DataFrame:
-    return inventory.schema_report(job.spark, f"{job.folder}/*.parquet")
+_GIVEN = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 
 
-@query("schema_drift")
-def _drift(job: Job) -> DataFrame:
-    return inventory.schema_drift(inventory.schema_report(job.spark, f"{job.folder}/*.parquet"))
+@query(
+    "file_inventory",
+    " UNION ALL ".join(f"SELECT '{t}.parquet' AS file, count(*) AS rows FROM {t}" for t in _GIVEN),
+)
+def _inventory(job: Job) -> DataFrame:
+    """Rows of every file of the folder; a table folder counts under its own name."""
+    paths = [f"{job.folder}/{name}.parquet" for name in _GIVEN]
+    table = F.regexp_extract("path", r"/(\w+\.parquet)(/[^/]*)?$", 1)
+    files = inventory.file_inventory(job.spark, paths)
+    return files.groupBy(table.alias("file")).agg(F.sum("rows").alias("rows"))
 
 
 _SUMMARY = (

@@ -2,50 +2,34 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curbflow.session import ship_to_workers
 
-ship_to_workers(__name__)
-
-
-def file_inventory(spark: SparkSession, pattern: str) -> DataFrame:
-    """One row per file with its size in MB and row count; data columns stay unread."""
-    scan = spark.read.parquet(pattern)
-    return (
-        scan.groupBy(
-            F.col("_metadata.file_name").alias("file"),
-            F.round(F.col("_metadata.file_size") / 1024 / 1024, 2).alias("size_mb"),
-        )
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
-
-
-def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import pyarrow.fs as pafs
-    import pyarrow.parquet as pq
-
-    for batch in batches:
-        rows = []
-        for path in batch["path"]:
-            # Hadoop prints local paths as file:/x, Arrow expects file:///x
-            system, inner = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
-            with system.open_input_file(inner) as handle:
-                schema = pq.read_schema(handle)
-            name = inner.rsplit("/", 1)[-1]
-            rows += [(name, field.name, str(field.type)) for field in schema]
-        yield pd.DataFrame(rows, columns=["file", "column", "type"])
-
-
-def schema_report(spark: SparkSession, pattern: str) -> DataFrame:
-    """One row per file and column; each task opens the footers of its share of files."""
-    paths = spark.read.format("binaryFile").load(pattern).select("path")
-    return paths.mapInPandas(_footers, "file string, column string, type string")
+def file_inventory(spark: SparkSession, pattern: str | Sequence[str]) -> DataFrame:
+    """One row per file with its size in MB and row count; data columns stay unread.
+
+    Files of a folder may have different schemas, so no column is asked for.
+    """
+    patterns = [pattern] if isinstance(pattern, str) else list(pattern)
+    scan = spark.read.schema("_none int").parquet(*patterns)
+    return scan.groupBy(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_name").alias("file"),
+        F.round(F.col("_metadata.file_size") / 1024 / 1024, 2).alias("size_mb"),
+    ).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def schema_report(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """One row per file (or table folder) and column, as Spark reads the schema."""
+    rows = [
+        (path.rstrip("/").rsplit("/", 1)[-1], field.name, field.dataType.simpleString())
+        for path in paths
+        for field in spark.read.parquet(path).schema
+    ]
+    return spark.createDataFrame(rows, "file string, column string, type string")
 
 
 def schema_drift(report: DataFrame) -> DataFrame:

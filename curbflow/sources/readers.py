@@ -22,15 +22,18 @@ ZONE_SCHEMA = "LocationID int, Borough string, Zone string, service_zone string"
 
 
 def list_files(spark: SparkSession, pattern: str, first: int | None = None) -> list[str]:
-    """Sorted paths that match a glob; error when none do. File contents stay unread."""
+    """Sorted paths that match a glob; error when none do. File contents stay unread.
+
+    Meant for folders with a file per month. Only ``first`` paths, if given, reach the driver.
+    """
     try:
-        listing = spark.read.format("binaryFile").load(pattern).select("path")
-        found = sorted(row.path for row in listing.collect())
+        listing = spark.read.format("binaryFile").load(pattern).select("path").orderBy("path")
+        found = [row.path for row in (listing.limit(first) if first else listing).collect()]
     except AnalysisException:
         found = []
     if not found:
         raise FileNotFoundError(f"no file matches {pattern}")
-    return found[:first] if first else found
+    return found
 
 
 def service_files(
@@ -39,6 +42,63 @@ def service_files(
     return list_files(spark, f"{root.rstrip('/')}/{SERVICE_PATTERNS[service]}", first)
 
 
+def month_of(path: str) -> str:
+    """File name without folder; a folder of part files counts as one file."""
+    return path.rstrip("/").rsplit("/", 1)[-1]
+
+
+NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+           T.DecimalType)
+
+
+def common_type(kinds: Sequence[T.DataType]) -> T.DataType:
+    """The type that holds the values of all ``kinds`` of a column.
+
+    Whole numbers widen to bigint, other numbers to double, dates and timestamps to
+    timestamps without zone; anything else meets as text. An untyped (all-null) column
+    takes the type of the others.
+    """
+    known = [k for k in dict.fromkeys(kinds) if not isinstance(k, T.NullType)]
+    if not known:
+        return T.StringType()
+    if len(known) == 1:
+        return known[0]
+    if all(isinstance(k, NUMBERS) for k in known):
+        broken = (T.FloatType, T.DoubleType, T.DecimalType)
+        return T.DoubleType() if any(isinstance(k, broken) for k in known) else T.LongType()
+    if all(isinstance(k, (T.DateType, T.TimestampType, T.TimestampNTZType)) for k in known):
+        return T.TimestampNTZType()
+    return T.StringType()
+
+
+def stack_months(frames: Sequence[DataFrame]) -> DataFrame:
+    """Union by column name, regardless of case, with drifting types brought together.
+
+    A column that a month lacks reads as NULL there. The casts sit in the projection of each
+    scan, so column pruning still reaches the files.
+    """
+    names: dict[str, str] = {}
+    kinds: dict[str, list[T.DataType]] = {}
+    for frame in frames:
+        for field in frame.schema:
+            names.setdefault(field.name.lower(), field.name)
+            kinds.setdefault(field.name.lower(), []).append(field.dataType)
+    target = {key: common_type(found) for key, found in kinds.items()}
+    stacked = None
+    for frame in frames:
+        own = {field.name.lower(): field.name for field in frame.schema}
+        aligned = frame.select(
+            *[
+                (F.col(f"`{own[key]}`") if key in own else F.lit(None))
+                .cast(target[key])
+                .alias(name)
+                for key, name in names.items()
+            ]
+        )
+        stacked = aligned if stacked is None else stacked.unionByName(aligned)
+    return stacked
+
+
 def read_trips(
     spark: SparkSession,
     paths: Sequence[str],
@@ -46,13 +106,21 @@ def read_trips(
 ) -> DataFrame:
     """Scan month files; ``months`` prunes files by name before Spark opens them.
 
-    ``mergeSchema`` reconciles files written before a column existed; the missing
-    column reads as NULL and the normalisers default it.
+    Files of one month share a schema; months may differ in types and columns. Months of
+    equal schema are one scan, and the scans are stacked (``stack_months``).
     """
-    chosen = [p for p in paths if not months or any(month in p.rsplit("/", 1)[-1] for month in months)]
+    chosen = [p for p in paths if not months or any(month in month_of(p) for month in months)]
     if not chosen:
         raise FileNotFoundError(f"no file for the months {list(months or ())}")
-    return spark.read.option("mergeSchema", "true").parquet(*chosen)
+    scans: dict[str, list[str]] = {}
+    schemas: dict[str, T.StructType] = {}
+    for path in chosen:
+        schema = spark.read.parquet(path).schema
+        schemas[schema.json()] = schema
+        scans.setdefault(schema.json(), []).append(path)
+    return stack_months(
+        [spark.read.schema(schemas[key]).parquet(*same) for key, same in scans.items()]
+    )
 
 
 def read_zones(spark: SparkSession, path: str) -> DataFrame:

@@ -1,9 +1,9 @@
-"""Reproducible samples of an exact size, without a global sort.
+"""Reproducible samples of an exact size, without a global sort or a shuffle of the table.
 
-A row's place in the sample is the hash of its key and a seed. The hash range is
-counted in cells, the cell that holds the k-th smallest hash is located from these
-counts, all rows below that cell pass, and only the rows of that one cell are
-ordered. No task sees more than one cell (about 1/65,536) of a group.
+A row's place in the sample is an md5 hash of its key and a seed, so any engine that has md5
+can repeat the choice. Only keys and hashes are counted, by hash cell; the counts give one
+hash bound per group, as a value inside the plan. The table is then filtered by this bound in
+its scan, and only the few rows that pass, with all their columns, are put in order.
 """
 
 from __future__ import annotations
@@ -13,42 +13,61 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curbflow.functions.columns import null_safe_join
+CELL_DIGITS = 4  # hexadecimal digits of a hash cell: 65,536 cells
 
-HASH_BITS = 16
+
+def sample_hash(key: Sequence[str], seed: int | Column) -> Column:
+    """Hexadecimal md5 of the key columns and a seed, joined by "|"."""
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]
+    return F.md5(F.concat_ws("|", *parts, seed.cast("string")))
+
+
+def _bounds(cells: DataFrame, k: int) -> DataFrame:
+    """Per group the first hash cell up to which at least ``k`` rows lie, else the last."""
+    order = Window.partitionBy("group").orderBy("cell")
+    upto = cells.withColumn("upto", F.sum("n").over(order))
+    return upto.groupBy("group").agg(
+        F.coalesce(F.min(F.when(F.col("upto") >= k, F.col("cell"))), F.max("cell")).alias("cell")
+    )
 
 
 def smallest_hashes(
-    df: DataFrame, groups: Sequence[str], key: Sequence[str], k: int, seed: int | Column
+    df: DataFrame, group: Column, key: Sequence[str], k: int, seed: int | Column
 ) -> DataFrame:
     """The ``k`` rows of every group with the smallest hash of ``key`` and ``seed``.
 
-    ``key`` identifies a row; an empty ``groups`` samples the whole frame.
+    ``key`` identifies a row; equal hashes are ordered by key. The number of groups must be
+    small (slices of a few files): one bound per group travels as a map inside the plan.
     """
-    seed = seed if isinstance(seed, Column) else F.lit(seed)
-    marked = df.withColumn("_hash", F.xxhash64(*key, seed)).withColumn(
-        "_cell", F.shiftright("_hash", 64 - HASH_BITS)
+    digest = sample_hash(key, seed)
+    cells = (
+        df.select(
+            group.cast("string").alias("group"), F.substring(digest, 1, CELL_DIGITS).alias("cell")
+        )
+        .groupBy("group", "cell")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    bounds = (
+        _bounds(cells, k)
+        .agg(F.map_from_entries(F.collect_list(F.struct("group", "cell"))).alias("cells"))
+        .scalar()
     )
-    groups = list(groups)
-    counts = marked.groupBy(*groups, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    window = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
-    before = F.sum("_n").over(window.orderBy("_cell")) - F.col("_n")
-    cells = counts.withColumn("_before", before).where(F.col("_before") < k)
-    kept = null_safe_join(marked, cells, [*groups, "_cell"], "inner")
-    fits = F.col("_before") + F.col("_n") <= k
-    order = Window.partitionBy(*groups, "_cell").orderBy("_hash", *key)
-    edge = (
-        kept.where(~fits)
-        .withColumn("_place", F.row_number().over(order))
-        .where(F.col("_place") <= k - F.col("_before"))
-        .drop("_place")
+    bound = F.element_at(bounds, group.cast("string"))
+    near = df.where(F.substring(digest, 1, CELL_DIGITS) <= bound).select(
+        "*", group.alias("_group"), digest.alias("_hash")
+    )
+    order = Window.partitionBy("_group").orderBy("_hash", *key)
+    return (
+        near.withColumn("_place", F.row_number().over(order))
+        .where(F.col("_place") <= k)
+        .drop("_place", "_group")
     )
-    return kept.where(fits).unionByName(edge).drop("_hash", "_cell", "_before", "_n")
 
 
 def uniform_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """At most ``n`` rows, uniform and reproducible."""
-    return smallest_hashes(df, [], key, n, seed)
+    return smallest_hashes(df, F.lit("all"), key, n, seed).drop("_hash")
 
 
 def time_spread_sample(
@@ -56,21 +75,31 @@ def time_spread_sample(
 ) -> DataFrame:
     """At most ``max_rows`` rows per file, spread over ``slices`` parts of the file.
 
-    ``files`` is a file scan; the slice follows from the row's position in its
-    file, so rows are neither sorted nor numbered.
+    ``files`` is a file scan; the slice follows from the row's position in its file, so
+    rows are neither sorted nor numbered. Row counts per file come from the same metadata.
     """
+    columns = files.columns
     located = files.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.row_index").alias("_row"),
     )
-    sizes = located.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
-    sliced = located.join(sizes, "_file").withColumn(
-        "_slice", F.expr(f"int(_row * {slices} div _rows)")
+    sizes = (
+        located.groupBy("_file")
+        .agg((F.max("_row") + 1).alias("n"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("_file", "n"))).alias("sizes"))
+        .scalar()
+    )
+    sliced = located.withColumn(
+        "_slice", F.floor(F.col("_row") * slices / F.element_at(sizes, F.col("_file"))).cast("int")
     )
     per_slice = -(-max_rows // slices)
-    spread = smallest_hashes(
-        sliced, ["_file", "_slice"], key, per_slice, F.lit(seed) + F.col("_slice")
+    cell = F.concat_ws("#", F.col("_file"), F.col("_slice").cast("string"))
+    spread = smallest_hashes(sliced, cell, key, per_slice, F.lit(seed) + F.col("_slice"))
+    # The slices hold a little more than the cap; what remains is small enough to order.
+    order = Window.partitionBy("_file").orderBy(sample_hash(key, seed), *key)
+    return (
+        spread.withColumn("_place", F.row_number().over(order))
+        .where(F.col("_place") <= max_rows)
+        .select(*columns)
     )
-    capped = smallest_hashes(spread, ["_file"], key, max_rows, seed)
-    return capped.drop("_file", "_row", "_rows", "_slice")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from curbflow import labels as L
 from curbflow.operators import causal, compare, forecast, timeseries
 from curbflow.spec import PolicySpec
 
@@ -157,7 +158,7 @@ def test_did_matches_a_dense_fit(spark):
     coef, error = dense_fit(rows)
     assert got[0].coef_treated_post == pytest.approx(coef, abs=1e-9)
     assert got[0].std_error == pytest.approx(error, rel=1e-9)
-    assert got[0].n_observations == len(rows)
+    assert got[0].n_observations == len(rows) and got[0].not_identified is None
     half = 1.959963984540054 * error
     assert got[0].confidence_interval_high - coef == pytest.approx(half)
 
@@ -169,6 +170,27 @@ def test_did_skips_thin_metrics(spark):
     assert causal.did_fixed_effects(panel, ["log_order_count"]).count() == 0
 
 
+@pytest.mark.parametrize(
+    "groups, days, reason",
+    [
+        (("treated_zones",), (-3, -2, 2, 3), L.DID_COLLINEAR),
+        (("control_zones",), (-3, -2, 2, 3), L.DID_NO_VARIATION),
+        (("treated_zones", "control_zones"), (-5, -4, -3, -2), L.DID_NO_VARIATION),
+    ],
+)
+def test_did_names_what_it_cannot_identify(spark, groups, days, reason):
+    rng = np.random.default_rng(5)
+    rows = [
+        (*cell(z, d, h, 1, groups[z % len(groups)]), float(rng.normal() + 2 * (d >= 0)))
+        for z in range(4) for d in days for h in (1, 7, 9)
+    ]
+    panel = spark.createDataFrame(rows, PANEL + ", log_order_count double")
+    got = causal.did_fixed_effects(panel, ["log_order_count"]).first()
+    assert got.not_identified == reason and got.n_observations == len(rows)
+    assert got.coef_treated_post is None and got.p_value is None
+    assert causal.did_intervals(causal.did_fixed_effects(panel, ["log_order_count"])).count() == 1
+
+
 def test_chrono_cutoff_is_the_row_quantile(spark):
     days = [0] * 5 + [1] * 3 + [2] * 1 + [3] * 2
     panel = spark.createDataFrame([cell(1, d, i, 1) for i, d in enumerate(days)], PANEL)

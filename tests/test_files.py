@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,15 +19,36 @@ def test_smallest_hashes_against_brute_force(spark):
         "id", F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 5))
         .alias("g"),
     )
-    hashed = df.withColumn("h", F.xxhash64("id", F.lit(42))).collect()
-    got = sampling.smallest_hashes(df, ["g"], ["id"], 500, 42)
+    got = sampling.smallest_hashes(df, F.col("g"), ["id"], 500, 42).drop("_hash")
     assert got.columns == ["id", "g"]
     picked = {}
     for r in got.collect():
         picked.setdefault(r.g, set()).add(r.id)
-    for g in {r.g for r in hashed}:
-        rows = sorted((r.h, r.id) for r in hashed if r.g == g)
-        assert picked[g] == {i for _, i in rows[:500]}
+    groups = {}
+    for r in df.collect():
+        digest = hashlib.md5(f"{r.id}|42".encode()).hexdigest()
+        groups.setdefault(r.g, []).append((digest, r.id))
+    assert picked == {g: {i for _, i in sorted(rows)[:500]} for g, rows in groups.items()}
+
+
+def test_samples_never_shuffle_unchosen_payload(spark):
+    """Exchanges carry counts, or rows that already passed the hash bound."""
+    trips = adapters.table(spark, SMALL, "events")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        for sample in (
+            sampling.uniform_sample(trips, ["event_id"], 20),
+            sampling.time_spread_sample(trips, ["event_id"], 24),
+        ):
+            sample.collect()
+            plan = sample._jdf.queryExecution().executedPlan().toString()
+            final = plan.split("== Initial Plan ==")[0]
+            assert "Join" not in final
+            payload = [x for x in final.split("Exchange ") if "user_id" in x]
+            assert payload and all("md5(" in x for x in payload[-1:])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 def test_uniform_sample_size(spark):
@@ -46,14 +70,39 @@ def test_time_spread_sample_covers_every_slice(spark):
 
 def test_inventory_and_schema_report(spark):
     row = inventory.file_inventory(spark, f"{SMALL}/nation.parquet").first()
-    assert (row.file, row.rows) == ("nation.parquet", 25)
-    report = inventory.schema_report(spark, f"{SMALL}/{{nation,region}}.parquet")
+    assert (row.file, row.rows) == ("nation.parquet", 25) and row.size_mb >= 0
+    tables = [f"{SMALL}/{name}.parquet" for name in ("nation", "region")]
+    report = inventory.schema_report(spark, tables)
     assert {(r.file, r.column, r.type) for r in report.collect()} >= {
-        ("nation.parquet", "n_name", "string"), ("region.parquet", "r_regionkey", "int32"),
+        ("nation.parquet", "n_name", "string"), ("region.parquet", "r_regionkey", "int"),
     }
     assert inventory.schema_drift(report).where("column = 'n_name'").first().file_count == 1
 
 
+def test_months_with_drifting_types_stack(spark, tmp_path):
+    months = {
+        "2024-11": "SELECT 1 AS PULocationID, 2.5D AS fare, DATE '2024-11-02' AS at, NULL AS fee",
+        "2024-12": "SELECT 2L AS PULocationID, 7L AS fare, TIMESTAMP_NTZ '2024-12-01 03:00:00' AS at",
+        "2025-01": "SELECT 3D AS PULocationID, 1.5 AS fare, 'x' AS extra, 4 AS FEE",
+        "2025-02": "SELECT 9 AS PULocationID, 9.0D AS fare",
+    }
+    for month, sql in months.items():
+        spark.sql(sql).write.parquet(str(tmp_path / f"fhvhv/fhvhv_tripdata_{month}.parquet"))
+    paths = [str(tmp_path / f"fhvhv/fhvhv_tripdata_{m}.parquet") for m in months]
+    got = readers.read_trips(spark, paths, ["2024-11", "2024-12", "2025-01"])
+    assert dict(got.dtypes) == {
+        "PULocationID": "double", "fare": "double", "at": "timestamp_ntz", "fee": "int",
+        "extra": "string",
+    }
+    assert sorted((r.PULocationID, r.fare, r.extra, r.fee) for r in got.collect()) == [
+        (1, 2.5, None, None), (2, 7, None, None), (3, 1.5, "x", 4),
+    ]
+    plan = got.select("fare")._jdf.queryExecution().executedPlan().toString()
+    assert "extra" not in plan
+    with pytest.raises(FileNotFoundError):
+        readers.read_trips(spark, paths, ["2030-01"])
+
+
 def test_partition_overwrite_keeps_other_months(spark, tmp_path):
     path = str(tmp_path / "months")
     df = spark.createDataFrame([("a", 1), ("b", 2)], "m string, x int")
