@@ -55,6 +55,16 @@ def n_words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def hash_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """At most ``rows`` rows, chosen by hash of ``keys``. A large table is first cut down to
+    about four times as many by a bound on the hash, so little is sent to be ordered."""
+    place = F.xxhash64(*keys, F.lit(5))
+    total = df.count()
+    if total > 4 * rows:
+        df = df.where(F.pmod(place, F.lit(1 << 31)) < (4 * rows << 31) // total)
+    return df.orderBy(place, *keys).limit(rows)
+
+
 def ordered_offsets(df: DataFrame, order: list[str], sums: dict[str, str], name: str) -> DataFrame:
     """Global running sums before each row, in ``order``, without one task for all rows.
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbflow.llm.common import runs, stored
+from curbflow.llm.common import hash_sample, runs, stored
 from curbflow.llm.graph import components, spanning_forest
 
 COSINE = 0.98
@@ -195,7 +195,7 @@ def embedding_links(
         ),
         "embed-classes",
     )
-    sample = classes.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(SAMPLE_ROWS).select("vector")
+    sample = hash_sample(classes.select("node", "vector"), ["node"], SAMPLE_ROWS).select("vector")
     chosen = sample.toPandas()["vector"]
     width = int(chosen.map(len).max()) if len(chosen) else 0
     unit = _unit(chosen, width)

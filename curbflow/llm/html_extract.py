@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curbflow.llm.common import hash_sample
+
 SAMPLE_PAGES = 300  # bound on the pages that training sees
 LAYOUTS = 4  # layouts that each training page is given besides its own
 TRAIN_BLOCKS = 60  # training pages have at most so many blocks; decoding has no bound
@@ -319,13 +321,8 @@ def train_crf(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Crf | None:
     """Fit on at most ``sample_pages`` pages that have an article element, chosen by hash of
     page_id. Their markup is the label; each page is also laid out anew (``_variants``), so
     that pages without the element are read by their other signs."""
-    rows = (
-        pages.where(F.lower("html").contains("<article"))
-        .select("page_id", "html")
-        .orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html"))
-        .limit(sample_pages)
-        .collect()
-    )
+    labelled = pages.where(F.lower("html").contains("<article")).select("page_id", "html")
+    rows = hash_sample(labelled, ["page_id", "html"], sample_pages).collect()
     features, labels = [], []
     for seed, row in enumerate(rows):
         blocks = leaf_blocks(row.html)[:TRAIN_BLOCKS]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbflow.llm.common import stored
+from curbflow.llm.common import hash_sample, stored
 
 BUCKETS = 1 << 15
 SAMPLE_ROWS = 4000  # bound on labelled rows that training sees
@@ -166,10 +166,13 @@ def train_quality(
     bounds the broadcast of its ids.
     """
     chosen = stored(
-        grades.where("doc_id IS NOT NULL AND grade >= 0")
-        .select("doc_id", F.col("grade").cast("int").alias("grade"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "grade")
-        .limit(sample_rows),
+        hash_sample(
+            grades.where("doc_id IS NOT NULL AND grade >= 0").select(
+                "doc_id", F.col("grade").cast("int").alias("grade")
+            ),
+            ["doc_id", "grade"],
+            sample_rows,
+        ),
         "quality-sample",
     )
     rows = (

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbflow.llm.common import stored
+from curbflow.llm.common import hash_sample, stored
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 22
@@ -41,13 +41,18 @@ def gram_buckets(text: str) -> Iterator[np.ndarray]:
 
 @dataclass
 class ToxicityModel:
-    """logit = bias + sum of weights of the features present; ``place`` maps buckets to
-    features, -1 for the others."""
+    """logit = bias + sum of the weights of the features present; ``buckets`` are theirs."""
 
-    place: np.ndarray
+    buckets: np.ndarray
     weights: np.ndarray
     bias: float
 
+    def places(self) -> np.ndarray:
+        """Feature of each bucket, -1 for the others."""
+        place = np.full(BUCKETS, -1, np.int32)
+        place[self.buckets] = np.arange(len(self.buckets))
+        return place
+
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -72,21 +77,24 @@ def fit_toxicity(
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     if not n1 or not n0:
         return None
-    at = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    in1 = np.bincount(at[toxic[owner]], minlength=BUCKETS)
-    in0 = np.bincount(at[~toxic[owner]], minlength=BUCKETS)
+    seen = np.zeros((2, BUCKETS), np.int32)  # documents of each class that have the n-gram
+    for found, kind in zip(rows, toxic):
+        seen[int(kind), found] += 1
+    often = np.flatnonzero(seen.sum(axis=0) >= min(LEAST_DOCUMENTS, n1))
+    in0, in1 = seen[:, often]
     shared = (in1 + in0) / (n1 + n0)
     spread = np.sqrt(np.maximum(shared * (1 - shared) * (1 / n1 + 1 / n0), 1e-12))
     z = np.abs(in1 / n1 - in0 / n0) / spread
-    z[(in1 + in0) < min(LEAST_DOCUMENTS, n1)] = 0
-    chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-    chosen = chosen[(z[chosen] > 0) & (z[chosen] >= min(LEAST_Z, z.max() / 2))]
-    place = np.full(BUCKETS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    ratio = np.log((in1[chosen] + 0.5) / (n1 + 1)) - np.log((in0[chosen] + 0.5) / (n0 + 1))
-    feature = place[at]
-    owner, feature = owner[feature >= 0], feature[feature >= 0]
+    best = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
+    best = best[(z[best] > 0) & (z[best] >= min(LEAST_Z, z.max(initial=0) / 2))]
+    chosen, in0, in1 = often[best], in0[best], in1[best]
+    model = ToxicityModel(chosen, np.zeros(len(chosen)), 0.0)
+    place = model.places()
+    ratio = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
+    present = [place[found] for found in rows]
+    present = [p[p >= 0] for p in present]
+    feature = np.concatenate(present)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(p) for p in present])
     value, y = ratio[feature], toxic.astype(float)
     theta = np.zeros(len(chosen) + 1)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
@@ -103,7 +111,7 @@ def fit_toxicity(
             np.sqrt(second / (1 - 0.999**step)) + 1e-8
         )
     shift = np.log(prior / (1 - prior)) - np.log(n1 / n0)
-    return ToxicityModel(place, theta[:-1] * ratio, float(theta[-1] + shift))
+    return ToxicityModel(chosen, theta[:-1] * ratio, float(theta[-1] + shift))
 
 
 def train_toxicity(
@@ -117,10 +125,9 @@ def train_toxicity(
     share = known.agg(F.avg("toxic")).first()[0]
     if share is None:
         return None
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = stored(
-        known.where("toxic = 1").orderBy(*order).limit(class_sample).unionByName(
-            known.where("toxic = 0").orderBy(*order).limit(class_sample)
+        hash_sample(known.where("toxic = 1"), ["doc_id"], class_sample).unionByName(
+            hash_sample(known.where("toxic = 0"), ["doc_id"], class_sample)
         ),
         "toxic-sample",
     )
@@ -145,6 +152,7 @@ def train_toxicity(
 def _scorer(model: ToxicityModel | None):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = np.zeros(len(model.weights) if model else 0, bool)
+        place = model.places() if model else None
         for batch in batches:
             scores = []
             for text in batch.column("text").to_pylist():
@@ -153,7 +161,7 @@ def _scorer(model: ToxicityModel | None):
                     continue
                 present[:] = False
                 for buckets in gram_buckets(text or ""):
-                    at = model.place[buckets]
+                    at = place[buckets]
                     present[at[at >= 0]] = True
                 logit = model.bias + float(model.weights[present].sum())
                 scores.append(float(1 / (1 + np.exp(-np.clip(logit, -500, 500)))))
