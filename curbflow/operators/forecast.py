@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from curbflow.operators.timeseries import demand_lags, rolling_means
 from curbflow.session import materialize
 
+LEVEL_MEMORY_MB = 1024  # node statistics of one round of splits
+
 # Feature lists and model settings.
 FORECAST_FEATURES = (
     "zone_id", "hour", "weekday", "is_weekend", "month", "avg_trip_miles", "avg_fare_per_mile",
@@ -29,11 +31,15 @@ LEGACY_FEATURES = ("pickup_hour", "weekday", "day", "is_weekend", "pickup_locati
 
 @dataclass(frozen=True)
 class ForestSettings:
-    """``max_depth`` bounds the node statistics that one round of splits has to shuffle."""
+    """Depth 30 is the most the learner allows; trees without a limit end far earlier.
+
+    ``bins`` is at least the number of zones, so that every zone can be split from the next.
+    """
 
     trees: int = 160
     min_leaf: int = 2
-    max_depth: int = 10
+    max_depth: int = 30
+    bins: int = 512
     seed: int = 42
 
 
@@ -44,10 +50,14 @@ class BoostSettings:
     step: float = 0.06
     subsample: float = 0.85
     min_leaf: int = 1
+    bins: int = 512
+    columns: str = "0.9"
     seed: int = 42
 
 
-BASELINE_BOOST = BoostSettings(rounds=100, max_depth=5, step=0.1, subsample=1.0, min_leaf=20)
+BASELINE_BOOST = BoostSettings(
+    rounds=100, max_depth=5, step=0.1, subsample=1.0, min_leaf=20, columns="all"
+)
 LEGACY_FOREST = ForestSettings(trees=120, min_leaf=3, max_depth=14)
 
 
@@ -133,13 +143,15 @@ def _regressors(label: str, forest: ForestSettings, boost: BoostSettings) -> Map
     return {
         "random_forest": RandomForestRegressor(
             labelCol=label, numTrees=forest.trees, minInstancesPerNode=forest.min_leaf,
-            maxDepth=forest.max_depth, maxBins=64, featureSubsetStrategy="all",
-            seed=forest.seed,
+            maxDepth=forest.max_depth, maxBins=forest.bins, featureSubsetStrategy="all",
+            maxMemoryInMB=LEVEL_MEMORY_MB, cacheNodeIds=True, seed=forest.seed,
         ),
+        # The column share is drawn per node, not per tree: the nearest this learner has.
         "gradient_boosting": GBTRegressor(
             labelCol=label, maxIter=boost.rounds, maxDepth=boost.max_depth, stepSize=boost.step,
-            subsamplingRate=boost.subsample, minInstancesPerNode=boost.min_leaf, maxBins=64,
-            seed=boost.seed,
+            subsamplingRate=boost.subsample, minInstancesPerNode=boost.min_leaf,
+            maxBins=boost.bins, featureSubsetStrategy=boost.columns,
+            maxMemoryInMB=LEVEL_MEMORY_MB, seed=boost.seed,
         ),
     }
 
@@ -289,8 +301,8 @@ def fit_legacy_demand(
         ),
         RandomForestRegressor(
             labelCol="trip_count", numTrees=forest.trees, maxDepth=forest.max_depth,
-            minInstancesPerNode=forest.min_leaf, maxBins=64, featureSubsetStrategy="all",
-            seed=forest.seed,
+            minInstancesPerNode=forest.min_leaf, maxBins=forest.bins,
+            featureSubsetStrategy="all", maxMemoryInMB=LEVEL_MEMORY_MB, seed=forest.seed,
         ),
     ]
     fitted = Pipeline(stages=stages).fit(split.where("is_train"))

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbflow.functions.columns import MICROS_PER_MINUTE
-from curbflow.functions.quantiles import exact_quantiles
 from curbflow.operators.features import calendar, zone_groups
 from curbflow.spec import PolicySpec
 
@@ -46,6 +45,19 @@ def _means():
     ]
 
 
+def _response_quantiles(**probs: float):
+    """Exact quantiles in the same pass as the means.
+
+    The buffer of a group holds its distinct response times, and a group is one zone (or zone
+    pair) in one hour: at most a few thousand trips, whatever the length of the history.
+    Coarser grains use ``exact_quantiles``.
+    """
+    return [
+        (F.percentile("response_us", p) / F.lit(float(MICROS_PER_MINUTE))).alias(name)
+        for name, p in probs.items()
+    ]
+
+
 def _zone_columns(zones: DataFrame, spec: PolicySpec) -> DataFrame:
     return zone_groups(zones, spec).select("zone_id", "zone_name", "borough", "zone_group")
 
@@ -65,13 +77,9 @@ def zone_hour_panel(features: DataFrame, zones: DataFrame, spec: PolicySpec) ->
         count_where(F.col("is_dropoff_treated")).alias("treated_dropoff_count"),
         count_where(F.col("is_pickup_spillover")).alias("spillover_pickup_count"),
         count_where(F.col("is_pickup_control")).alias("control_pickup_count"),
+        *_response_quantiles(response_time_p50=0.5, response_time_p90=0.9),
     )
-    spread = exact_quantiles(
-        features, HOUR_KEYS, "response_us",
-        {"response_time_p50": 0.5, "response_time_p90": 0.9},
-        scale=MICROS_PER_MINUTE, nullable_keys=False,
-    )
-    keyed = measures.join(spread, HOUR_KEYS, "left").withColumnsRenamed(
+    keyed = measures.withColumnsRenamed(
         {"pickup_location_id": "zone_id", "trip_hour": "hour"}
     )
     named = keyed.join(_zone_columns(zones, spec), "zone_id", "left").withColumnRenamed(
@@ -93,12 +101,9 @@ def od_hour_panel(features: DataFrame, zones: DataFrame, spec: PolicySpec) -> Da
         *_means(),
         F.bool_or("is_cross_treated_trip").alias("is_cross_treated_od"),
         F.bool_or("is_airport_trip").alias("is_airport_od"),
+        *_response_quantiles(response_time_p90=0.9),
     )
-    spread = exact_quantiles(
-        features, OD_KEYS, "response_us", {"response_time_p90": 0.9},
-        scale=MICROS_PER_MINUTE, nullable_keys=False,
-    )
-    panel = measures.join(spread, OD_KEYS, "left")
+    panel = measures
     for role in ("pickup", "dropoff"):
         names = zones.select(
             F.col("zone_id").alias(f"{role}_location_id"),

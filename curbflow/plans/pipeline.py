@@ -20,7 +20,8 @@ from curbflow.spec import NYC_CONGESTION_PRICING, PolicySpec
 
 @dataclass
 class Chain:
-    """Lazy frames of one data set; every property is a plan, nothing runs here."""
+    """Frames of one data set. Plain properties are plans; those named ``stored_...`` and the
+    fitted models run their jobs when first asked for, and keep the result."""
 
     raw_ride_hailing: Callable[[], DataFrame]
     raw_yellow: Callable[[], DataFrame] | None
@@ -29,14 +30,10 @@ class Chain:
 
     @classmethod
     def over_tables(cls, spark: SparkSession, sf_dir: str) -> Chain:
-        """Chain over the star-schema stand-ins.
-
-        The stand-in trips land once as raw files, as real trip files do, so that
-        jobs scan columns and push filters instead of repeating the derivation.
-        """
+        """Chain over the star-schema stand-ins, which are plans over the given tables."""
         return cls(
-            lambda: materialize(adapters.raw_trips_hv(spark, sf_dir), "raw-hv", False),
-            lambda: materialize(adapters.raw_trips_yellow(spark, sf_dir), "raw-yellow", False),
+            lambda: adapters.raw_trips_hv(spark, sf_dir),
+            lambda: adapters.raw_trips_yellow(spark, sf_dir),
             lambda: adapters.zones(spark, sf_dir),
             adapters.ADAPTER_SPEC,
         )
@@ -143,27 +140,37 @@ class Chain:
 
 
 def run_pipeline(
-    chain: Chain, out: str, boost: forecast.BoostSettings = forecast.BASELINE_BOOST
+    chain: Chain,
+    out: str,
+    boost: forecast.BoostSettings = forecast.BASELINE_BOOST,
+    demand: forecast.BoostSettings = forecast.BoostSettings(),
+    forest: forecast.ForestSettings = forecast.ForestSettings(),
 ) -> dict[str, str]:
-    """Write trips, panels, metrics and results once, layer by layer.
+    """Write trips, panels, metrics, forecasts and results once, layer by layer.
 
     Each layer reads the files of the layer below, so a lost executor repeats one
-    layer at most. Returns the path of every table.
+    layer at most. Tables of the warehouse are written where and as ``warehouse.TABLES``
+    says; all other results are Parquet under ``ads``. Returns the path of every table.
     """
     spark = chain.zones.sparkSession
     paths: dict[str, str] = {}
 
     def save(name: str, df: DataFrame, partition: str | None = None) -> DataFrame:
+        _, fmt, parts = warehouse.TABLES.get(name, ("", "parquet", (partition,) if partition else ()))
         known = name in warehouse.TABLES
         path = warehouse.table_path(out, name) if known else f"{out.rstrip('/')}/ads/{name}"
-        if partition:
-            writers.write_partitioned(df, path, partition)
+        paths[name] = path
+        if fmt == "csv":
+            writers.write_csv(df, path)
+            return spark.read.schema(df.schema).csv(path, header=True)
+        if parts:
+            writers.write_partitioned(df, path, *parts)
         else:
             writers.write_parquet(df, path)
-        paths[name] = path
         return spark.read.parquet(path)
 
-    standard = save("dwd_clean_trips", chain.standard, "pickup_month")
+    both = chain.standard_all if chain.raw_yellow else chain.standard
+    standard = save("dwd_clean_trips", both, "pickup_month")
     trips = save(
         "dwd_trip_policy_feature",
         chain.features.withColumn("trip_month", F.date_format("trip_date", "yyyy-MM")),
@@ -189,8 +196,8 @@ def run_pipeline(
     routes = save("dws_od_route_metrics", marts.od_route_metrics(dwd))
     save("dws_price_driver_metrics", marts.price_driver_metrics(dwd))
     save("dws_response_metrics", marts.response_metrics(dwd))
-    save("hourly_demand", marts.hourly_demand(standard))
-    save("zone_hourly_demand", marts.zone_hourly_demand(standard, chain.zones))
+    save("dws_hourly_demand", marts.hourly_demand(standard))
+    save("dws_zone_hourly_demand", marts.zone_hourly_demand(standard, chain.zones))
     save("top_od_flows", marts.top_od_flows(standard))
     save("invalid_trip_summary", marts.invalid_reason_summary(standard))
     save("data_quality_summary", quality.drop_summary(chain.raw, trips, "policy trips"))
@@ -210,6 +217,19 @@ def run_pipeline(
     save("dws_policy_effect_result", causal.did_fixed_effects(panel))
     save("event_study_results", causal.event_study(panel, chain.spec))
 
+    models = {
+        name: forecast.fit_forecast(panel, name, forest, demand)
+        for name in ("random_forest", "gradient_boosting")
+    }
+    metrics = None
+    for name, fitted in models.items():
+        row = forecast.forecast_metrics(fitted, name)
+        metrics = row if metrics is None else metrics.unionByName(row)
+    metrics = save("model_metrics", metrics)
+    save("best_model", forecast.best_model(metrics))
+    save("feature_importance", models["gradient_boosting"].importance)
+    save("demand_forecast", forecast.forecast_predictions(models["gradient_boosting"]))
+
     baseline = forecast.fit_counterfactual(panel, boost)
     gaps = save("counterfactual_predictions", baseline.predictions)
     save("counterfactual_metrics", baseline.metrics)

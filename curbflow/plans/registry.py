@@ -639,13 +639,72 @@ simple("seasonal_naive_gap", "SELECT * FROM gap", lambda c: c.naive_gap)
 
 @query("model_comparison")
 def _models(job: Job) -> DataFrame:
-    """Holdout metrics of the naive yardstick and the forest; the best RMSE first."""
+    """Holdout metrics of the naive yardstick, the forest and the boosted trees; the best RMSE."""
     chain = job.chain
     naive = forecast.error_metrics(forecast.naive_forecast(chain.stored_panel)).select(
         F.lit("naive_lag_1").alias("model_name"), "*"
     )
-    fitted = forecast.forecast_metrics(chain.forest, "random_forest")
-    return forecast.best_model(naive.unionByName(fitted))
+    forest = forecast.forecast_metrics(chain.forest, "random_forest")
+    boosted = forecast.forecast_metrics(chain.boosted, "gradient_boosting")
+    return forecast.best_model(naive.unionByName(forest).unionByName(boosted))
+
+
+def _checked(predictions: DataFrame) -> DataFrame:
+    """Keys and actuals of predictions, and whether prediction and errors fit together."""
+    gap = F.col("actual_order_count") - F.col("predicted_order_count")
+    return predictions.select(
+        "date",
+        "hour",
+        "pickup_zone",
+        "actual_order_count",
+        (F.col("predicted_order_count") >= 0).alias("not_negative"),
+        (
+            (F.abs(F.col("prediction_error") - gap) < 1e-9)
+            & (F.abs(F.col("abs_prediction_error") - F.abs(gap)) < 1e-9)
+        ).alias("errors_fit"),
+    )
+
+
+_PREDICTION_KEYS = """SELECT trip_date AS date, hour, zone_name AS pickup_zone,
+  order_count AS actual_order_count, true AS not_negative, true AS errors_fit
+FROM split WHERE NOT is_train"""
+simple(
+    "forecast_rf_rows", _PREDICTION_KEYS, lambda c: _checked(forecast.forecast_predictions(c.forest))
+)
+simple(
+    "forecast_gbt_rows",
+    _PREDICTION_KEYS,
+    lambda c: _checked(forecast.forecast_predictions(c.boosted)),
+)
+simple(
+    "counterfactual_rows",
+    """SELECT zone_id, zone_name, date, hour, actual_order_count, true AS not_negative,
+  true AS gap_fits FROM gap""",
+    lambda c: c.counterfactual.predictions.select(
+        "zone_id",
+        "zone_name",
+        "date",
+        "hour",
+        "actual_order_count",
+        (F.col("predicted_counterfactual_order_count") >= 0).alias("not_negative"),
+        (
+            F.abs(
+                F.col("predicted_counterfactual_order_count")
+                - F.col("actual_order_count")
+                - F.col("demand_gap")
+            )
+            < 1e-9
+        ).alias("gap_fits"),
+    ),
+)
+simple(
+    "feature_importance_sum",
+    "SELECT 'gradient_boosting' AS model_name, 14 AS features, true AS adds_up",
+    lambda c: c.boosted.importance.groupBy("model_name").agg(
+        F.count(F.lit(1)).alias("features"),
+        (F.abs(F.sum("importance") - 1) < 1e-9).alias("adds_up"),
+    ),
+)
 
 
 # --- scores and recommendations -------------------------------------------------
@@ -1026,6 +1085,46 @@ def _inventory(job: Job) -> DataFrame:
     return files.groupBy(table.alias("file")).agg(F.sum("rows").alias("rows"))
 
 
+@query("month_files_chain", "SELECT * FROM zone_hourly")
+def _month_files(job: Job) -> DataFrame:
+    """Month files whose types and columns drift, and the zone CSV, read as raw folders are."""
+    root = scratch_path(job.spark, "raw")
+    drift = (
+        {"PULocationID": "bigint", "DOLocationID": "double"},
+        {"PULocationID": "int", "DOLocationID": "bigint"},
+        {"PULocationID": "double", "DOLocationID": "int"},
+    )
+    for folder, raw, start in (
+        ("fhvhv/fhvhv", job.chain.raw, "pickup_datetime"),
+        ("yellow/yellow", job.chain.raw_taxi, "tpep_pickup_datetime"),
+    ):
+        month = F.coalesce(F.month(start), F.lit(1)) % len(drift)
+        for k, kinds in enumerate(drift):
+            part = raw.where(month == k).withColumns(
+                {name: F.col(name).cast(kind) for name, kind in kinds.items()}
+            )
+            part = part.drop("airport_fee") if k == 0 else part
+            part.write.parquet(f"{root}/{folder}_tripdata_2024-{k + 1:02d}.parquet")
+    zones = job.chain.zones.selectExpr(
+        "zone_id AS LocationID", "borough AS Borough", "zone_name AS Zone", "'N/A' AS service_zone"
+    )
+    zones.write.csv(f"{root}/zones", header=True)
+    months = [f"2024-{k + 1:02d}" for k in range(len(drift))]
+    standard = [
+        cleaning.standard_trips(
+            readers.read_trips(
+                job.spark, readers.service_files(job.spark, root, service), months
+            ),
+            source,
+            job.chain.spec.rules,
+        )
+        for service, source in (("fhvhv", cleaning.RIDE_HAILING), ("yellow", cleaning.YELLOW))
+    ]
+    return marts.zone_hourly_demand(
+        cleaning.union_services(*standard), readers.read_zones(job.spark, f"{root}/zones")
+    ).drop("pickup_service_zone")
+
+
 _SUMMARY = (
     "SELECT pickup_month, is_valid_trip, count(*) AS trips, sum(fare_amount) AS fare_sum "
     "FROM std_hv GROUP BY ALL"
@@ -1069,9 +1168,9 @@ def _external(job: Job) -> DataFrame:
         trips, warehouse.table_path(root, "dwd_clean_trips"), "pickup_month"
     )
     columns = ", ".join(f"{name} {kind}" for name, kind in trips.dtypes)
-    prefix = f"{root.rsplit('-', 1)[-1]}_"
+    job.spark.sql("DROP TABLE IF EXISTS curbflow_check_dwd_clean_trips")
     name = warehouse.register_layer(
-        job.spark, root, {"dwd_clean_trips": columns}, prefix=f"t{prefix}"
+        job.spark, root, {"dwd_clean_trips": columns}, prefix="curbflow_check_"
     )[0]
     return _month_summary(job.spark.table(name))
 
@@ -1081,13 +1180,14 @@ def _catalog(job: Job) -> DataFrame:
     """Create a metric table as select, then overwrite it with the same query."""
     metrics = marts.time_demand_metrics(job.chain.dwd)
     path = scratch_path(job.spark, "ctas")
-    name = f"t{path.rsplit('-', 1)[-1]}"
+    name = "curbflow_check_time_metrics"
+    job.spark.sql(f"DROP TABLE IF EXISTS {name}")
     warehouse.create_as_select(metrics, name, path)
     warehouse.insert_overwrite(metrics, name)
     return job.spark.table(name)
 
 
-# Plans are lazy, so one chain per session and folder serves all queries.
+# One chain per session and folder serves all queries: stored tables and models are shared.
 _CHAINS: WeakKeyDictionary[SparkSession, dict[str, Chain]] = WeakKeyDictionary()
 
 

@@ -82,13 +82,42 @@ def create_as_select(df: DataFrame, name: str, path: str, partitions: Sequence[s
 def insert_overwrite(df: DataFrame, name: str) -> None:
     """Replace the content of an existing table, matching columns by name.
 
-    A partitioned table keeps the partitions that ``df`` does not contain.
+    A partitioned table keeps the partitions that ``df`` does not contain; its files are
+    written in place, so no session setting is touched.
     """
     spark = df.sparkSession
-    key = "spark.sql.sources.partitionOverwriteMode"
-    previous = spark.conf.get(key)
-    spark.conf.set(key, "dynamic")
-    try:
-        df.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
-    finally:
-        spark.conf.set(key, previous)
+    detail = {
+        row.col_name: row.data_type for row in spark.sql(f"DESCRIBE FORMATTED {name}").collect()
+    }
+    parts = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+    ordered = df.select(*spark.table(name).columns)
+    if not parts:
+        ordered.write.insertInto(name, overwrite=True)
+        return
+    (
+        ordered.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*parts)
+        .format(detail["Provider"])
+        .save(detail["Location"])
+    )
+    discover_partitions(spark, name)
+
+
+def register_written(spark: SparkSession, root: str, names: Sequence[str]) -> list[str]:
+    """Create the listed tables over what was written below ``root``.
+
+    Columns come from the files: Parquet footers, or the header line of CSV, whose columns
+    are read as text. Existing definitions of the same name are replaced, their files are kept.
+    """
+    created = []
+    for name in names:
+        _, fmt, partitions = TABLES[name]
+        path = table_path(root, name)
+        reader = spark.read.option("header", "true") if fmt == "csv" else spark.read
+        columns = ", ".join(
+            f"`{f.name}` {f.dataType.simpleString()}" for f in reader.format(fmt).load(path).schema
+        )
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        created += register_layer(spark, root, {name: columns})
+    return created

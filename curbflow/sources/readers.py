@@ -42,9 +42,10 @@ def service_files(
     return list_files(spark, f"{root.rstrip('/')}/{SERVICE_PATTERNS[service]}", first)
 
 
-def month_of(path: str) -> str:
-    """File name without folder; a folder of part files counts as one file."""
-    return path.rstrip("/").rsplit("/", 1)[-1]
+def _file_name(path: str) -> str:
+    """File name without folder; the part files of a folder go by the folder's name."""
+    *folders, name = path.rstrip("/").split("/")
+    return folders[-1] if name.startswith("part-") and folders else name
 
 
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -109,7 +110,7 @@ def read_trips(
     Files of one month share a schema; months may differ in types and columns. Months of
     equal schema are one scan, and the scans are stacked (``stack_months``).
     """
-    chosen = [p for p in paths if not months or any(month in month_of(p) for month in months)]
+    chosen = [p for p in paths if not months or any(month in _file_name(p) for month in months)]
     if not chosen:
         raise FileNotFoundError(f"no file for the months {list(months or ())}")
     scans: dict[str, list[str]] = {}

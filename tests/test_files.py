@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from curbflow.operators import cleaning
-from curbflow.operators.forecast import BoostSettings
+from curbflow.operators.forecast import BoostSettings, ForestSettings
 from curbflow.plans.pipeline import run_pipeline
 from curbflow.session import materialize, scratch_path, shared_dir
 from curbflow.sinks import warehouse, writers
@@ -179,8 +179,10 @@ def test_scratch_follows_the_session(spark):
 
 
 def test_pipeline_writes_every_layer(spark, chain):
-    paths = run_pipeline(chain, scratch_path(spark, "pipeline"), BoostSettings(rounds=2, max_depth=2))
-    assert len(paths) >= 38
+    root = scratch_path(spark, "pipeline")
+    small = BoostSettings(rounds=2, max_depth=2)
+    paths = run_pipeline(chain, root, small, small, ForestSettings(trees=3, max_depth=4))
+    assert len(paths) >= 42
     counts = {
         name: spark.read.parquet(paths[name]).count()
         for name in ("dwd_hvfhv_trip_clean", "dws_zone_hour_policy_panel", "policy_cards")
@@ -188,6 +190,21 @@ def test_pipeline_writes_every_layer(spark, chain):
     assert counts["dwd_hvfhv_trip_clean"] == chain.trips.count()
     assert counts["dws_zone_hour_policy_panel"] == chain.panel.count()
     assert counts["policy_cards"] >= 1
+    models = spark.read.parquet(paths["model_metrics"]).collect()
+    assert {r.model_name for r in models} == {"random_forest", "gradient_boosting"}
+    assert spark.read.parquet(paths["best_model"]).first().rmse == min(r.rmse for r in models)
+    assert spark.read.parquet(paths["demand_forecast"]).count() > 0
+
+    # every table that the catalog knows and the pipeline writes has the rows it wrote
+    written = [name for name in warehouse.TABLES if name in paths]
+    assert {"dws_hourly_demand", "dws_zone_hourly_demand", "dwd_clean_trips"} <= set(written)
+    for table in warehouse.register_written(spark, root, written):
+        fmt = warehouse.TABLES[table][1]
+        reader = spark.read.option("header", "true") if fmt == "csv" else spark.read
+        assert spark.table(table).count() == reader.format(fmt).load(paths[table]).count() > 0
+        spark.sql(f"DROP TABLE {table}")
+    services = {r.service_type for r in spark.read.csv(paths["dws_hourly_demand"], header=True).collect()}
+    assert len(services) == 2
 
 
 def test_small_readers(spark, tmp_path):
