@@ -47,6 +47,23 @@ def hourly_demand(standard: DataFrame) -> DataFrame:
     return _demand(standard, HOURLY_KEYS, list(SUMS))
 
 
+def calendar_demand(standard: DataFrame, zones: DataFrame) -> DataFrame:
+    """Valid trips by hour of day, weekday and borough: a few thousand cells from one pass.
+
+    The aggregation runs on zone ids, boroughs join afterwards.
+    """
+    sums = ["distance_sum", "duration_sum", "fare_sum"]
+    cells = _demand(standard, ["pickup_hour", "pickup_weekday", "pickup_location_id"], sums)
+    boroughs = zones.select(
+        F.col("zone_id").alias("pickup_location_id"), F.col("borough").alias("pickup_borough")
+    )
+    return (
+        cells.join(boroughs, "pickup_location_id", "left")
+        .groupBy("pickup_hour", "pickup_weekday", "pickup_borough")
+        .agg(*[F.sum(name).alias(name) for name in ("trip_count", *sums)])
+    )
+
+
 def zone_hourly_demand(standard: DataFrame, zones: DataFrame) -> DataFrame:
     demand = _demand(standard, ZONE_HOURLY_KEYS, ["distance_sum", "duration_sum", "fare_sum"])
     extra = (

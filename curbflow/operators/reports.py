@@ -52,47 +52,40 @@ def with_route_label(routes: DataFrame, start: str, end: str, arrow: str = " →
     return routes.withColumn("route", F.concat(F.col(start), F.lit(arrow), F.col(end)))
 
 
-def executive_kpis(hourly: DataFrame, zone_hourly: DataFrame) -> DataFrame:
+def executive_kpis(cells: DataFrame) -> DataFrame:
     """Totals, weighted averages, peak hour and weekday, busiest borough in one row.
 
-    The hourly table collapses to 168 cells first; grouping sets over these cells
-    give the hour, weekday and grand totals in one pass.
+    ``cells`` is the demand by hour, weekday and borough (``marts.calendar_demand``);
+    grouping sets over it give every total, so the trips are read once.
     """
     sums = ["trip_count", "fare_sum", "distance_sum", "duration_sum"]
-    cells = hourly.groupBy("pickup_hour", "pickup_weekday").agg(
-        *[F.sum(name).alias(name) for name in sums]
-    )
-    totals = cells.groupingSets(
-        [["pickup_hour"], ["pickup_weekday"], []], "pickup_hour", "pickup_weekday"
-    ).agg(F.grouping_id().alias("level"), *[F.sum(name).alias(name) for name in sums])
-    # grouping_id: 1 = by hour, 2 = by weekday, 3 = grand total
-    boroughs = (
-        zone_hourly.dropna(subset=["pickup_borough"])
-        .groupBy("pickup_borough")
-        .agg(F.sum("trip_count").alias("n"))
-        .orderBy(F.col("n").desc(), "pickup_borough")
-        .limit(1)
+    keys = ["pickup_hour", "pickup_weekday", "pickup_borough"]
+    totals = cells.groupingSets([[keys[0]], [keys[1]], [keys[2]], []], *keys).agg(
+        F.grouping_id().alias("level"), *[F.sum(name).alias(name) for name in sums]
     )
+    # grouping_id: 3 = by hour, 5 = by weekday, 6 = by borough, 7 = grand total
+    whole = F.max(F.when(F.col("level") == 7, F.col("trip_count")))
 
-    def grand(name):
-        return F.max(F.when(F.col("level") == 3, F.col(name)))
+    def mean(name):
+        return F.max(F.when(F.col("level") == 7, F.col(name))) / whole
 
     def peak(key, level):
         # most trips, then the smaller key
         rank = F.when(
-            (F.col("level") == level) & F.col(key).isNotNull(), F.struct("trip_count", -F.col(key))
+            (F.col("level") == level) & F.col(key).isNotNull(),
+            F.struct(-F.col("trip_count"), F.col(key)),
         )
-        return F.max_by(key, rank)
+        return F.min_by(key, rank)
 
-    whole = grand("trip_count")
     return totals.agg(
         whole.alias("total_trips"),
-        (grand("fare_sum") / whole).alias("avg_fare"),
-        (grand("distance_sum") / whole).alias("avg_distance"),
-        (grand("duration_sum") / whole).alias("avg_duration"),
-        peak("pickup_hour", 1).alias("peak_hour"),
-        peak("pickup_weekday", 2).alias("peak_weekday"),
-    ).withColumn("top_borough", boroughs.select("pickup_borough").scalar())
+        mean("fare_sum").alias("avg_fare"),
+        mean("distance_sum").alias("avg_distance"),
+        mean("duration_sum").alias("avg_duration"),
+        peak("pickup_hour", 3).alias("peak_hour"),
+        peak("pickup_weekday", 5).alias("peak_weekday"),
+        peak("pickup_borough", 6).alias("top_borough"),
+    )
 
 
 def executive_top_zones(zone_hourly: DataFrame, k: int = 10) -> DataFrame:
@@ -230,6 +223,25 @@ def report_scalars(
     )
 
 
+def report_estimates(effects: DataFrame, models: DataFrame) -> DataFrame:
+    """The estimates a report quotes: one row per difference-in-differences metric, and the
+    best model with its error."""
+    best = models.orderBy("rmse", "model_name").limit(1)
+    return effects.select(
+        F.lit("did").alias("section"),
+        F.col("metric_name").alias("name"),
+        F.col("coef_treated_post").alias("value"),
+        F.col("p_value"),
+    ).unionByName(
+        best.select(
+            F.lit("model").alias("section"),
+            F.col("model_name").alias("name"),
+            F.col("rmse").alias("value"),
+            F.lit(None).cast("double").alias("p_value"),
+        )
+    )
+
+
 def active_incentives(pricing: DataFrame, k: int = 20) -> DataFrame:
     """First routes whose price rose while pay did not."""
     return (

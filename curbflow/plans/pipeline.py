@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbflow.operators import (
-    causal, cleaning, compare, features, forecast, marts, panels, quality, recommend,
+    causal, cleaning, compare, features, forecast, marts, panels, quality, recommend, reports,
 )
 from curbflow.session import materialize
 from curbflow.sinks import warehouse, writers
@@ -192,15 +192,16 @@ def run_pipeline(
         "dt",
     )
     save("dws_time_demand_metrics", marts.time_demand_metrics(dwd))
+    pickups = save("pickup_zone_metrics", marts.pickup_zone_metrics(dwd))
     save("dws_zone_demand_metrics", marts.zone_demand_metrics(dwd))
     routes = save("dws_od_route_metrics", marts.od_route_metrics(dwd))
     save("dws_price_driver_metrics", marts.price_driver_metrics(dwd))
-    save("dws_response_metrics", marts.response_metrics(dwd))
+    response = save("dws_response_metrics", marts.response_metrics(dwd))
     save("dws_hourly_demand", marts.hourly_demand(standard))
     save("dws_zone_hourly_demand", marts.zone_hourly_demand(standard, chain.zones))
     save("top_od_flows", marts.top_od_flows(standard))
     save("invalid_trip_summary", marts.invalid_reason_summary(standard))
-    save("data_quality_summary", quality.drop_summary(chain.raw, trips, "policy trips"))
+    drops = save("data_quality_summary", quality.drop_summary(chain.raw, trips, "policy trips"))
 
     save("demand_shift_summary", compare.demand_shift(trips))
     save("hourly_demand_pattern", compare.hourly_pattern(trips))
@@ -209,12 +210,12 @@ def run_pipeline(
     save("pricing_pressure_summary", compare.pricing_pressure(trips))
     save("driver_pressure_summary", compare.driver_pressure(trips))
     save("airport_route_analysis", compare.airport_routes(trips, chain.spec))
-    save("response_time_windows", compare.response_time_windows(trips))
+    windows = save("response_time_windows", compare.response_time_windows(trips))
     save("service_efficiency", compare.service_efficiency(panel))
     pricing = save("pricing_driver_impact", compare.pricing_driver_impact(trips))
     segments = save("heterogeneity_summary", compare.heterogeneity(trips))
     spillover = save("spillover_zone_ranking", compare.spillover_ranking(panel))
-    save("dws_policy_effect_result", causal.did_fixed_effects(panel))
+    effects = save("dws_policy_effect_result", causal.did_fixed_effects(panel))
     save("event_study_results", causal.event_study(panel, chain.spec))
 
     models = {
@@ -245,6 +246,9 @@ def run_pipeline(
     save("policy_cards", recommend.policy_cards(spillover, pricing, segments))
     save(
         "business_recommendations",
-        recommend.business_recommendations(marts.pickup_zone_metrics(dwd), routes),
+        recommend.business_recommendations(pickups, routes),
     )
+    # The report reads the tables above, never the trips.
+    save("report_scalars", reports.report_scalars(drops, pickups, routes, response, windows))
+    save("report_estimates", reports.report_estimates(effects, metrics))
     return paths

@@ -886,9 +886,7 @@ FROM hourly"""
 
 
 def _kpis(c: Chain) -> DataFrame:
-    return reports.executive_kpis(
-        marts.hourly_demand(c.standard_all), marts.zone_hourly_demand(c.standard_all, c.zones)
-    )
+    return reports.executive_kpis(marts.calendar_demand(c.standard_all, c.zones))
 
 
 simple("executive_kpis", _KPI_SQL, _kpis)
@@ -958,6 +956,18 @@ SELECT driver_pay_per_minute_change_rate AS v FROM pressure
 WHERE driver_pay_per_minute_change_rate IS NOT NULL))) GROUP BY bin, lo, w""",
     lambda c: reports.pay_change_histogram(compare.driver_pressure(c.features)),
 )
+simple(
+    "report_estimates",
+    """SELECT 'did' AS section, metric_name AS name, coef_treated_post AS value, p_value FROM did_fit
+UNION ALL SELECT 'model', 'naive_lag_1', sqrt(avg((order_count
+  - greatest(lag_1_hour_order_count, 0)) ** 2)), NULL FROM split WHERE NOT is_train""",
+    lambda c: reports.report_estimates(
+        causal.did_fixed_effects(c.stored_panel),
+        forecast.error_metrics(forecast.naive_forecast(c.stored_panel)).withColumn(
+            "model_name", F.lit("naive_lag_1")
+        ),
+    ),
+)
 simple(
     "report_scalars",
     f"""SELECT (SELECT count(*) FROM raw_hv) AS raw_count, (SELECT count(*) FROM trips)
