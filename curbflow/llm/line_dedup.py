@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curbflow.llm.common import row_key
+from curbflow.llm.common import row_key, stored
 
 
 @dataclass(frozen=True)
@@ -114,9 +114,13 @@ def repeated_chunks(docs: DataFrame, rule: ChunkRule) -> DataFrame:
     )
     return (
         same_bytes.groupBy("mark")
-        .agg(F.count(F.lit(1)).alias("variants"), F.sum("n").alias("n"), F.min("keeper").alias("keeper"))
+        .agg(
+            F.count(F.lit(1)).alias("variants"),
+            F.sum("n").alias("n"),
+            F.min("keeper").alias("keeper"),
+        )
         .where("variants = 1 AND n > 1")
-        .select("mark", F.col("keeper.row").alias("keeper_row"), F.col("keeper.first").alias("keeper_first"))
+        .selectExpr("mark", "keeper.row AS keeper_row", "keeper.first AS keeper_first")
     )
 
 
@@ -134,7 +138,7 @@ def dedup_lines(docs: DataFrame, rule: ChunkRule = ChunkRule()) -> DataFrame:
     doomed = (
         texts.mapInArrow(_chunks(rule, False), _PLACE)
         .select("row", "first", "last", "mark")
-        .join(repeated_chunks(docs, rule), "mark")
+        .join(stored(repeated_chunks(docs, rule), "repeated-chunks"), "mark")
         .select(
             "row",
             "first",
