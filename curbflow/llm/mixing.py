@@ -10,7 +10,7 @@ from curbflow.llm.common import WORD_WITH_LEAD, n_words, ordered_offsets, stored
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_EPOCHS = 2
-RANGE_ROWS = 20_000  # rows of one key range; only the range that holds a cut is sorted
+RANGE_ROWS = 2_000  # rows of one key range; only the range that holds a cut is sorted
 
 
 def mixing_key() -> Column:
