@@ -261,6 +261,7 @@ def jaccard_links(
     classes = stored(
         signed.groupBy("node").agg(
             F.count(F.lit(1)).alias("copies"),
+            F.min("doc_id").alias("least_id"),
             F.min("row").alias("row"),
             F.first("grams").alias("grams"),
             F.min("bands").alias("bands"),
@@ -281,10 +282,10 @@ def jaccard_links(
     sets = (
         docs.select(row_key().alias("row"), "text")
         .join(placed, "row")
+        .select("row", "group", "node", "copies", "block", "blocks", "text")
         .mapInArrow(
             _gram_rows(n),
-            "row long, group long, node long, copies long, grams int, blocks int, block int,"
-            " set binary",
+            "row long, group long, node long, copies long, block int, blocks int, set binary",
         )
     )
     cells = (
@@ -310,21 +311,26 @@ def jaccard_links(
         "jaccard-classes",
     )
     counts = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    labelled = (
-        classes.select("node", "copies")
+    labelled = stored(
+        classes.select("node", "copies", "least_id")
         .join(joined, "node", "left")
         .join(counts, "node", "left")
         .select(
             "node",
+            "least_id",
             F.coalesce("component", "node").alias("component"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        )
+        ),
+        "jaccard-labels",
+    )
+    ids = stored(
+        labelled.groupBy("component").agg(F.min("least_id").alias("class_id")), "jaccard-ids"
     )
-    places = stored(
-        signed.select("doc_id", "row", "node").join(labelled, "node"), "jaccard-places"
+    # Stored sides let a join split a hot class.
+    named = stored(
+        labelled.join(ids, "component").select("node", "n_links", "class_id"), "jaccard-names"
     )
-    ids = places.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return places.join(ids, "component").select("doc_id", "row", "n_links", "class_id")
+    return signed.select("doc_id", "row", "node").join(named, "node").drop("node")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
