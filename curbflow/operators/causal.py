@@ -148,7 +148,8 @@ def unidentified(values: np.ndarray) -> str | None:
     own = gram[0, 0]
     if own <= 1e-10:
         return L.DID_NO_VARIATION
-    rest = own - gram[0, 1:] @ np.linalg.pinv(gram[1:, 1:], rcond=1e-10, hermitian=True) @ gram[1:, 0]
+    others = np.linalg.pinv(gram[1:, 1:], rcond=1e-10, hermitian=True)
+    rest = own - gram[0, 1:] @ others @ gram[1:, 0]
     return L.DID_COLLINEAR if rest <= 1e-8 * own else None
 
 

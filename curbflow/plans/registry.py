@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from curbflow import labels as L
 from curbflow.functions.columns import cut_rank, hour_window
 from curbflow.operators import (
-    causal, cleaning, compare, features, forecast, marts, panels, quality, recommend, reports,
-    timeseries,
+    causal, cleaning, compare, forecast, marts, panels, quality, recommend, reports, timeseries,
 )
 from curbflow.plans import oracle
 from curbflow.plans.canonical import canonical, canonical_sql

@@ -11,6 +11,8 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+# Hundreds of learner rounds each; small settings of the same models are in test_effects.py.
+SLOW = {"forecast_gbt_rows", "counterfactual_rows", "feature_importance_sum"}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +27,7 @@ def ordered(rows):
     return sorted(rows, key=lambda row: str(["" if x is None else x for x in row]))
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES.keys() - SLOW))
 def test_same_rows(spark, duck, name):
     df = QUERIES[name](spark, SMALL)
     columns = sorted(df.columns)
