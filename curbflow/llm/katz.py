@@ -9,7 +9,8 @@ shuffled is packed, so that each token costs a few bytes of disk.
 3. ``bigram_table``: bigrams of all chunks meet by context in a partitioned table, with the
    documents that ask for them.
 4. ``_evaluate``: the table scores its askers, P(w|h) = discounted count if seen, else the
-   weight of h times P(w); sums per document meet again by chunk.
+   weight of h times P(w); sums per document (single precision per partition) meet again by
+   chunk.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from curbflow.llm.common import ordered_offsets, stored
 
 CHUNK_TOKENS = 2_500_000
-PART_TOKENS = 2_500_000  # tokens per partition of the bigram table
+PART_TOKENS = 1_500_000  # tokens per partition of the bigram table
+PART_WORDS = 400_000  # distinct words of chunks per partition of the unigram table
 HOT_SHARE = 2000  # a context with more than 1/2000 of all tokens is spread over all partitions
 CUTOFF = 5  # counts above this are not discounted
 END = b"\n"  # no word holds a line feed
@@ -62,7 +64,8 @@ def unpack(blob: bytes) -> list[np.ndarray]:
         planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at)
         at += size * kind.itemsize
         values = np.ascontiguousarray(planes.reshape(kind.itemsize, size).T).view(kind).ravel()
-        out.append(values.astype(np.float64 if kind.kind == "f" else np.int64))
+        # Small unsigned numbers stay small; eight bytes are signed.
+        out.append(values.astype(np.int64) if kind == np.dtype("<u8") else values)
     return out
 
 
@@ -125,11 +128,14 @@ def unigrams(counts: np.ndarray, numbers: np.ndarray) -> Unigrams:
     return Unigrams(starts, counts, tokens, words, d, scale, 1 - scale * kept)
 
 
+_PIECE = "part int, chunk long, blob binary"
+
+
 # ---- 1. chunks --------------------------------------------------------------------------
 
 _CHUNK = (
-    "chunk long, ids array<long>, held array<boolean>, lengths binary, codes binary,"
-    " words binary, counts binary"
+    "chunk long, n_words int, ids array<long>, held array<boolean>, lengths binary,"
+    " codes binary, words binary, counts binary"
 )
 
 
@@ -151,25 +157,28 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made += 1
         row = [
             pa.array([(part << 24) + made], pa.int64()),
+            pa.array([len(place)], pa.int32()),
             pa.array([ids], pa.list_(pa.int64())),
             pa.array([held], pa.list_(pa.bool_())),
             *[pa.array([b], pa.binary()) for b in (
                 pack(lengths), pack(flat), words.tobytes(), pack(counts))],
         ]
         place, ids, held, codes, tokens = {END: 0}, [], [], [], 0
-        names = ["chunk", "ids", "held", "lengths", "codes", "words", "counts"]
+        names = ["chunk", "n_words", "ids", "held", "lengths", "codes", "words", "counts"]
         return pa.RecordBatch.from_arrays(row, names)
 
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("doc_id", "held", "text"))
-        for doc_id, out, text in zip(*columns):
+        names, flags, texts = (batch.column(c) for c in ("doc_id", "held", "text"))
+        for doc_id, out, text in zip(names.to_pylist(), flags.to_pylist(), texts):
+            text = text.as_py()
             # bytes.lower changes A-Z only; bytes.split cuts at the six ASCII white spaces.
             words = (text or "").encode("utf-8", "surrogatepass").lower().split()
             for w in words:
                 if w not in place:
                     place[w] = len(place)
-            code = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-            codes.append(np.append(code, 0))
+            code = np.zeros(len(words) + 1, np.int32)
+            code[:-1] = list(map(place.__getitem__, words))
+            codes.append(code)
             ids.append(doc_id)
             held.append(bool(out))
             tokens += len(words) + 1
@@ -190,38 +199,76 @@ def encoded_chunks(docs: DataFrame, held_out: Column) -> DataFrame:
 # ---- 2. words ---------------------------------------------------------------------------
 
 
-def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("chunk", "words", "counts")))
-        for chunk, words, counts in rows:
-            h = np.frombuffer(words, np.int64)
-            n = unpack(counts)[0]
-            for a in range(0, len(h), 100_000):
-                b = min(len(h), a + 100_000)
+def _chunk_words(parts: int):
+    """Words of each chunk by hash range: hashes (rising), places in the chunk, counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("chunk", "words", "counts")))
+            for chunk, words, counts in rows:
+                h = np.frombuffer(words, np.uint64)
+                n = unpack(counts)[0]
+                place = np.argsort(h)
+                h = h[place]
+                part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+                full = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+                blobs = [
+                    pack(
+                        np.diff(h[cuts[p] : cuts[p + 1]], prepend=np.uint64(0)),
+                        place[cuts[p] : cuts[p + 1]],
+                        n[place[cuts[p] : cuts[p + 1]]],
+                    )
+                    for p in full
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(h[a:b]),
-                        pa.array(np.full(b - a, chunk)),
-                        pa.array(np.arange(a, b, dtype=np.int32)),
-                        pa.array(n[a:b]),
+                        pa.array(full, pa.int32()),
+                        pa.array([chunk] * len(full), pa.int64()),
+                        pa.array(blobs, pa.binary()),
                     ],
-                    ["word", "chunk", "place", "n"],
+                    ["part", "chunk", "blob"],
                 )
 
+    return run
+
+
+def _sum_words(pieces: pd.DataFrame) -> pd.DataFrame:
+    parsed = [unpack(b) for b in pieces["blob"]]
+    word = np.concatenate([np.cumsum(p[0], dtype=np.int64) for p in parsed])
+    n = np.concatenate([p[2] for p in parsed])
+    word, at = np.unique(word, return_inverse=True)
+    n = np.bincount(at, n, len(word)).astype(np.int64)
+    return pd.DataFrame({"word": word[n > 0], "n": n[n > 0]})
+
+
+def _answer_words(pieces: pd.DataFrame, ranked: pd.DataFrame) -> pd.DataFrame:
+    """For each chunk, the places of its words in this part with their ranks (+ 1)."""
+    ranked = ranked.sort_values("word")
+    word, rank = ranked["word"].to_numpy(), ranked["rank"].to_numpy()
+    out = []
+    for blob in pieces["blob"]:
+        rise, place, _ = unpack(blob)
+        asked = np.cumsum(rise, dtype=np.int64)
+        at = np.minimum(np.searchsorted(word, asked), max(0, len(word) - 1))
+        found = word[at] == asked if len(word) else np.zeros(len(asked), bool)
+        out.append(pack(place[found], rank[at[found]] + 1 if len(word) else place[found]))
+    return pd.DataFrame({"chunk": pieces["chunk"], "blob": out})
+
 
 def ranked_words(chunks: DataFrame) -> tuple[DataFrame, Unigrams]:
-    """(chunk, place, rank) of the words that training has, and the unigram model.
+    """Packed (place, rank + 1) of the words that training has, by chunk, and the unigram model.
 
-    Counts are summed before the shuffle; ranks are distributed prefix sums; only the number
-    of words per count goes to the driver, at most sqrt(2 x tokens) rows.
+    Words are counted per chunk before the shuffle and travel packed; ranks by falling count
+    are distributed prefix sums; only the number of words per count goes to the driver, at
+    most sqrt(2 x tokens) rows.
     """
-    rows = chunks.select("chunk", "words", "counts").mapInArrow(
-        _chunk_words, "word long, chunk long, place int, n long"
-    )
+    total = chunks.agg(F.sum("n_words")).first()[0] or 0
+    parts = max(1, -(-total // PART_WORDS))
+    pieces = chunks.select("chunk", "words", "counts").mapInArrow(_chunk_words(parts), _PIECE)
     counts = (
-        rows.where("n > 0")
-        .groupBy("word")
-        .agg(F.sum("n").alias("n"))
+        pieces.groupBy("part")
+        .applyInPandas(_sum_words, "word long, n long")
         .select("word", (-F.col("n")).alias("falling"), F.lit(1).cast("long").alias("one"))
     )
     ranked = stored(
@@ -234,13 +281,18 @@ def ranked_words(chunks: DataFrame) -> tuple[DataFrame, Unigrams]:
     model = unigrams(
         np.array([-s.falling for s in steps], np.int64), np.array([s.k for s in steps], np.int64)
     )
-    return rows.join(ranked, "word").select("chunk", "place", "rank"), model
+    part = F.expr(f"int(shiftrightunsigned(shiftrightunsigned(word, 32) * {parts}L, 32))")
+    answers = (
+        pieces.groupBy("part")
+        .cogroup(ranked.select(part.alias("part"), "word", "rank").groupBy("part"))
+        .applyInPandas(_answer_words, "chunk long, blob binary")
+    )
+    return answers, model
 
 
 # ---- 3. bigrams -------------------------------------------------------------------------
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_PIECE = "part int, chunk long, blob binary"
 _TABLE = "kind int, part int, chunk long, context long, sums array<double>, blob binary"
 
 
@@ -259,44 +311,56 @@ def _chunk_bigrams(model: Unigrams, parts: int):
         c = chunk.iloc[0]
         lengths, flat = unpack(c["lengths"])[0], unpack(c["codes"])[0]
         held = np.array(c["held"], bool)
-        rank = np.full(len(c["words"]) // 8, -1, np.int64)
-        rank[ranks["place"].to_numpy()] = ranks["rank"].to_numpy()
-        doc = np.repeat(np.arange(len(lengths)), lengths)
+        rank = np.full(c["n_words"], -1, np.int64)
+        for blob in ranks["blob"]:
+            place, value = unpack(blob)
+            rank[place] = value.astype(np.int64) - 1
+        n = len(lengths)
+        doc = np.repeat(np.arange(n, dtype=np.int32), lengths)
         # Places in the chunk's own list of ranks: small, and in order of rank; 0 is unknown.
         own = np.unique(np.concatenate([[-1], rank]))
-        local = np.searchsorted(own, rank)[flat]
-        by_rank = own[local]
-        chance = np.log10(model.chance(own))[local]
-        n = len(lengths)
-        before = np.concatenate([np.searchsorted(own, rank[:1]), local[:-1]])
+        local = np.searchsorted(own, rank).astype(np.int32)[flat]
+        del flat
+        before = np.concatenate([np.searchsorted(own, rank[:1]).astype(np.int32), local[:-1]])
         known = before > 0
+        lone = np.log10(model.chance(own))  # no context: the recursion ends here
         base = [
             np.bincount(doc, model.base(own)[local], n),
-            np.bincount(doc, by_rank >= 0, n).astype(np.int64),
-            np.bincount(doc[~known], chance[~known], n).astype(float),  # no context: recursion ends
+            np.bincount(doc[local > 0], minlength=n),
+            np.bincount(doc[~known], lone[local[~known]], n).astype(float),
         ]
         out = [(-1 - int(c["chunk"]) % parts, pack(lengths, held, base[1], base[0], base[2]))]
-        key = (before[known] * len(own) + local[known]) * n + doc[known]
-        key, times = np.unique(key, return_counts=True)
-        pair, asker = np.divmod(key, n)
+        key = before[known].astype(np.int64)
+        key *= len(own)
+        key += local[known]
+        key *= n
+        key += doc[known]
+        del doc, local, before, known
+        key.sort()
+        start = np.flatnonzero(np.diff(key, prepend=-1))  # of each (context, word, document)
+        times = np.diff(start, append=len(key)).astype(np.int32)
+        pair, asker = np.divmod(key[start], n)
+        del key, start
         first = np.flatnonzero(np.diff(pair, prepend=-1))
+        train = np.where(held[asker], 0, times)
+        train = np.add.reduceat(train, first) if len(first) else first
+        askers = np.diff(first, append=len(pair))
         context, word = np.divmod(pair[first], len(own))
-        train = np.add.reduceat(np.where(held[asker], 0, times), first) if len(first) else first
-        askers = np.diff(np.append(first, len(pair)))
+        del pair, first
         context, word = own[context], own[word]
         part = _parts(context, word, model.count(context) >= least_hot, parts)
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        entry = np.repeat(np.argsort(order), askers)  # where each asker's bigram goes
-        ask_order = np.argsort(entry, kind="stable")
-        ask_cuts = np.concatenate([[0], np.cumsum(askers[order])])[cuts]
-        context, word, train, askers = context[order], word[order], train[order], askers[order]
-        asker, times = asker[ask_order], times[ask_order]
+        begin = np.cumsum(askers) - askers  # of each bigram's askers
         for p in range(parts):
-            a, b, x, y = cuts[p], cuts[p + 1], ask_cuts[p], ask_cuts[p + 1]
-            if a < b:
-                rise = np.diff(context[a:b], prepend=0)  # contexts of a part are in order
-                blob = pack(rise, word[a:b] + 1, train[a:b], askers[a:b], asker[x:y], times[x:y])
+            mine = order[cuts[p] : cuts[p + 1]]
+            if len(mine):
+                size = askers[mine]
+                ask = np.repeat(begin[mine] - (np.cumsum(size) - size), size)
+                ask += np.arange(len(ask))
+                blob = pack(
+                    *_risen(context[mine], word[mine]), train[mine], size, asker[ask], times[ask]
+                )
                 out.append((p, blob))
         return pd.DataFrame(
             {"part": [p for p, _ in out], "chunk": c["chunk"], "blob": [b for _, b in out]}
@@ -305,6 +369,22 @@ def _chunk_bigrams(model: Unigrams, parts: int):
     return run
 
 
+def _risen(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted bigrams as rises: of contexts, and of words within a context."""
+    rise = np.diff(context, prepend=0)
+    same = np.concatenate([[False], context[1:] == context[:-1]]) if len(context) else rise > 0
+    return rise, np.where(same, np.diff(word, prepend=0), word + 1)
+
+
+def _sunk(rise: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The inverse of ``_risen``."""
+    context = np.cumsum(rise, dtype=np.int64)
+    begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    total = np.cumsum(word, dtype=np.int64)
+    lead = (total - word)[begin]
+    return context, total - np.repeat(lead, np.diff(begin, append=len(word))) - 1
+
+
 def _merge(model: Unigrams):
     """Bigram counts of one partition over all chunks, with the askers of each."""
     least_hot = max(2, model.tokens // HOT_SHARE)
@@ -319,21 +399,22 @@ def _merge(model: Unigrams):
             )
         pieces = pieces.sort_values("chunk")
         parsed = [unpack(b) for b in pieces["blob"]]
-        context = np.concatenate([np.cumsum(p[0]) for p in parsed])
-        word = np.concatenate([p[1] for p in parsed]) - 1
+        bigrams = [_sunk(p[0], p[1]) for p in parsed]
+        context = np.concatenate([b[0] for b in bigrams])
+        word = np.concatenate([b[1] for b in bigrams])
+        sizes = np.array([len(p[4]) for p in parsed])
         train = np.concatenate([p[2] for p in parsed])
         askers = np.concatenate([p[3] for p in parsed])
         asker = np.concatenate([p[4] for p in parsed])
         times = np.concatenate([p[5] for p in parsed])
-        source = np.repeat(np.arange(len(parsed)), [len(p[4]) for p in parsed])
-        del parsed
+        del parsed, bigrams
         order = np.lexsort((word, context))
         context, word = context[order], word[order]
         new = np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])])
         first = np.flatnonzero(new)
         entry = np.empty(len(order), np.int64)
         entry[order] = np.cumsum(new) - 1
-        count = np.add.reduceat(train[order], first)
+        count = np.add.reduceat(train[order], first, dtype=np.int64)
         context, word = context[first], word[first]
         entry = np.repeat(entry, askers)
         of = np.bincount(np.minimum(count, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2]
@@ -342,11 +423,12 @@ def _merge(model: Unigrams):
         hot = model.count(context[begin]) >= least_hot
         sums = context_sums(count, word, begin, model)
         rows += [(3, int(context[begin[k]]), sums[k].tolist(), None) for k in np.flatnonzero(hot)]
-        by_chunk = np.argsort(source, kind="stable")  # askers chunk by chunk, in bigram order
+        # Askers stay chunk by chunk, in bigram order, so their places rise within a chunk.
+        head = np.cumsum(sizes) - sizes
+        rise = np.diff(entry, prepend=0)
+        rise[head] = entry[head]
         blob = pack(
-            np.diff(context, prepend=0), word + 1, count, pieces["chunk"].to_numpy(),
-            np.bincount(source, minlength=len(pieces)), entry[by_chunk], asker[by_chunk],
-            times[by_chunk],
+            *_risen(context, word), count, pieces["chunk"].to_numpy(), sizes, rise, asker, times
         )
         rows.append((1, 0, None, blob))
         return pd.DataFrame(
@@ -364,11 +446,11 @@ def context_sums(
     """Per context, over its seen bigrams: tokens of those above the cutoff, numbers of those
     with count 1 ... CUTOFF, and the unigram chance of their words. They add up over
     partitions, and give the backoff weight once the discounts are known."""
-    seen = count > 0
-    columns = [np.where(count > CUTOFF, count, 0)]
-    columns += [count == r for r in range(1, CUTOFF + 1)]
-    columns.append(np.where(seen, model.chance(word), 0.0))
-    return np.stack([np.add.reduceat(c.astype(float), begin) for c in columns], axis=1)
+    columns = [np.add.reduceat(np.where(count > CUTOFF, count, 0).astype(float), begin)]
+    for r in range(1, CUTOFF + 1):
+        columns.append(np.add.reduceat((count == r).astype(float), begin))
+    columns.append(np.add.reduceat(np.where(count > 0, model.chance(word), 0.0), begin))
+    return np.stack(columns, axis=1)
 
 
 # ---- 4. evaluation ----------------------------------------------------------------------
@@ -388,8 +470,8 @@ def _evaluate(model: Unigrams, d: np.ndarray, hot: dict[int, list[float]]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for part, blob in zip(frame["part"], frame["blob"]):
-                context, word, count, chunks, sizes, entry, asker, times = unpack(blob)
-                context, word = np.cumsum(context), word - 1
+                rise, word, count, chunks, sizes, entry, asker, times = unpack(blob)
+                context, word = _sunk(rise, word)
                 new = np.concatenate([[True], context[1:] != context[:-1]])
                 begin = np.flatnonzero(new)
                 sums = context_sums(count, word, begin, model)
@@ -404,14 +486,14 @@ def _evaluate(model: Unigrams, d: np.ndarray, hot: dict[int, list[float]]):
                     weight[at] * model.chance(word),
                 )
                 value = np.log10(value)
-                cuts = np.concatenate([[0], np.cumsum(sizes)])
+                cuts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
                 out = []
                 for k in range(len(chunks)):
                     a, b = cuts[k], cuts[k + 1]
                     docs, inside = np.unique(asker[a:b], return_inverse=True)
-                    sums_of = np.bincount(inside, value[entry[a:b]] * times[a:b], len(docs))
-                    out.append(pack(docs, sums_of.astype(float)))
-                yield pd.DataFrame({"chunk": chunks, "part": part, "blob": out})
+                    scores = value[np.cumsum(entry[a:b], dtype=np.int64)] * times[a:b]
+                    out.append(pack(docs, np.bincount(inside, scores, len(docs)).astype("<f4")))
+                yield pd.DataFrame({"chunk": chunks.astype(np.int64), "part": part, "blob": out})
 
     return run
 
@@ -421,12 +503,14 @@ def _collect(pieces: pd.DataFrame) -> pd.DataFrame:
     pieces = pieces.sort_values("part")
     base = pieces[pieces["part"] < 0]["blob"].iloc[0]
     lengths, held, known, base_score, score = unpack(base)
+    score = score.copy()
     for blob in pieces[pieces["part"] >= 0]["blob"]:
         docs, sums = unpack(blob)
         score[docs] += sums
     return pd.DataFrame(
         {"chunk": pieces["chunk"].iloc[0], "place": np.arange(len(lengths)),
-         "held_out": held.astype(bool), "n_tokens": lengths, "n_known": known,
+         "held_out": held.astype(bool), "n_tokens": lengths.astype(np.int64),
+         "n_known": known.astype(np.int64),
          "base_score": base_score, "score": score}
     )
 
@@ -445,7 +529,7 @@ def katz_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     ranks, model = ranked_words(chunks)
     parts = max(1, -(-model.tokens // PART_TOKENS))
     table = stored(
-        chunks.select("chunk", "held", "lengths", "codes", "words")
+        chunks.select("chunk", "n_words", "held", "lengths", "codes")
         .groupBy("chunk")
         .cogroup(ranks.groupBy("chunk"))
         .applyInPandas(_chunk_bigrams(model, parts), _PIECE)
