@@ -19,7 +19,7 @@ SAMPLE_ROWS = 20_000  # bound on the rows that place the splits; every row is in
 LEAF_ROWS = 2048
 LEAST_SAMPLE = 32  # a node with fewer sample rows is not split
 MOST_SPILL = 0.7  # a node that would send more than this share both ways is not split
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 512
 
 
 @dataclass(frozen=True)
