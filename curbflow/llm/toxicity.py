@@ -14,7 +14,7 @@ from curbflow.llm.common import hash_sample, stored
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 22
-CLASS_SAMPLE = 3000  # bound on labelled rows of each class that training sees
+CLASS_SAMPLE = 2000  # bound on labelled rows of each class that training sees
 FEATURES = 6000
 LEAST_Z = 5.0  # z-score of a feature, or half the largest one in small samples
 LEAST_DOCUMENTS = 4  # a feature occurs in at least so many sample documents
