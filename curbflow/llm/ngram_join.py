@@ -20,6 +20,7 @@ THRESHOLD = 0.8
 TARGET_RECALL = 0.999
 MOST_HASHES = 256
 CELL_GRAMS = 400_000  # n-grams of one block of a candidate group
+CELL_SETS = 128  # documents of one block
 STRIPE = 4096  # n-grams that are compared at once
 
 
@@ -274,7 +275,11 @@ def jaccard_links(
         "jaccard-members",
     )
     volume = members.groupBy("group").agg(
-        F.ceil(F.sum("grams") / F.lit(CELL_GRAMS)).cast("int").alias("blocks")
+        F.ceil(
+            F.greatest(F.sum("grams") / F.lit(CELL_GRAMS), F.count(F.lit(1)) / F.lit(CELL_SETS))
+        )
+        .cast("int")
+        .alias("blocks")
     )
     placed = members.join(volume, "group").withColumn(
         "block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
