@@ -284,9 +284,10 @@ def jaccard_links(
     placed = members.join(volume, "group").withColumn(
         "block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
     )
+    # Always a merge join: a broadcast that only small inputs allow would make the cost jump.
     sets = (
         docs.select(row_key().alias("row"), "text")
-        .join(placed, "row")
+        .join(placed.hint("merge"), "row")
         .select("row", "group", "node", "copies", "block", "blocks", "text")
         .mapInArrow(
             _gram_rows(n),
