@@ -49,7 +49,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return line_dedup.dedup_lines(docs).select("doc_id", "lines_removed", "text")
+    return line_dedup.dedup_passages(docs).select("doc_id", "lines_removed", "text")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
