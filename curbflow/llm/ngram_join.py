@@ -244,12 +244,13 @@ def jaccard_links(
     threshold: float = THRESHOLD,
     bands: Bands | None = None,
 ) -> DataFrame:
-    """doc_id, row, n_links and class_id of every document.
+    """doc_id, row, n_links, component and class_id of every document.
 
     Words are lower-cased and split at white space; documents with the same words are
     copies. Two texts are linked if the Jaccard similarity of their sets of n-word shingles
     is at least ``threshold``. ``n_links`` counts the other documents linked directly,
-    copies included; ``class_id`` is the smallest doc_id that links reach.
+    copies included; ``class_id`` is the smallest doc_id that links reach. ``component`` is a
+    hash that tells classes apart, also where ids are null or several texts share an id.
 
     Candidates come from MinHash bands (recall by ``choose_bands``): classes in a common
     bucket form a candidate group, and within a group every pair of blocks of bounded size
@@ -334,7 +335,8 @@ def jaccard_links(
     )
     # Stored sides let a join split a hot class.
     named = stored(
-        labelled.join(ids, "component").select("node", "n_links", "class_id"), "jaccard-names"
+        labelled.join(ids, "component").select("node", "n_links", "component", "class_id"),
+        "jaccard-names",
     )
     return signed.select("doc_id", "row", "node").join(named, "node").drop("node")
 
@@ -345,9 +347,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Of rows that share this id, the one with the smallest row key stays, once. A class
     whose ids are all null keeps the row with the smallest key.
     """
-    links = jaccard_links(docs).withColumn("_class", F.coalesce("class_id", "row"))
     best = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
-    keep = links.groupBy("_class").agg(F.min(best).alias("b")).select(F.col("b.row").alias("_row"))
+    keep = (
+        jaccard_links(docs)
+        .groupBy("component")
+        .agg(F.min(best).alias("b"))
+        .select(F.col("b.row").alias("_row"))
+    )
     kept = docs.withColumn("_row", row_key()).join(keep.distinct(), "_row", "left_semi")
     # Equal rows are one document.
     return kept.dropDuplicates(["_row"]).select(*docs.columns)
