@@ -19,7 +19,18 @@ LAYOUTS = 4  # layouts that each training page is given besides its own
 TRAIN_BLOCKS = 60  # training pages have at most so many blocks; decoding has no bound
 
 # Roles of HTML elements.
-SKIPPED = "script|style|template|noscript|svg|math|iframe|object|title|textarea|select|button"
+RAW = frozenset("script style textarea title".split())  # up to the end tag or the page end
+# Elements whose content is not shown as text of the page.
+MUTE = frozenset(
+    "template noscript svg iframe object select button annotation annotation-xml".split()
+)
+FOREIGN = frozenset(("svg", "math"))  # here "/>" closes an element
+ALONE = frozenset(("button", "select"))  # never inside one of their kind
+MATH = frozenset(
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom "
+    "mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder "
+    "munderover semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt "
@@ -31,6 +42,11 @@ CLOSES_P = frozenset(
 )
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
             "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+# Start tags that end an svg that is still open.
+LEAVES_SVG = CLOSES_P | frozenset(
+    "b big body br center code dd dt em embed head i img li meta ruby s small span strike strong "
+    "sub sup tt u var".split()
+)
 NOT_MAIN_TAGS = frozenset("nav header footer aside form head menu dialog".split())
 # Words in class, id or role that mark other parts of a page.
 NOT_MAIN_WORDS = frozenset(
@@ -42,11 +58,11 @@ NOT_MAIN_WORDS = frozenset(
 MAIN_WORDS = ("content", "article", "post", "entry", "main", "body", "story", "text")
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SKIPPED})\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"""|<(/?)([a-z][a-z0-9:-]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>"""
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-z][a-z0-9:-]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>"""
     r"|<(/?)([a-z][a-z0-9:-]*)([^>]*)>|<[!?/][^>]*>|[^<]+|<",
     re.I | re.S,
 )
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -60,6 +76,95 @@ class Block:
     bold_chars: int
 
 
+@dataclass(slots=True)
+class Token:
+    text: str  # decoded text, of a tag its attributes
+    tag: str = ""  # lower case, "" for text
+    closing: bool = False
+    end: int | None = None  # of a MUTE start tag, the index of its end tag
+
+
+def _tokens(html: str) -> list[Token]:
+    """Texts and tags in page order. Comments are left out, and RAW elements are a space."""
+    out: list[Token] = []
+    pending: dict[str, list[int]] = {}  # MUTE start tags that wait for their end tag
+    foreign: list[str] = []
+    at = 0
+    while m := _TOKEN.match(html, at):
+        at = m.end()
+        tag = m.group(2) or m.group(5)
+        if tag is None:
+            raw = m.group(0)
+            if raw[0] != "<" or raw == "<":
+                out.append(Token(unescape(raw) if "&" in raw else raw))
+            continue
+        tag = tag.lower()
+        closing = bool(m.group(1) or m.group(4))
+        marks = m.group(3) or m.group(6) or ""
+        empty = marks.endswith("/")
+        if tag in RAW and not closing and not (empty and foreign):
+            found = _RAW_END[tag].search(html, at)
+            at = found.end() if found else len(html)
+            out.append(Token(" "))
+            continue
+        if tag in FOREIGN and not (empty and not closing):
+            if not closing:
+                foreign.append(tag)
+            elif tag in foreign:
+                while foreign.pop() != tag:
+                    pass
+        elif foreign and not closing and tag in CLOSES_P:
+            foreign.clear()
+        if tag in MUTE:
+            waiting = pending.setdefault(tag, [])
+            if closing:
+                if waiting:
+                    out[waiting.pop()].end = len(out)
+            elif not (empty and tag == "svg"):
+                if waiting and (tag in ALONE or out[waiting[-1]].text.endswith("/")):
+                    waiting.pop()
+                waiting.append(len(out))
+        out.append(Token(marks, tag, closing))
+    return out
+
+
+def _after_mute(tokens: list[Token], at: int, stack: list[tuple[str, str]]) -> int:
+    """Index of the token after the content of the MUTE element that starts at ``at``.
+
+    That is after its end tag, but never beyond the end of an element around it; an svg ends
+    before a tag that cannot stand in it. Without an end tag the element is empty if it closes
+    itself, and ends before the next block-level tag otherwise.
+    """
+    start = tokens[at]
+    if start.end is None and start.text.endswith("/"):
+        return at + 1
+    inside: list[str] = []
+    for k in range(at + 1, len(tokens)):
+        token = tokens[k]
+        tag = token.tag
+        if k == start.end:
+            return k + 1
+        if not tag:
+            continue
+        if token.closing:
+            if tag in inside:
+                while inside.pop() != tag:
+                    pass
+            elif any(tag == x for x, _ in stack):
+                return k
+            continue
+        if start.tag == "svg":
+            if tag in LEAVES_SVG and "foreignobject" not in inside:
+                return k
+        elif start.end is None and not (
+            tag in INLINE or tag in VOID or tag in MUTE or tag in ("option", "optgroup")
+        ):
+            return k
+        if tag not in VOID and not token.text.endswith("/"):
+            inside.append(tag)
+    return len(tokens)
+
+
 def leaf_blocks(html: str) -> list[Block]:
     """Runs of text between block-level tags, in page order, with white space folded and
     character references decoded. Unclosed and stray tags are tolerated."""
@@ -78,22 +183,28 @@ def leaf_blocks(html: str) -> list[Block]:
             parts.clear()
         links = bold = 0
 
-    for m in _TOKEN.finditer(html):
-        tag = m.group(3) or m.group(6)
-        if tag is None:
-            raw = m.group(0)
-            if raw[0] != "<" or raw == "<":
-                text = unescape(raw) if "&" in raw else raw
-                parts.append(text)
-                if depth_a:
-                    links += len(text)
-                if depth_b:
-                    bold += len(text)
-            elif m.group(1):
+    tokens = _tokens(html)
+    at = 0
+    while at < len(tokens):
+        token = tokens[at]
+        at += 1
+        tag, closing = token.tag, token.closing
+        if not tag:
+            parts.append(token.text)
+            if depth_a:
+                links += len(token.text)
+            if depth_b:
+                bold += len(token.text)
+            continue
+        if tag in MUTE:
+            parts.append(" ")
+            if not closing:
+                at = _after_mute(tokens, at - 1, stack)
+            continue
+        if tag in MATH:
+            if tag in ("mspace", "mtd", "mtr"):
                 parts.append(" ")
             continue
-        tag = tag.lower()
-        closing = m.group(2) or m.group(5)
         if tag in INLINE:
             if tag == "a":
                 depth_a = 0 if closing else 1
@@ -119,7 +230,7 @@ def leaf_blocks(html: str) -> list[Block]:
             stack.pop()
         elif shut and stack and stack[-1][0] in shut:
             stack.pop()
-        marks = m.group(4) or m.group(7) or ""
+        marks = token.text
         name = tag
         if "=" in marks:
             words = []
