@@ -1,4 +1,4 @@
-"""Queries of the ten operators over the given tables, and SQL where it can express them."""
+"""Queries of the operators over the given tables, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbflow.llm import (
-    embedding_dedup, html_extract, katz, line_dedup, mixing, ngram_join, packing, quality, topk,
-    toxicity,
+    embedding_dedup, html_extract, katz, line_dedup, mixing, ngram_join, packing, quality,
+    suffix_dedup, topk, toxicity,
 )
 from curbflow.llm.common import table
 
@@ -108,6 +108,10 @@ FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
 """
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1,
     "op2_ngram_jaccard_join": op2,
@@ -119,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz_lm_scoring": op8,
     "op9_embedding_near_dedup": op9,
     "op10_toxicity": op10,
+    "op12_suffix_array_dedup": op12,
 }
 
 ORACLE: dict[str, str] = {
