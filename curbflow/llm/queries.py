@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbflow.llm import (
-    embedding_dedup, html_extract, katz, line_dedup, mixing, ngram_join, packing, quality,
-    suffix_dedup, topk, toxicity,
+    divergence, embedding_dedup, html_extract, katz, line_dedup, mixing, ngram_join, packing,
+    quality, spelling, suffix_dedup, topk, toxicity,
 )
 from curbflow.llm.common import table
 
@@ -108,10 +108,18 @@ FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
 """
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1,
     "op2_ngram_jaccard_join": op2,
@@ -123,11 +131,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz_lm_scoring": op8,
     "op9_embedding_near_dedup": op9,
     "op10_toxicity": op10,
+    "op11_source_divergence": op11,
     "op12_suffix_array_dedup": op12,
+    "op13_spelling_variants": op13,
 }
 
 ORACLE: dict[str, str] = {
     "op1_exact_top_k": OP1_SQL,
     "op4_source_mixing": mixing.ORACLE,
     "op9_embedding_near_dedup": OP9_SQL,
+    "op11_source_divergence": divergence.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
