@@ -141,5 +141,6 @@ ORACLE: dict[str, str] = {
     "op4_source_mixing": mixing.ORACLE,
     "op9_embedding_near_dedup": OP9_SQL,
     "op11_source_divergence": divergence.ORACLE,
+    "op12_suffix_array_dedup": suffix_dedup.ORACLE,
     "op13_spelling_variants": spelling.ORACLE,
 }
