@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbflow.functions.columns import is_true
+from curbflow.functions.numbering import dense_numbers
 from curbflow.labels import POST, PRE
 from curbflow.spec import PolicySpec
 
@@ -111,9 +112,8 @@ def unit_economics(trips: DataFrame) -> DataFrame:
 
 
 def dwd_trips(features: DataFrame) -> DataFrame:
-    """Warehouse trip table. The id is the source id, else a hash of the trip columns.
-
-    A positional id would need one global order over all trips.
+    """Warehouse trip table. The id is the source id, else a hash of the trip columns, which
+    equal trips share; ``numbered_trips`` gives every trip its own.
     """
     if "source_trip_id" in features.columns:
         trip_id = F.col("source_trip_id")
@@ -134,3 +134,22 @@ def dwd_trips(features: DataFrame) -> DataFrame:
             "dropoff_zone": F.col("dropoff_zone_name"),
         }
     ).select(*DWD_ORDER)
+
+
+# Trips are numbered by time, then place, then measures; a source id comes last.
+ID_ORDER = (
+    "pickup_datetime", "request_datetime", "on_scene_datetime", "dropoff_datetime",
+    "pickup_location_id", "dropoff_location_id", "trip_miles", "base_passenger_fare",
+    "driver_pay", "tolls",
+)
+
+
+def numbered_trips(dwd: DataFrame) -> DataFrame:
+    """The warehouse trip table with ``trip_id`` 1 … n as its key.
+
+    The order is total up to trips that are equal in all columns. Numbers follow the rows that
+    are there: a table that grows in the past is numbered anew.
+    """
+    numbered = dense_numbers(dwd.withColumnRenamed("trip_id", "_source_id"),
+                             [*ID_ORDER, "_source_id"], "trip_id")
+    return numbered.select(*DWD_ORDER)

@@ -33,6 +33,11 @@ def _demand(standard: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
             *[zero(F.sum(SUMS[name])).alias(name) for name in sums],
         )
     )
+    return demand_ratios(totals)
+
+
+def demand_ratios(totals: DataFrame) -> DataFrame:
+    """Means and fares per mile from counts and sums."""
     return totals.withColumns(
         {
             "avg_distance": F.col("distance_sum") / F.col("trip_count"),
@@ -66,6 +71,10 @@ def calendar_demand(standard: DataFrame, zones: DataFrame) -> DataFrame:
 
 def zone_hourly_demand(standard: DataFrame, zones: DataFrame) -> DataFrame:
     demand = _demand(standard, ZONE_HOURLY_KEYS, ["distance_sum", "duration_sum", "fare_sum"])
+    return with_pickup_zones(demand, zones)
+
+
+def with_pickup_zones(demand: DataFrame, zones: DataFrame) -> DataFrame:
     extra = (
         [F.col("service_zone").alias("pickup_service_zone")]
         if "service_zone" in zones.columns
@@ -210,7 +219,7 @@ def price_driver_by_distance(dwd: DataFrame) -> DataFrame:
     )
 
 
-def _answered(dwd: DataFrame) -> DataFrame:
+def answered(dwd: DataFrame) -> DataFrame:
     return dwd.where(F.col("response_time_min").isNotNull()).withColumnRenamed(
         "trip_hour", "hour"
     )
@@ -218,7 +227,7 @@ def _answered(dwd: DataFrame) -> DataFrame:
 
 def response_metrics(dwd: DataFrame) -> DataFrame:
     """Response times per zone and hour with exact quantiles; NULL responses excluded."""
-    rows = _answered(dwd).withColumn(
+    rows = answered(dwd).withColumn(
         "_us", F.round(F.col("response_time_min") * MICROS_PER_MINUTE).cast("bigint")
     )
     keys = ["pickup_zone", "hour"]
@@ -232,22 +241,3 @@ def response_metrics(dwd: DataFrame) -> DataFrame:
         scale=MICROS_PER_MINUTE,
     )
     return null_safe_join(means, spread, keys)
-
-
-def response_metrics_approx(dwd: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """As above in one pass with mergeable quantile sketches."""
-    return (
-        _answered(dwd)
-        .groupBy("pickup_zone", "hour")
-        .agg(
-            F.count(F.lit(1)).alias("order_count"),
-            F.avg("response_time_min").alias("avg_response_time_min"),
-            F.percentile_approx("response_time_min", 0.5, accuracy).alias(
-                "p50_response_time_min"
-            ),
-            F.percentile_approx("response_time_min", 0.9, accuracy).alias(
-                "p90_response_time_min"
-            ),
-            F.avg((F.col("response_time_min") > 10).cast("double")).alias("slow_response_rate"),
-        )
-    )

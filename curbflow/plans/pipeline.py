@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from curbflow.operators import (
     causal, cleaning, compare, features, forecast, marts, panels, quality, recommend, reports,
+    sketches,
 )
 from curbflow.session import materialize
 from curbflow.sinks import warehouse, writers
@@ -176,7 +177,7 @@ def run_pipeline(
         chain.features.withColumn("trip_month", F.date_format("trip_date", "yyyy-MM")),
         "trip_month",
     )
-    dwd = save("dwd_hvfhv_trip_clean", features.dwd_trips(trips))
+    dwd = save("dwd_hvfhv_trip_clean", features.numbered_trips(features.dwd_trips(trips)))
     panel = save(
         "dws_zone_hour_policy_panel",
         panels.zone_hour_panel(trips, chain.zones, chain.spec).withColumn(
@@ -197,6 +198,10 @@ def run_pipeline(
     routes = save("dws_od_route_metrics", marts.od_route_metrics(dwd))
     save("dws_price_driver_metrics", marts.price_driver_metrics(dwd))
     response = save("dws_response_metrics", marts.response_metrics(dwd))
+    daily = save("dws_response_sketches", sketches.response_sketches(dwd))
+    save("response_metrics_by_hour", sketches.merged_responses(daily, ["hour"]))
+    days = save("dws_distinct_sketches", sketches.distinct_sketches(dwd))
+    save("distinct_counts", sketches.merged_distincts(days))
     save("dws_hourly_demand", marts.hourly_demand(standard))
     save("dws_zone_hourly_demand", marts.zone_hourly_demand(standard, chain.zones))
     save("top_od_flows", marts.top_od_flows(standard))

@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbflow import labels as L
-from curbflow.functions.columns import cut_rank, hour_window
+from curbflow.functions.columns import cut_rank, hour_window, null_safe_join
 from curbflow.operators import (
-    causal, cleaning, compare, forecast, marts, panels, quality, recommend, reports, timeseries,
+    causal, cleaning, compare, features, forecast, incremental, marts, panels, quality, recommend,
+    reports, sketches, timeseries,
 )
 from curbflow.plans import oracle
 from curbflow.plans.canonical import canonical, canonical_sql
 from curbflow.plans.pipeline import Chain
-from curbflow.session import scratch_path, use_utc
+from curbflow.session import materialize, scratch_path, use_utc
 from curbflow.sinks import warehouse, writers
 from curbflow.sources import adapters, inventory, readers, sampling
 
@@ -52,6 +53,14 @@ def simple(name: str, sql: str | None, plan: Callable[[Chain], DataFrame]) -> No
     QUERIES[name] = Query(lambda job: plan(job.chain), sql)
 
 
+def _once(chain: Chain, name: str, make: Callable):
+    """What ``make`` returns, kept with the chain."""
+    kept = chain.__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 # --- cleaning and quality -------------------------------------------------------
 
 simple("clean_trips_standard", "SELECT * FROM std_hv", lambda c: c.standard)
@@ -166,6 +175,25 @@ _columns(
      "is_dropoff_control", "is_cross_treated_trip", "is_airport_trip", "post_policy"],
 )
 simple("dwd_trip", "SELECT * FROM dwd", lambda c: c.dwd)
+_ID_ORDER_SQL = ", ".join(f"{c} NULLS FIRST" for c in features.ID_ORDER)
+simple(
+    "dwd_trip_ids",
+    f"""SELECT * REPLACE (row_number() OVER (ORDER BY {_ID_ORDER_SQL}, trip_id) AS trip_id)
+FROM dwd""",
+    lambda c: features.numbered_trips(c.dwd),
+)
+simple(
+    "dwd_trip_ids_key",
+    """SELECT 'yellow_taxi' AS service_type, count(*) AS trips, count(*) AS ids,
+  CASE WHEN count(*) > 0 THEN 1 END AS first_id, nullif(count(*), 0) AS last_id FROM trips_yellow""",
+    lambda c: features.numbered_trips(
+        features.dwd_trips(features.policy_features(c.trips_yellow, c.zones, c.spec))
+    ).agg(
+        F.lit("yellow_taxi").alias("service_type"), F.count(F.lit(1)).alias("trips"),
+        F.count_distinct("trip_id").alias("ids"), F.min("trip_id").alias("first_id"),
+        F.max("trip_id").alias("last_id"),
+    ),
+)
 simple(
     "trip_bins",
     f"""SELECT hour_group, time_window, segment_hour, dashboard_window, distance_group,
@@ -332,7 +360,81 @@ FROM dwd GROUP BY ALL""",
     lambda c: marts.price_driver_by_distance(c.dwd),
 )
 simple("response_metrics", "SELECT * FROM response", lambda c: marts.response_metrics(c.dwd))
-simple("response_metrics_approx", None, lambda c: marts.response_metrics_approx(c.dwd))
+
+
+def _sketched_responses(c: Chain) -> DataFrame:
+    return _once(c, "response_sketches", lambda: materialize(
+        sketches.response_sketches(c.dwd), "response-sketches"
+    ))
+
+
+def _approx(c: Chain, keys: list[str]) -> DataFrame:
+    """Metrics from stored sketches; instead of the quantiles, whether their ranks among the
+    trips are within the stated error."""
+    merged = sketches.merged_responses(_sketched_responses(c), keys)
+    errors = sketches.rank_errors(
+        marts.answered(c.dwd), merged, keys, "response_time_min", sketches.QUANTILES
+    )
+    within = errors.select(
+        *keys,
+        *[(F.col(n) <= sketches.RANK_ERROR).alias(f"{n}_within") for n in sketches.QUANTILES],
+    )
+    exact = merged.drop(*sketches.QUANTILES)
+    return null_safe_join(exact, within, keys)
+
+
+def _approx_sql(keys: str, group: str) -> str:
+    return f"""SELECT {keys}, count(*) AS order_count,
+  avg(response_time_min) AS avg_response_time_min,
+  avg(CASE WHEN response_time_min > 10 THEN 1e0 ELSE 0e0 END) AS slow_response_rate,
+  true AS p50_response_time_min_within, true AS p90_response_time_min_within
+FROM dwd WHERE response_time_min IS NOT NULL GROUP BY {group}"""
+
+
+simple(
+    "response_metrics_approx",
+    _approx_sql("pickup_zone, trip_hour AS hour", "pickup_zone, trip_hour"),
+    lambda c: _approx(c, ["pickup_zone", "hour"]),
+)
+simple(
+    "response_metrics_approx_daily",
+    _approx_sql("trip_date", "trip_date"),
+    lambda c: _approx(c, ["trip_date"]),
+)
+
+
+@query(
+    "distinct_counts_sketched",
+    """SELECT strftime(trip_date, '%Y-%m') AS month, count(*) AS orders,
+  count(DISTINCT pickup_location_id) AS pickup_zones,
+  count(DISTINCT CASE WHEN pickup_location_id IS NOT NULL AND dropoff_location_id IS NOT NULL
+    THEN (pickup_location_id, dropoff_location_id) END) AS routes,
+  count(DISTINCT trip_id) AS trips, true AS pickup_zones_within, true AS routes_within,
+  true AS trips_within
+FROM dwd GROUP BY GROUPING SETS ((strftime(trip_date, '%Y-%m')), ())""",
+)
+def _distincts(job: Job) -> DataFrame:
+    """Exact distinct ids by month and over all months, and whether the estimates from the
+    days' stored sketches are within the stated error of them."""
+    dwd = job.chain.dwd
+    days = materialize(sketches.distinct_sketches(dwd), "distinct-sketches")
+    month = F.date_format("trip_date", "yyyy-MM").alias("month")
+    none = F.lit(None).cast("string").alias("month")
+    merged = sketches.merged_distincts(days, month).unionByName(
+        sketches.merged_distincts(days, none)
+    )
+    exact = sketches.exact_distincts(dwd, month).unionByName(sketches.exact_distincts(dwd, none))
+    names = list(sketches.COUNTED)
+    both = null_safe_join(exact, merged.withColumnsRenamed({n: f"_{n}" for n in names}), ["month"])
+    return both.select(
+        "month", "orders", *names,
+        *[
+            (F.abs(F.col(f"_{n}") - F.col(n)) <= sketches.DISTINCT_ERROR * F.col(n))
+            .alias(f"{n}_within")
+            for n in names
+        ],
+    )
+
 
 # --- before/after comparisons ---------------------------------------------------
 
@@ -1094,31 +1196,38 @@ def _inventory(job: Job) -> DataFrame:
     return files.groupBy(table.alias("file")).agg(F.sum("rows").alias("rows"))
 
 
-@query("month_files_chain", "SELECT * FROM zone_hourly")
-def _month_files(job: Job) -> DataFrame:
-    """Month files whose types and columns drift, and the zone CSV, read as raw folders are."""
-    root = scratch_path(job.spark, "raw")
-    drift = (
-        {"PULocationID": "bigint", "DOLocationID": "double"},
-        {"PULocationID": "int", "DOLocationID": "bigint"},
-        {"PULocationID": "double", "DOLocationID": "int"},
-    )
+_DRIFT = (
+    {"PULocationID": "bigint", "DOLocationID": "double"},
+    {"PULocationID": "int", "DOLocationID": "bigint"},
+    {"PULocationID": "double", "DOLocationID": "int"},
+)
+
+
+def _write_months(chain: Chain, root: str, wanted: tuple[int, ...] = (0, 1, 2)) -> None:
+    """Month files of both services, whose types and columns drift."""
     for folder, raw, start in (
-        ("fhvhv/fhvhv", job.chain.raw, "pickup_datetime"),
-        ("yellow/yellow", job.chain.raw_taxi, "tpep_pickup_datetime"),
+        ("fhvhv/fhvhv", chain.raw, "pickup_datetime"),
+        ("yellow/yellow", chain.raw_taxi, "tpep_pickup_datetime"),
     ):
-        month = F.coalesce(F.month(start), F.lit(1)) % len(drift)
-        for k, kinds in enumerate(drift):
+        month = F.coalesce(F.month(start), F.lit(1)) % len(_DRIFT)
+        for k in wanted:
             part = raw.where(month == k).withColumns(
-                {name: F.col(name).cast(kind) for name, kind in kinds.items()}
+                {name: F.col(name).cast(kind) for name, kind in _DRIFT[k].items()}
             )
             part = part.drop("airport_fee") if k == 0 else part
             part.write.parquet(f"{root}/{folder}_tripdata_2024-{k + 1:02d}.parquet")
+
+
+@query("month_files_chain", "SELECT * FROM zone_hourly")
+def _month_files(job: Job) -> DataFrame:
+    """Month files whose types and columns drift, and the zone CSV, read as raw folders are."""
+    root = scratch_path(job.spark, "raw")
+    _write_months(job.chain, root)
     zones = job.chain.zones.selectExpr(
         "zone_id AS LocationID", "borough AS Borough", "zone_name AS Zone", "'N/A' AS service_zone"
     )
     zones.write.csv(f"{root}/zones", header=True)
-    months = [f"2024-{k + 1:02d}" for k in range(len(drift))]
+    months = [f"2024-{k + 1:02d}" for k in range(len(_DRIFT))]
     standard = [
         cleaning.standard_trips(
             readers.read_trips(
@@ -1134,6 +1243,38 @@ def _month_files(job: Job) -> DataFrame:
     ).drop("pickup_service_zone")
 
 
+def _incremental_state(job: Job) -> str:
+    """A state of the marts after three updates: two months, a third one, and nothing new."""
+
+    def make() -> str:
+        root, state = scratch_path(job.spark, "raw"), scratch_path(job.spark, "mart-state")
+        sources = {
+            cleaning.RIDE_HAILING: f"{root}/{readers.SERVICE_PATTERNS['fhvhv']}",
+            cleaning.YELLOW: f"{root}/{readers.SERVICE_PATTERNS['yellow']}",
+        }
+        for months in ((0, 1), (2,), ()):
+            _write_months(job.chain, root, months)
+            incremental.update(job.spark, state, sources, job.chain.spec.rules)
+        return state
+
+    return _once(job.chain, "mart_state", make)
+
+
+for _mart, _sql in (
+    ("hourly_demand", "SELECT * FROM hourly"),
+    ("zone_hourly_demand", "SELECT * FROM zone_hourly"),
+    ("od_flows", "SELECT * FROM flows"),
+    ("invalid_trip_summary", "SELECT service_type, invalid_reason, count(*) AS record_count "
+     "FROM std_all WHERE NOT is_valid_trip GROUP BY ALL"),
+):
+    QUERIES[f"incremental_{_mart}"] = Query(
+        lambda job, name=_mart: incremental.mart(
+            job.spark, _incremental_state(job), name, job.chain.zones
+        ),
+        _sql,
+    )
+
+
 _SUMMARY = (
     "SELECT pickup_month, is_valid_trip, count(*) AS trips, sum(fare_amount) AS fare_sum "
     "FROM std_hv GROUP BY ALL"
