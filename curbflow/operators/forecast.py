@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curbflow.operators.boosting import BoostSettings, fit_boosted
 from curbflow.operators.timeseries import demand_lags, rolling_means
 from curbflow.session import materialize
 
@@ -43,20 +44,10 @@ class ForestSettings:
     seed: int = 42
 
 
-@dataclass(frozen=True)
-class BoostSettings:
-    rounds: int = 180
-    max_depth: int = 7
-    step: float = 0.06
-    subsample: float = 0.85
-    min_leaf: int = 1
-    bins: int = 512
-    columns: str = "0.9"
-    seed: int = 42
-
-
+# Leaf-wise growth; the default settings are those of the forecast, level by level.
 BASELINE_BOOST = BoostSettings(
-    rounds=100, max_depth=5, step=0.1, subsample=1.0, min_leaf=20, columns="all"
+    rounds=100, max_depth=None, leaves=31, step=0.1, min_leaf=20, penalty=0.0, row_share=1.0,
+    column_share=1.0,
 )
 LEGACY_FOREST = ForestSettings(trees=120, min_leaf=3, max_depth=14)
 
@@ -139,21 +130,12 @@ def _vectors(table: DataFrame, features) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(table)
 
 
-def _regressors(label: str, forest: ForestSettings, boost: BoostSettings) -> Mapping:
-    return {
-        "random_forest": RandomForestRegressor(
-            labelCol=label, numTrees=forest.trees, minInstancesPerNode=forest.min_leaf,
-            maxDepth=forest.max_depth, maxBins=forest.bins, featureSubsetStrategy="all",
-            maxMemoryInMB=LEVEL_MEMORY_MB, cacheNodeIds=True, seed=forest.seed,
-        ),
-        # The column share is drawn per node, not per tree: the nearest this learner has.
-        "gradient_boosting": GBTRegressor(
-            labelCol=label, maxIter=boost.rounds, maxDepth=boost.max_depth, stepSize=boost.step,
-            subsamplingRate=boost.subsample, minInstancesPerNode=boost.min_leaf,
-            maxBins=boost.bins, featureSubsetStrategy=boost.columns,
-            maxMemoryInMB=LEVEL_MEMORY_MB, seed=boost.seed,
-        ),
-    }
+def _forest(label: str, forest: ForestSettings) -> RandomForestRegressor:
+    return RandomForestRegressor(
+        labelCol=label, numTrees=forest.trees, minInstancesPerNode=forest.min_leaf,
+        maxDepth=forest.max_depth, maxBins=forest.bins, featureSubsetStrategy="all",
+        maxMemoryInMB=LEVEL_MEMORY_MB, cacheNodeIds=True, seed=forest.seed,
+    )
 
 
 @dataclass
@@ -175,16 +157,17 @@ def fit_forecast(
     train = table.where("is_train")
     if train.isEmpty() or table.where(~F.col("is_train")).isEmpty():
         raise ValueError("forecast requires a chronological holdout window")
-    fitted = _regressors("order_count", forest, boost)[model].fit(
-        _vectors(train, FORECAST_FEATURES).select("order_count", "features")
-    )
-    scored = with_errors(
-        fitted.transform(_vectors(table, FORECAST_FEATURES)), "order_count", "prediction"
-    ).drop("features", "prediction")
-    rows = [
-        (model, name, float(weight))
-        for name, weight in zip(FORECAST_FEATURES, fitted.featureImportances.toArray())
-    ]
+    if model == "gradient_boosting":
+        boosted = fit_boosted(train, FORECAST_FEATURES, "order_count", boost)
+        predicted, weights = boosted.predict(table), boosted.importance
+    else:
+        fitted = _forest("order_count", forest).fit(
+            _vectors(train, FORECAST_FEATURES).select("order_count", "features")
+        )
+        predicted = fitted.transform(_vectors(table, FORECAST_FEATURES)).drop("features")
+        weights = fitted.featureImportances.toArray()
+    scored = with_errors(predicted, "order_count", "prediction").drop("prediction")
+    rows = [(model, name, float(weight)) for name, weight in zip(FORECAST_FEATURES, weights)]
     importance = panel.sparkSession.createDataFrame(
         rows, "model_name string, feature string, importance double"
     ).orderBy(F.col("importance").desc(), "feature")
@@ -239,8 +222,11 @@ def seasonal_naive_gap(panel: DataFrame) -> DataFrame:
 
 @dataclass
 class Counterfactual:
+    """Gaps of the post-policy rows, metrics of both periods, and all rows with prediction."""
+
     predictions: DataFrame
     metrics: DataFrame
+    scored: DataFrame
 
 
 def fit_counterfactual(panel: DataFrame, boost: BoostSettings = BASELINE_BOOST) -> Counterfactual:
@@ -249,10 +235,8 @@ def fit_counterfactual(panel: DataFrame, boost: BoostSettings = BASELINE_BOOST)
     train = table.where(~F.col("post_policy"))
     if train.isEmpty() or table.where("post_policy").isEmpty():
         raise ValueError("the baseline needs rows before and after the policy")
-    fitted = _regressors("order_count", ForestSettings(), boost)["gradient_boosting"].fit(
-        _vectors(train, BASELINE_FEATURES).select("order_count", "features")
-    )
-    scored = fitted.transform(_vectors(table, BASELINE_FEATURES)).drop("features")
+    fitted = fit_boosted(train, BASELINE_FEATURES, "order_count", boost)
+    scored = materialize(fitted.predict(table), "baseline-scored")
     gaps = demand_gap(scored, "prediction")
     error = F.when(~F.col("post_policy"), F.col("order_count") - F.col("prediction"))
     post_gap = F.when(
@@ -263,7 +247,7 @@ def fit_counterfactual(panel: DataFrame, boost: BoostSettings = BASELINE_BOOST)
         F.sqrt(F.avg(error * error)).alias("RMSE_pre_policy"),
         F.avg(post_gap).alias("mean_post_policy_demand_gap"),
     )
-    return Counterfactual(gaps, metrics)
+    return Counterfactual(gaps, metrics, scored)
 
 
 def legacy_features(zone_hourly: DataFrame) -> DataFrame:
@@ -281,17 +265,20 @@ def legacy_features(zone_hourly: DataFrame) -> DataFrame:
     )
 
 
+def legacy_split(features: DataFrame, seed: int = 42, holdout: float = 0.2) -> DataFrame:
+    """Adds ``is_train`` by the md5 of date, hour and zone: the same rows in every run."""
+    name = F.concat_ws("|", F.col("trip_date").cast("string"), "pickup_hour",
+                       "pickup_location_id", F.lit(seed))
+    place = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % 1_000_000
+    return features.withColumn("is_train", place >= int(holdout * 1_000_000))
+
+
 def fit_legacy_demand(
     zone_hourly: DataFrame, forest: ForestSettings = LEGACY_FOREST, holdout: float = 0.2
 ) -> DataFrame:
     """Random forest on a hash split with one-hot boroughs; one row of holdout metrics."""
-    features = legacy_features(zone_hourly)
-    place = F.pmod(
-        F.xxhash64("trip_date", "pickup_hour", "pickup_location_id", F.lit(forest.seed)),
-        F.lit(1_000_000),
-    )
     split = materialize(
-        features.withColumn("is_train", place >= int(holdout * 1_000_000)), "legacy"
+        legacy_split(legacy_features(zone_hourly), forest.seed, holdout), "legacy"
     )
     stages = [
         StringIndexer(inputCol="pickup_borough", outputCol="borough_index", handleInvalid="keep"),
@@ -299,11 +286,7 @@ def fit_legacy_demand(
         VectorAssembler(
             inputCols=[*LEGACY_FEATURES, "borough_vector"], outputCol="features"
         ),
-        RandomForestRegressor(
-            labelCol="trip_count", numTrees=forest.trees, maxDepth=forest.max_depth,
-            minInstancesPerNode=forest.min_leaf, maxBins=forest.bins,
-            featureSubsetStrategy="all", maxMemoryInMB=LEVEL_MEMORY_MB, seed=forest.seed,
-        ),
+        _forest("trip_count", forest),
     ]
     fitted = Pipeline(stages=stages).fit(split.where("is_train"))
     scored = with_errors(fitted.transform(split), "trip_count", "prediction").withColumn(
@@ -315,5 +298,24 @@ def fit_legacy_demand(
     )
 
 
+def beats_yardstick(
+    scored: DataFrame, rows, actual: str, yardstick: str, prediction: str = "predicted_order_count"
+) -> DataFrame:
+    """Mean absolute error of a yardstick column on ``rows``, and whether the predictions have
+    a smaller one and none below zero."""
+    test = scored.where(rows)
+    return test.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.avg(F.abs(F.col(actual) - F.greatest(F.col(yardstick).cast("double"), F.lit(0.0)))).alias(
+            "yardstick_mae"
+        ),
+        (
+            F.avg(F.abs(F.col(actual) - F.col(prediction)))
+            < F.avg(F.abs(F.col(actual) - F.greatest(F.col(yardstick).cast("double"), F.lit(0.0))))
+        ).alias("better"),
+        (F.min(prediction) >= 0).alias("not_negative"),
+    )
+
+
 def best_model(metrics: DataFrame) -> DataFrame:
     return metrics.orderBy("rmse", "model_name").limit(1)

@@ -39,6 +39,10 @@ class Chain:
             adapters.ADAPTER_SPEC,
         )
 
+    @property
+    def spark(self) -> SparkSession:
+        return self.zones.sparkSession
+
     @cached_property
     def zones(self) -> DataFrame:
         return self.read_zones()
@@ -153,7 +157,7 @@ def run_pipeline(
     layer at most. Tables of the warehouse are written where and as ``warehouse.TABLES``
     says; all other results are Parquet under ``ads``. Returns the path of every table.
     """
-    spark = chain.zones.sparkSession
+    spark = chain.spark
     paths: dict[str, str] = {}
 
     def save(name: str, df: DataFrame, partition: str | None = None) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from curbflow import labels as L
 from curbflow.functions.columns import cut_rank, hour_window, null_safe_join
 from curbflow.operators import (
-    causal, cleaning, compare, features, forecast, incremental, marts, panels, quality, recommend,
-    reports, sketches, timeseries,
+    boosting, causal, cleaning, compare, features, forecast, incremental, marts, panels, quality,
+    recommend, reports, sketches, timeseries,
 )
 from curbflow.plans import oracle
 from curbflow.plans.canonical import canonical, canonical_sql
@@ -735,6 +735,78 @@ simple(
     None,
     lambda c: forecast.fit_legacy_demand(marts.zone_hourly_demand(c.standard, c.zones)),
 )
+simple(
+    "legacy_split_stats",
+    """SELECT is_train, count(*) AS row_count, sum(trip_count) AS trips, min(pickup_date) AS first_date,
+  max(pickup_date) AS last_date FROM (
+SELECT *, ('0x' || substr(md5(strftime(pickup_date, '%Y-%m-%d') || '|' || pickup_hour || '|'
+  || pickup_location_id || '|42'), 1, 8))::BIGINT % 1000000 >= 200000 AS is_train FROM zone_hourly
+WHERE service_type = 'high_volume_fhv' AND pickup_borough IS NOT NULL
+  AND pickup_location_id IS NOT NULL) GROUP BY is_train""",
+    lambda c: forecast.legacy_split(
+        forecast.legacy_features(marts.zone_hourly_demand(c.standard, c.zones))
+    )
+    .groupBy("is_train")
+    .agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum("trip_count").alias("trips"),
+        F.min("trip_date").alias("first_date"), F.max("trip_date").alias("last_date"),
+    ),
+)
+_STUMPS = boosting.BoostSettings(
+    rounds=2, max_depth=1, step=0.5, penalty=1.0, row_share=1.0, column_share=1.0
+)
+
+
+def _stump_sql(round_: int, rows: str, gradient: str) -> str:
+    """The best split of hour and weekday over all rows, by trying every one."""
+    cells = " UNION ALL ".join(
+        f"SELECT {k} AS k, '{f}' AS feature, {f}::DOUBLE AS v, sum({gradient}) AS g, "
+        f"count(*) AS n FROM {rows} GROUP BY {f}"
+        for k, f in enumerate(("hour", "weekday"))
+    )
+    return f"""s{round_} AS (
+SELECT *, -0.5e0 * gl / (nl + 1) AS left_value, -0.5e0 * (gt - gl) / (nt - nl + 1) AS right_value FROM (
+SELECT k, feature, v, lead(v) OVER w AS nxt, sum(g) OVER w AS gl, sum(n) OVER w AS nl,
+  sum(g) OVER (PARTITION BY k) AS gt, sum(n) OVER (PARTITION BY k) AS nt
+FROM ({cells}) WINDOW w AS (PARTITION BY k ORDER BY v)) WHERE nxt IS NOT NULL
+ORDER BY gl * gl / (nl + 1) + (gt - gl) * (gt - gl) / (nt - nl + 1) DESC, k, v LIMIT 1)"""
+
+
+simple(
+    "boosted_stumps",
+    f"""SELECT * FROM (WITH t AS (SELECT hour, weekday, order_count::DOUBLE AS y,
+  avg(order_count) OVER () AS p FROM panel),
+{_stump_sql(1, 't', 'p - y')},
+t2 AS (SELECT t.* EXCLUDE (p), p + CASE WHEN (CASE feature WHEN 'hour' THEN hour ELSE weekday END) <= v
+  THEN left_value ELSE right_value END AS p FROM t, s1),
+{_stump_sql(2, 't2', 'p - y')}
+SELECT 1 AS round, feature, (v + nxt) / 2 AS split_at, left_value, right_value FROM s1
+UNION ALL SELECT 2, feature, (v + nxt) / 2, left_value, right_value FROM s2)""",
+    lambda c: boosting.splits_table(
+        c.spark,
+        boosting.fit_boosted(c.stored_panel, ("hour", "weekday"), "order_count", _STUMPS),
+    ).select("round", "feature", "split_at", "left_value", "right_value"),
+)
+_HOLDOUT_SQL = """SELECT '{m}' AS model_name, count(*) AS rows,
+  avg(abs(order_count - greatest(lag_1_hour_order_count, 0))) AS yardstick_mae,
+  true AS better, true AS not_negative FROM split WHERE NOT is_train"""
+for _model, _fitted in (("random_forest", "forest"), ("gradient_boosting", "boosted")):
+    simple(
+        f"{_model}_quality",
+        _HOLDOUT_SQL.format(m=_model),
+        lambda c, model=_model, fitted=_fitted: forecast.beats_yardstick(
+            getattr(c, fitted).scored, ~F.col("is_train"), "order_count", "lag_1_hour_order_count"
+        ).select(F.lit(model).alias("model_name"), "*"),
+    )
+simple(
+    "counterfactual_quality",
+    """SELECT count(*) AS rows, avg(abs(order_count - greatest(lag_7_day, 0))) AS yardstick_mae,
+  true AS better, true AS not_negative FROM lags WHERE lag_1 IS NOT NULL AND NOT post_policy""",
+    lambda c: forecast.beats_yardstick(
+        c.counterfactual.scored.withColumn("prediction", F.greatest("prediction", F.lit(0.0))),
+        ~F.col("post_policy"), "order_count", "lag_7_day", "prediction",
+    ),
+)
 simple("seasonal_naive_gap", "SELECT * FROM gap", lambda c: c.naive_gap)
 
 
