@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +26,33 @@ TOP_TERMS = 10
 SCALE = 1_000_000_000
 HELD_TERMS = 200_000  # terms that a task adds up before it passes them on
 
-_TALLY = "lang string, source string, term binary, documents long, n long"
+_TALLY = "lang string, term binary, found array<struct<source: string, documents: long, n: long>>"
+
+
+def _by_term(
+    counts: dict[tuple[str, str], Counter], documents: dict[tuple[str, str], Counter]
+) -> pa.RecordBatch:
+    """One row per language and term with the sources that have it."""
+    rows: dict[tuple[str, bytes], list] = {}
+    for (lang, source), found in counts.items():
+        seen = documents[lang, source]
+        for term, n in found.items():
+            rows.setdefault((lang, term), []).append((source, seen[term], n))
+    flat = [x for found in rows.values() for x in found]
+    offsets = [0, *accumulate(map(len, rows.values()))]
+    kinds = {"source": pa.string(), "documents": pa.int64(), "n": pa.int64()}
+    columns = zip(*flat) if flat else ((), (), ())
+    structs = pa.StructArray.from_arrays(
+        [pa.array(c, kind) for c, kind in zip(columns, kinds.values())], list(kinds)
+    )
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([lang for lang, _ in rows], pa.string()),
+            pa.array([term for _, term in rows], pa.binary()),
+            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs),
+        ],
+        ["lang", "term", "found"],
+    )
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,19 +61,6 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     documents: dict[tuple[str, str], Counter] = {}
     held = 0
 
-    def passed_on() -> pa.RecordBatch:
-        columns: list[list] = [[], [], [], [], []]
-        for (lang, source), found in counts.items():
-            seen = documents[lang, source]
-            for column, values in zip(columns, (
-                [lang] * len(found), [source] * len(found), found, map(seen.get, found),
-                found.values(),
-            )):
-                column.extend(values)
-        kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-        names = ["lang", "source", "term", "documents", "n"]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
     for batch in batches:
         rows = zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "copies")))
         for lang, text, copies in rows:
@@ -67,10 +81,10 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         seen[term] += times
                 held += len(n)
             if held > HELD_TERMS:
-                yield passed_on()
+                yield _by_term(counts, documents)
                 counts, documents, held = {}, {}, 0
     if held:
-        yield passed_on()
+        yield _by_term(counts, documents)
 
 
 def _chance(n: str, total: str, terms: str) -> Column:
@@ -109,18 +123,23 @@ def collapsed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def term_counts(texts: DataFrame, least_documents: int) -> DataFrame:
     """``lang``, ``term``, ``n`` and ``by_source`` (source, n) of the terms that enough documents
-    of the language have."""
-    tallies = texts.mapInArrow(_tally, _TALLY)
+    of the language have.
+
+    Tasks send a term once with all its sources, so a word that is in every text costs a row
+    for each ``HELD_TERMS`` terms of a task. The sums by source need no further shuffle.
+    """
+    tallies = texts.mapInArrow(_tally, _TALLY).repartition("lang", "term")
     return (
-        tallies.groupBy("lang", F.col("term").cast("string").alias("term"), "source")
-        .agg(F.sum("documents").alias("documents"), F.sum("n").alias("n"))
+        tallies.select("lang", "term", F.explode("found").alias("s"))
+        .groupBy("lang", "term", "s.source")
+        .agg(F.sum("s.documents").alias("documents"), F.sum("s.n").alias("n"))
         .groupBy("lang", "term")
         .agg(
             F.sum("documents").alias("documents"), F.sum("n").alias("n"),
             F.collect_list(F.struct("source", "n")).alias("by_source"),
         )
         .where(F.col("documents") >= least_documents)
-        .select("lang", "term", "n", "by_source")
+        .select("lang", F.col("term").cast("string").alias("term"), "n", "by_source")
     )
 
 
