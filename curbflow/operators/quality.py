@@ -1,8 +1,10 @@
-"""Profiling of raw trips and drop accounting."""
+"""Profiling of raw trips and drop accounting, from a scan or while a layer is written."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from curbflow import labels as L
@@ -19,8 +21,8 @@ PROFILE_COLUMNS = {
 }
 
 
-def quality_profile(raw: DataFrame, service: str, rules: TripRules | None = None) -> DataFrame:
-    """One row of counters over the raw trips, in a single pass."""
+def _counted(raw: DataFrame, service: str, rules: TripRules | None):
+    """``raw`` with the columns that the counters need, and the counters."""
     rules = rules or TripRules()
     start, end, distance, fare, total = PROFILE_COLUMNS[service]
     trips = raw.withColumns(
@@ -44,11 +46,61 @@ def quality_profile(raw: DataFrame, service: str, rules: TripRules | None = None
         counters["negative_fare"] = clean_double(F.col(fare)) < 0
     if total in raw.columns:
         counters["negative_total_or_pay"] = clean_double(F.col(total)) < 0
-    return trips.agg(
-        F.lit(service).alias("service"),
+    return trips, [
         F.count(F.lit(1)).alias("sample_rows"),
         *[F.count_if(condition).alias(name) for name, condition in counters.items()],
+    ]
+
+
+def quality_profile(raw: DataFrame, service: str, rules: TripRules | None = None) -> DataFrame:
+    """One row of counters over the raw trips, in a single pass."""
+    trips, counters = _counted(raw, service, rules)
+    return trips.agg(F.lit(service).alias("service"), *counters)
+
+
+@dataclass
+class Counters:
+    """Counters that fill while a frame is written; ``values`` waits for that write."""
+
+    observation: Observation
+
+    @property
+    def values(self) -> dict[str, int]:
+        return self.observation.get
+
+
+def counting(df: DataFrame, name: str = "rows") -> tuple[DataFrame, Counters]:
+    """``df``, and its number of rows once it is written. The frame is for one write only."""
+    observation = Observation()
+    return df.observe(observation, F.count(F.lit(1)).alias(name)), Counters(observation)
+
+
+def profiling(
+    raw: DataFrame, service: str, rules: TripRules | None = None
+) -> tuple[DataFrame, Counters]:
+    """``raw`` unchanged, and its ``quality_profile`` counters once what follows is written."""
+    trips, counters = _counted(raw, service, rules)
+    observation = Observation()
+    return trips.observe(observation, *counters).select(*raw.columns), Counters(observation)
+
+
+def profile_row(spark: SparkSession, service: str, counted: Counters, written: int) -> DataFrame | None:
+    """The profile as one row, or None if tasks were repeated while it was counted: then the
+    counters disagree with the ``written`` rows and the raw trips have to be read again."""
+    values = counted.values
+    if values["sample_rows"] != written:
+        return None
+    kinds = ", ".join(f"{name} long" for name in values)
+    return spark.createDataFrame([(service, *values.values())], f"service string, {kinds}")
+
+
+def drop_row(spark: SparkSession, raw_count: int, valid_count: int, source: str) -> DataFrame:
+    """The drop summary from counts that are known."""
+    known = spark.createDataFrame(
+        [(source, raw_count, valid_count)],
+        "source_table string, raw_count long, valid_count long",
     )
+    return _with_drops(known)
 
 
 def drop_summary(raw: DataFrame, kept: DataFrame, source: str) -> DataFrame:
@@ -57,7 +109,13 @@ def drop_summary(raw: DataFrame, kept: DataFrame, source: str) -> DataFrame:
     return (
         kept.agg(F.count(F.lit(1)).alias("valid_count"))
         .select(F.lit(source).alias("source_table"), whole.alias("raw_count"), "valid_count")
-        .withColumn(
+        .transform(_with_drops)
+    )
+
+
+def _with_drops(counts: DataFrame) -> DataFrame:
+    return (
+        counts.withColumn(
             "dropped_count", F.greatest(F.col("raw_count") - F.col("valid_count"), F.lit(0))
         )
         .withColumn("drop_rate", F.coalesce(F.try_divide("dropped_count", "raw_count"), F.lit(0.0)))

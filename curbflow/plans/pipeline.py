@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from curbflow.operators import (
 )
 from curbflow.session import materialize
 from curbflow.sinks import warehouse, writers
-from curbflow.sources import adapters
+from curbflow.sources import adapters, inventory
 from curbflow.spec import NYC_CONGESTION_PRICING, PolicySpec
 
 
@@ -159,28 +159,69 @@ def run_pipeline(
     """
     spark = chain.spark
     paths: dict[str, str] = {}
+    sizes: dict[str, int] = {}
 
     def save(name: str, df: DataFrame, partition: str | None = None) -> DataFrame:
         _, fmt, parts = warehouse.TABLES.get(name, ("", "parquet", (partition,) if partition else ()))
         known = name in warehouse.TABLES
         path = warehouse.table_path(out, name) if known else f"{out.rstrip('/')}/ads/{name}"
         paths[name] = path
+        schema = df.schema
+        df, counted = quality.counting(df)
         if fmt == "csv":
             writers.write_csv(df, path)
-            return spark.read.schema(df.schema).csv(path, header=True)
-        if parts:
-            writers.write_partitioned(df, path, *parts)
+            written = spark.read.schema(schema).csv(path, header=True)
         else:
-            writers.write_parquet(df, path)
-        return spark.read.parquet(path)
-
-    both = chain.standard_all if chain.raw_yellow else chain.standard
+            if parts:
+                writers.write_partitioned(df, path, *parts)
+            else:
+                writers.write_parquet(df, path)
+            written = spark.read.parquet(path)
+        sizes[name] = counted.values["rows"]
+        return written
+
+    def stored_rows(name: str) -> int:
+        return inventory.file_inventory(spark, paths[name]).agg(F.sum("rows")).first()[0] or 0
+
+    # Raw trips are profiled, and dropped ones counted, while the layers above are written.
+    services = {cleaning.RIDE_HAILING: chain.raw}
+    if chain.raw_yellow:
+        services[cleaning.YELLOW] = chain.raw_taxi
+    profiles, parts = {}, []
+    for service, raw in services.items():
+        profiled, profiles[service] = quality.profiling(raw, service, chain.spec.rules)
+        parts.append(cleaning.standard_trips(profiled, service, chain.spec.rules))
+    both = cleaning.union_services(*parts) if len(parts) > 1 else parts[0]
     standard = save("dwd_clean_trips", both, "pickup_month")
+    by_service = {
+        row.service_type: row["count"] for row in standard.groupBy("service_type").count().collect()
+    }
+    rows = []
+    for service, raw in services.items():
+        row = quality.profile_row(
+            spark, service, profiles[service], by_service.get(service, 0)
+        )
+        rows.append(row if row is not None else quality.quality_profile(raw, service, chain.spec.rules))
+    save("quality_profile", reduce(lambda a, b: a.unionByName(b, True), rows))
+
+    raw, raw_count = quality.counting(chain.raw)
+    kept, kept_count = quality.counting(
+        cleaning.policy_trips(raw, cleaning.RIDE_HAILING, chain.spec.rules)
+    )
     trips = save(
         "dwd_trip_policy_feature",
-        chain.features.withColumn("trip_month", F.date_format("trip_date", "yyyy-MM")),
+        features.policy_features(kept, chain.zones, chain.spec).withColumn(
+            "trip_month", F.date_format("trip_date", "yyyy-MM")
+        ),
         "trip_month",
     )
+    if kept_count.values["rows"] == stored_rows("dwd_trip_policy_feature"):
+        drops = quality.drop_row(
+            spark, raw_count.values["rows"], kept_count.values["rows"], "policy trips"
+        )
+    else:  # tasks were repeated, so what they counted cannot be told from the rest
+        drops = quality.drop_summary(chain.raw, trips, "policy trips")
+    drops = save("data_quality_summary", drops)
     dwd = save("dwd_hvfhv_trip_clean", features.numbered_trips(features.dwd_trips(trips)))
     panel = save(
         "dws_zone_hour_policy_panel",
@@ -210,7 +251,6 @@ def run_pipeline(
     save("dws_zone_hourly_demand", marts.zone_hourly_demand(standard, chain.zones))
     save("top_od_flows", marts.top_od_flows(standard))
     save("invalid_trip_summary", marts.invalid_reason_summary(standard))
-    drops = save("data_quality_summary", quality.drop_summary(chain.raw, trips, "policy trips"))
 
     save("demand_shift_summary", compare.demand_shift(trips))
     save("hourly_demand_pattern", compare.hourly_pattern(trips))
@@ -260,4 +300,8 @@ def run_pipeline(
     # The report reads the tables above, never the trips.
     save("report_scalars", reports.report_scalars(drops, pickups, routes, response, windows))
     save("report_estimates", reports.report_estimates(effects, metrics))
+    catalogue = spark.createDataFrame(
+        sorted(sizes.items()), "result string, available_rows long"
+    )
+    save("output_catalogue", catalogue)
     return paths

@@ -19,8 +19,9 @@ from curbflow.plans import oracle
 from curbflow.plans.canonical import canonical, canonical_sql
 from curbflow.plans.pipeline import Chain
 from curbflow.session import materialize, scratch_path, use_utc
-from curbflow.sinks import warehouse, writers
+from curbflow.sinks import upsert, warehouse, writers
 from curbflow.sources import adapters, inventory, readers, sampling
+from curbflow.streaming import hourly
 
 
 @dataclass(frozen=True)
@@ -118,6 +119,33 @@ FROM (SELECT (SELECT count(*) FROM raw_hv) AS raw_count,
   (SELECT count(*) FROM trips) AS valid_count)""",
     lambda c: quality.drop_summary(c.raw, c.trips, "policy trips"),
 )
+
+
+def _observed(job: Job) -> tuple[DataFrame, DataFrame]:
+    """Profile and drop summary, counted while the trips are written."""
+
+    def make() -> tuple[DataFrame, DataFrame]:
+        c = job.chain
+        profiled, profile = quality.profiling(c.raw, cleaning.RIDE_HAILING, c.spec.rules)
+        kept, rows = quality.counting(
+            cleaning.policy_trips(profiled, cleaning.RIDE_HAILING, c.spec.rules)
+        )
+        writers.write_parquet(kept, scratch_path(job.spark, "observed-trips"))
+        raw_rows = profile.values["sample_rows"]
+        return (
+            quality.profile_row(job.spark, cleaning.RIDE_HAILING, profile, raw_rows),
+            quality.drop_row(job.spark, raw_rows, rows.values["rows"], "policy trips"),
+        )
+
+    return _once(job.chain, "observed", make)
+
+
+QUERIES["quality_profile_observed"] = Query(
+    lambda job: _observed(job)[0], QUERIES["quality_profile"].sql
+)
+QUERIES["drop_summary_observed"] = Query(
+    lambda job: _observed(job)[1], QUERIES["drop_summary"].sql
+)
 simple(
     "policy_trips_filtered",
     "SELECT * FROM trips",
@@ -1347,6 +1375,97 @@ for _mart, _sql in (
     )
 
 
+@query(
+    "zone_hour_panel_stream",
+    """SELECT zone_id, trip_date, hour, order_count, valid_response_count, airport_trip_count,
+  avg_trip_miles, avg_trip_time, avg_base_fare, avg_driver_pay, avg_tolls, avg_response_time_min,
+  slow_response_rate FROM panel
+WHERE trip_date + to_hours(hour + 1) <= (SELECT max(pickup_datetime) FROM trips) - INTERVAL 1 DAY""",
+)
+def _stream(job: Job) -> DataFrame:
+    """Trips arrive as a file for each ten days, in two runs of the stream; the hours that the
+    watermark has closed."""
+    root, chain = scratch_path(job.spark, "stream"), job.chain
+    raw = chain.raw
+    days = F.dayofmonth("pickup_datetime")
+    for low, high in ((0, 10), (10, 20), (20, 31)):
+        part = raw.where((days > low) & (days <= high)).coalesce(1)
+        part.write.mode("append").parquet(f"{root}/in")
+        if low != 10:  # the second and third file come in one run
+            arriving = hourly.trip_stream(job.spark, f"{root}/in", raw.schema, 1)
+            hours = hourly.hourly_panel(arriving, chain.zones, chain.spec)
+            hourly.write_hours(hours, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return hourly.panel_means(job.spark.read.parquet(f"{root}/out"))
+
+
+@query(
+    "panel_upsert_rerun",
+    """SELECT zone_id, trip_date, hour, order_count, avg_base_fare, zone_group FROM panel""",
+)
+def _upsert(job: Job) -> DataFrame:
+    """A first write that lacks zones and has wrong counts for late days; then the late rows."""
+    path, keys = scratch_path(job.spark, "late-panel"), ["trip_date", "zone_id", "hour"]
+    panel = job.chain.stored_panel.select(
+        "zone_id", "trip_date", "hour", "order_count", "avg_base_fare", "zone_group"
+    )
+    late = F.dayofmonth("trip_date") >= 20
+    early = panel.withColumn(
+        "order_count", F.when(late, F.col("order_count") + 1).otherwise(F.col("order_count"))
+    )
+    upsert.upsert(early.where(~late | (F.col("zone_id") % 3 > 0)), path, keys, ["trip_date"])
+    upsert.upsert(panel.where(late), path, keys, ["trip_date"])
+    return job.spark.read.parquet(path)
+
+
+def _bucketed_panel(chain: Chain) -> DataFrame:
+    def make() -> DataFrame:
+        name, path = "curbflow_check_bucketed_panel", scratch_path(chain.spark, "bucketed-panel")
+        chain.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        return warehouse.create_bucketed(
+            chain.panel, name, path, ["zone_id"], 8, ["zone_id", "trip_date", "hour"]
+        )
+
+    return _once(chain, "bucketed_panel", make)
+
+
+simple(
+    "demand_lags_bucketed",
+    "SELECT zone_id, trip_date, hour, order_count, lag_1, lag_24, lag_7_day FROM lags",
+    lambda c: timeseries.demand_lags(
+        _bucketed_panel(c), ("lag_1", "lag_24", "lag_7_day")
+    ).select("zone_id", "trip_date", "hour", "order_count", "lag_1", "lag_24", "lag_7_day"),
+)
+simple(
+    "zone_context_bucketed", "SELECT * FROM context",
+    lambda c: recommend.zone_context(_bucketed_panel(c)),
+)
+
+
+@query(
+    "policy_calendar_slice",
+    """SELECT pickup_month, count(*) AS trips, sum(fare_amount) AS fare_sum FROM std_yellow
+WHERE pickup_month IN (SELECT strftime(o_orderdate, '%Y-%m') FROM orders
+  GROUP BY ALL HAVING count(*) > (SELECT avg(n) FROM (SELECT count(*) AS n FROM orders
+    GROUP BY strftime(o_orderdate, '%Y-%m')))) GROUP BY pickup_month""",
+)
+def _calendar(job: Job) -> DataFrame:
+    """Only the months with more orders than the mean month, from a written calendar."""
+    path = scratch_path(job.spark, "months")
+    writers.write_partitioned(job.chain.standard_yellow, path, "pickup_month")
+    orders = adapters.table(job.spark, job.folder, "orders")
+    months = orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("pickup_month")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    mean = months.agg(F.avg("n")).scalar()
+    calendar = materialize(months.withColumn("busy", F.col("n") > mean), "calendar")
+    trips = job.spark.read.schema(job.chain.standard_yellow.schema).parquet(path)
+    return (
+        readers.calendar_slice(trips, calendar.where("busy"))
+        .groupBy("pickup_month")
+        .agg(F.count(F.lit(1)).alias("trips"), F.sum("fare_amount").alias("fare_sum"))
+    )
+
+
 _SUMMARY = (
     "SELECT pickup_month, is_valid_trip, count(*) AS trips, sum(fare_amount) AS fare_sum "
     "FROM std_hv GROUP BY ALL"

@@ -164,6 +164,18 @@ def month_slice(trips: DataFrame, months: Sequence[str], column: str = "pickup_m
     return trips.where(F.col(column).isin(*months))
 
 
+def calendar_slice(trips: DataFrame, calendar: DataFrame, column: str = "pickup_month"):
+    """The rows of the months that ``calendar`` lists, which may be a filtered table.
+
+    Both sides are joined on the partition column, and the months become a subquery of the scan:
+    folders of other months are not read, and no list of months stands in the code. The
+    planner makes such a subquery for a dimension with a comparison in its filter; a flag alone
+    would not do, so nameless months are compared away here.
+    """
+    months = calendar.select(column).where(F.length(column) > 0).distinct()
+    return trips.join(months, column, "left_semi")
+
+
 def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` rows under a total order (top-n per partition, then merge)."""
     return df.orderBy(*order).limit(n)
