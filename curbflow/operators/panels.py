@@ -2,7 +2,8 @@
 
 Trips are aggregated on integer zone ids, date and hour only; names, groups and
 calendar columns follow from these keys and join back after the aggregation, so
-the shuffle carries neither strings nor derived columns.
+the shuffle carries neither strings nor derived columns. The features are read twice, once for
+the means and once for the quantiles, so they should be a stored table.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbflow.functions.columns import MICROS_PER_MINUTE
+from curbflow.functions.columns import MICROS_PER_MINUTE, null_safe_join
+from curbflow.functions.quantiles import exact_quantiles
 from curbflow.operators.features import calendar, zone_groups
 from curbflow.spec import PolicySpec
 
@@ -45,17 +47,16 @@ def _means():
     ]
 
 
-def _response_quantiles(**probs: float):
-    """Exact quantiles in the same pass as the means.
+def _with_quantiles(
+    measures: DataFrame, features: DataFrame, keys: list[str], **probs: float
+) -> DataFrame:
+    """Adds exact quantiles of the response time.
 
-    The buffer of a group holds its distinct response times, and a group is one zone (or zone
-    pair) in one hour: at most a few thousand trips, whatever the length of the history.
-    Coarser grains use ``exact_quantiles``.
+    They come from counted values, a second read of two columns and the keys: no buffer holds
+    a group, so a zone and hour with a third of all trips is spread over all tasks.
     """
-    return [
-        (F.percentile("response_us", p) / F.lit(float(MICROS_PER_MINUTE))).alias(name)
-        for name, p in probs.items()
-    ]
+    spread = exact_quantiles(features, keys, "response_us", probs, scale=MICROS_PER_MINUTE)
+    return null_safe_join(measures, spread, keys)
 
 
 def _zone_columns(zones: DataFrame, spec: PolicySpec) -> DataFrame:
@@ -77,7 +78,9 @@ def zone_hour_panel(features: DataFrame, zones: DataFrame, spec: PolicySpec) ->
         count_where(F.col("is_dropoff_treated")).alias("treated_dropoff_count"),
         count_where(F.col("is_pickup_spillover")).alias("spillover_pickup_count"),
         count_where(F.col("is_pickup_control")).alias("control_pickup_count"),
-        *_response_quantiles(response_time_p50=0.5, response_time_p90=0.9),
+    )
+    measures = _with_quantiles(
+        measures, features, HOUR_KEYS, response_time_p50=0.5, response_time_p90=0.9
     )
     keyed = measures.withColumnsRenamed(
         {"pickup_location_id": "zone_id", "trip_hour": "hour"}
@@ -101,9 +104,8 @@ def od_hour_panel(features: DataFrame, zones: DataFrame, spec: PolicySpec) -> Da
         *_means(),
         F.bool_or("is_cross_treated_trip").alias("is_cross_treated_od"),
         F.bool_or("is_airport_trip").alias("is_airport_od"),
-        *_response_quantiles(response_time_p90=0.9),
     )
-    panel = measures
+    panel = _with_quantiles(measures, features, OD_KEYS, response_time_p90=0.9)
     for role in ("pickup", "dropoff"):
         names = zones.select(
             F.col("zone_id").alias(f"{role}_location_id"),

@@ -79,17 +79,26 @@ class Chain:
     def features(self) -> DataFrame:
         return features.policy_features(self.trips, self.zones, self.spec)
 
+    @cached_property
+    def stored_features(self) -> DataFrame:
+        """The features as a written table, for panels and results that read them several times."""
+        return materialize(self.features, "features")
+
+    @cached_property
+    def stored_dwd(self) -> DataFrame:
+        return features.dwd_trips(self.stored_features)
+
     @cached_property
     def dwd(self) -> DataFrame:
         return features.dwd_trips(self.features)
 
     @cached_property
     def panel(self) -> DataFrame:
-        return panels.zone_hour_panel(self.features, self.zones, self.spec)
+        return panels.zone_hour_panel(self.stored_features, self.zones, self.spec)
 
     @cached_property
     def od_panel(self) -> DataFrame:
-        return panels.od_hour_panel(self.features, self.zones, self.spec)
+        return panels.od_hour_panel(self.stored_features, self.zones, self.spec)
 
     @cached_property
     def stored_panel(self) -> DataFrame:
@@ -102,11 +111,11 @@ class Chain:
 
     @cached_property
     def spillover(self) -> DataFrame:
-        return compare.spillover_ranking(self.panel)
+        return compare.spillover_ranking(self.stored_panel)
 
     @cached_property
     def naive_gap(self) -> DataFrame:
-        return forecast.seasonal_naive_gap(self.panel)
+        return forecast.seasonal_naive_gap(self.stored_panel)
 
     @cached_property
     def zone_scores(self) -> DataFrame:

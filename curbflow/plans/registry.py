@@ -274,7 +274,7 @@ def _grain(job: Job) -> DataFrame:
 simple(
     "panel_preview",
     "SELECT * FROM panel ORDER BY zone_id, trip_date, hour LIMIT 5000",
-    lambda c: panels.panel_preview(c.panel, ["zone_id", "trip_date", "hour"]),
+    lambda c: panels.panel_preview(c.stored_panel, ["zone_id", "trip_date", "hour"]),
 )
 simple(
     "panel_totals",
@@ -282,7 +282,7 @@ simple(
   sum(short_trip_count + medium_trip_count + long_trip_count) AS by_distance,
   sum(airport_trip_count) AS airport, sum(treated_dropoff_count) AS to_treated
 FROM panel GROUP BY ALL""",
-    lambda c: c.panel.groupBy("post_policy", "zone_group").agg(
+    lambda c: c.stored_panel.groupBy("post_policy", "zone_group").agg(
         F.sum("order_count").alias("orders"),
         F.sum(
             F.col("short_trip_count") + F.col("medium_trip_count") + F.col("long_trip_count")
@@ -561,13 +561,15 @@ simple(
     lambda c: compare.response_time_windows(c.features),
 )
 simple(
-    "service_efficiency", "SELECT * FROM efficiency", lambda c: compare.service_efficiency(c.panel)
+    "service_efficiency",
+    "SELECT * FROM efficiency",
+    lambda c: compare.service_efficiency(c.stored_panel),
 )
 simple(
     "service_efficiency_long",
     f"""SELECT zone_group, '{L.PRE}' AS period, response_time_p90_pre AS response_time_p90
 FROM efficiency UNION ALL SELECT zone_group, '{L.POST}', response_time_p90_post FROM efficiency""",
-    lambda c: compare.efficiency_long(compare.service_efficiency(c.panel)),
+    lambda c: compare.efficiency_long(compare.service_efficiency(c.stored_panel)),
 )
 simple(
     "route_period_metrics",
@@ -594,7 +596,7 @@ ORDER BY spillover_score DESC, zone_id LIMIT 15""",
 simple(
     "demand_lags",
     "SELECT zone_id, trip_date, hour, order_count, lag_1, lag_24, lag_7_day FROM lags",
-    lambda c: timeseries.demand_lags(c.panel, ("lag_1", "lag_24", "lag_7_day")).select(
+    lambda c: timeseries.demand_lags(c.stored_panel, ("lag_1", "lag_24", "lag_7_day")).select(
         "zone_id", "trip_date", "hour", "order_count", "lag_1", "lag_24", "lag_7_day"
     ),
 )
@@ -602,7 +604,7 @@ simple(
     "rolling_demand",
     """SELECT zone_id, trip_date, hour, roll3 AS rolling_3_hour_order_count,
   roll24 AS rolling_24_hour_order_count FROM lags""",
-    lambda c: timeseries.rolling_means(c.panel).select(
+    lambda c: timeseries.rolling_means(c.stored_panel).select(
         "zone_id", "trip_date", "hour", "rolling_3_hour_order_count",
         "rolling_24_hour_order_count",
     ),
@@ -610,7 +612,7 @@ simple(
 simple(
     "forecast_features",
     "SELECT * EXCLUDE (zone_name, post_policy) FROM fc",
-    lambda c: forecast.forecast_features(c.panel).select(
+    lambda c: forecast.forecast_features(c.stored_panel).select(
         *forecast.FORECAST_FEATURES, "trip_date", "order_count"
     ),
 )
@@ -618,7 +620,7 @@ simple(
     "peak_hour",
     "SELECT * FROM peak",
     lambda c: timeseries.peak_hour(
-        c.panel.where("post_policy").dropna(subset=compare.ZONE_KEYS), compare.ZONE_KEYS
+        c.stored_panel.where("post_policy").dropna(subset=compare.ZONE_KEYS), compare.ZONE_KEYS
     ),
 )
 _GROUP_LABEL = "CASE zone_group " + " ".join(
@@ -630,7 +632,7 @@ simple(
   order_count / sum(order_count) OVER (PARTITION BY month) * 100 AS monthly_share FROM (
 SELECT strftime(trip_date, '%Y-%m') AS month, zone_group, sum(order_count) AS order_count
 FROM panel GROUP BY ALL)""",
-    lambda c: timeseries.monthly_group_share(c.panel),
+    lambda c: timeseries.monthly_group_share(c.stored_panel),
 )
 _DAY_LABEL = "CASE weekday " + " ".join(
     f"WHEN {i} THEN '{label}'" for i, label in enumerate(L.WEEKDAY_LABELS)
@@ -644,7 +646,7 @@ FROM (SELECT d.weekday::INTEGER AS weekday, order_count,
   {oracle._cut('hour', *L.DASHBOARD_WINDOW_CUTS)} AS win
 FROM (SELECT unnest(range(7)) AS weekday) d LEFT JOIN panel p ON d.weekday = p.weekday)
 GROUP BY weekday""",
-    lambda c: timeseries.weekday_window_share(c.panel),
+    lambda c: timeseries.weekday_window_share(c.stored_panel),
 )
 
 # --- causal ---------------------------------------------------------------------
@@ -666,11 +668,11 @@ SELECT metric_name, event_week,
       / count(y) FILTER (zone_group = 'control_zones')) AS gap_std_error
 FROM ({' UNION ALL '.join(_EVENT.format(m=m) for m in causal.EVENT_METRICS)})
 WHERE y IS NOT NULL GROUP BY ALL))"""
-simple("event_study", _EVENT_SQL, lambda c: causal.event_study(c.panel, c.spec))
+simple("event_study", _EVENT_SQL, lambda c: causal.event_study(c.stored_panel, c.spec))
 simple(
     "event_study_demand_series",
     f"SELECT * FROM ({_EVENT_SQL}) WHERE metric_name = 'log_order_count'",
-    lambda c: reports.event_series(causal.event_study(c.panel, c.spec), "log_order_count"),
+    lambda c: reports.event_series(causal.event_study(c.stored_panel, c.spec), "log_order_count"),
 )
 
 
@@ -693,7 +695,7 @@ FROM (SELECT metric_name, count(*) AS n_observations,
   {_mean_sql('control_post', 'control_zones', 'post_policy')},
   {_mean_sql('control_pre', 'control_zones', 'NOT post_policy')}
 FROM ({_DID_ROWS}) GROUP BY metric_name)""",
-    lambda c: causal.did_cell_means(c.panel),
+    lambda c: causal.did_cell_means(c.stored_panel),
 )
 simple(
     "did_fixed_effects",
@@ -720,7 +722,7 @@ simple(
     """SELECT is_train, count(*) AS row_count, min(trip_date) AS first_date,
   max(trip_date) AS last_date, sum(order_count) AS orders FROM split GROUP BY ALL""",
     lambda c: forecast.split_stats(
-        forecast.chrono_split(forecast.forecast_features(c.panel))
+        forecast.chrono_split(forecast.forecast_features(c.stored_panel))
     ),
 )
 simple(
@@ -733,7 +735,7 @@ simple(
   min(trip_date) AS test_start_date, max(trip_date) AS test_end_date
 FROM (SELECT *, order_count - greatest(lag_1_hour_order_count, 0) AS e FROM split
 WHERE NOT is_train)""",
-    lambda c: forecast.error_metrics(forecast.naive_forecast(c.panel)),
+    lambda c: forecast.error_metrics(forecast.naive_forecast(c.stored_panel)),
 )
 simple(
     "naive_forecast_errors",
@@ -743,7 +745,7 @@ simple(
   abs(order_count - lag_1_hour_order_count) AS abs_prediction_error
 FROM split WHERE NOT is_train""",
     lambda c: forecast.forecast_predictions(
-        forecast.Forecast(forecast.naive_forecast(c.panel), None)
+        forecast.Forecast(forecast.naive_forecast(c.stored_panel), None)
     ),
 )
 
@@ -910,7 +912,7 @@ simple(
 
 # --- scores and recommendations -------------------------------------------------
 
-simple("zone_context", "SELECT * FROM context", lambda c: recommend.zone_context(c.panel))
+simple("zone_context", "SELECT * FROM context", lambda c: recommend.zone_context(c.stored_panel))
 simple(
     "mean_demand_gap", "SELECT * FROM mean_gap", lambda c: recommend.mean_demand_gap(c.naive_gap)
 )
@@ -1119,7 +1121,7 @@ simple(
 SELECT zone_group, post_policy, avg(response_time_p90) AS response_time_p90,
   sum(valid_response_count) AS valid_response_count FROM panel GROUP BY ALL)
 WHERE valid_response_count > 0""",
-    lambda c: reports.zone_group_response(c.panel),
+    lambda c: reports.zone_group_response(c.stored_panel),
 )
 simple(
     "response_group_chart",
@@ -1186,11 +1188,11 @@ simple(
   (SELECT max(p90_response_time_min) FROM response) AS slowest_p90,
   (SELECT count(*) FROM windows WHERE supply_reallocation_signal) AS reallocation_signals""",
     lambda c: reports.report_scalars(
-        quality.drop_summary(c.raw, c.trips, "policy trips"),
-        marts.pickup_zone_metrics(c.dwd),
-        marts.od_route_metrics(c.dwd),
-        marts.response_metrics(c.dwd),
-        compare.response_time_windows(c.features),
+        quality.drop_summary(c.raw, c.stored_features, "policy trips"),
+        marts.pickup_zone_metrics(c.stored_dwd),
+        marts.od_route_metrics(c.stored_dwd),
+        marts.response_metrics(c.stored_dwd),
+        compare.response_time_windows(c.stored_features),
     ),
 )
 simple(
@@ -1213,7 +1215,7 @@ simple(
     "headline_counts",
     """SELECT count(DISTINCT zone_id) AS zones, min(trip_date) AS first_date,
   max(trip_date) AS last_date, sum(order_count) AS orders FROM panel""",
-    lambda c: reports.headline_counts(c.panel),
+    lambda c: reports.headline_counts(c.stored_panel),
 )
 simple(
     "output_catalogue",
@@ -1375,6 +1377,40 @@ for _mart, _sql in (
     )
 
 
+_MONTH_ROWS = " UNION ALL ".join(
+    f"""SELECT '{service}_tripdata_2024-{k + 1:02d}.parquet' AS file, count(*) FILTER (
+  coalesce(month(pickup_datetime), 1) % 3 = {k}) AS rows, '{kinds['PULocationID']}' AS pickup_type,
+  '{kinds['DOLocationID']}' AS dropoff_type, {'false' if k == 0 or service == 'yellow' else 'true'}
+  AS has_airport_fee FROM {source}"""
+    for service, source in (("fhvhv", "raw_hv"), ("yellow", "raw_yellow"))
+    for k, kinds in enumerate(_DRIFT)
+)
+
+
+@query(
+    "schema_report_months",
+    f"""SELECT file, sum(rows) AS rows, pickup_type, dropoff_type, has_airport_fee
+FROM ({_MONTH_ROWS}) GROUP BY ALL""",
+)
+def _schemas(job: Job) -> DataFrame:
+    """Rows of the month files and the types of the columns that drift, as their footers say."""
+    root = scratch_path(job.spark, "raw")
+    _write_months(job.chain, root)
+    report = inventory.schema_report(job.spark, f"{root}/*/*.parquet")
+    table = F.regexp_extract("path", r"/([^/]+\.parquet)/[^/]+$", 1)
+
+    def kind(column: str):
+        return F.max(F.when(F.col("column") == column, F.col("type")))
+
+    files = report.groupBy("path").agg(
+        F.max("rows").alias("rows"), kind("PULocationID").alias("pickup_type"),
+        kind("DOLocationID").alias("dropoff_type"),
+        F.bool_or(F.col("column") == "airport_fee").alias("has_airport_fee"),
+    )
+    types = ["pickup_type", "dropoff_type", "has_airport_fee"]
+    return files.groupBy(table.alias("file"), *types).agg(F.sum("rows").alias("rows"))
+
+
 @query(
     "zone_hour_panel_stream",
     """SELECT zone_id, trip_date, hour, order_count, valid_response_count, airport_trip_count,

@@ -21,18 +21,24 @@ POLICY_MONTHS = ("2024-11", "2024-12", "2025-01", "2025-02", "2025-03")
 ZONE_SCHEMA = "LocationID int, Borough string, Zone string, service_zone string"
 
 
+MOST_FILES = 100_000  # paths that a listing may bring to the driver
+
+
 def list_files(spark: SparkSession, pattern: str, first: int | None = None) -> list[str]:
     """Sorted paths that match a glob; error when none do. File contents stay unread.
 
-    Meant for folders with a file per month. Only ``first`` paths, if given, reach the driver.
+    Meant for folders with a file per month. Only ``first`` paths, if given, reach the driver;
+    without it, more than ``MOST_FILES`` are an error, as such a folder should be a table.
     """
     try:
         listing = spark.read.format("binaryFile").load(pattern).select("path").orderBy("path")
-        found = [row.path for row in (listing.limit(first) if first else listing).collect()]
+        found = [row.path for row in listing.limit(first or MOST_FILES + 1).collect()]
     except AnalysisException:
         found = []
     if not found:
         raise FileNotFoundError(f"no file matches {pattern}")
+    if not first and len(found) > MOST_FILES:
+        raise ValueError(f"more than {MOST_FILES} files match {pattern}")
     return found
 
 

@@ -2,8 +2,8 @@
 
 A row's place in the sample is an md5 hash of its key and a seed, so any engine that has md5
 can repeat the choice. Only keys and hashes are counted, by hash cell; the counts give one
-hash bound per group, as a value inside the plan. The table is then filtered by this bound in
-its scan, and only the few rows that pass, with all their columns, are put in order.
+hash bound per group, which is stored. The table is joined with the bounds where it is scanned,
+and only the few rows that pass, with all their columns, are put in order.
 """
 
 from __future__ import annotations
@@ -13,7 +13,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curbflow.session import materialize
+
 CELL_DIGITS = 4  # hexadecimal digits of a hash cell: 65,536 cells
+SENT_GROUPS = 200_000  # so many bounds, of some 100 bytes each, go to every task
+
+
+def _lookup(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``df`` joined with a stored table of one row per ``key``: sent to the tasks if it is small
+    enough, else merged, which shuffles ``df``."""
+    return df.join(F.broadcast(table) if table.count() <= SENT_GROUPS else table, key)
 
 
 def sample_hash(key: Sequence[str], seed: int | Column) -> Column:
@@ -37,8 +46,8 @@ def smallest_hashes(
 ) -> DataFrame:
     """The ``k`` rows of every group with the smallest hash of ``key`` and ``seed``.
 
-    ``key`` identifies a row; equal hashes are ordered by key. The number of groups must be
-    small (slices of a few files): one bound per group travels as a map inside the plan.
+    ``key`` identifies a row; equal hashes are ordered by key. Rows without a group are left
+    out. Any number of groups will do: their bounds are a table.
     """
     digest = sample_hash(key, seed)
     cells = (
@@ -48,14 +57,15 @@ def smallest_hashes(
         .groupBy("group", "cell")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    bounds = (
-        _bounds(cells, k)
-        .agg(F.map_from_entries(F.collect_list(F.struct("group", "cell"))).alias("cells"))
-        .scalar()
+    bounds = materialize(
+        _bounds(cells, k).select(F.col("group").alias("_group"), F.col("cell").alias("_bound")),
+        "sample-bounds",
     )
-    bound = F.element_at(bounds, group.cast("string"))
-    near = df.where(F.substring(digest, 1, CELL_DIGITS) <= bound).select(
-        "*", group.alias("_group"), digest.alias("_hash")
+    hashed = df.select("*", group.cast("string").alias("_group"), digest.alias("_hash"))
+    near = (
+        _lookup(hashed, bounds, "_group")
+        .where(F.substring("_hash", 1, CELL_DIGITS) <= F.col("_bound"))
+        .select(*df.columns, "_group", "_hash")
     )
     order = Window.partitionBy("_group").orderBy("_hash", *key)
     return (
@@ -84,14 +94,11 @@ def time_spread_sample(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.row_index").alias("_row"),
     )
-    sizes = (
-        located.groupBy("_file")
-        .agg((F.max("_row") + 1).alias("n"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("_file", "n"))).alias("sizes"))
-        .scalar()
+    sizes = materialize(
+        located.groupBy("_file").agg((F.max("_row") + 1).alias("_size")), "file-sizes"
     )
-    sliced = located.withColumn(
-        "_slice", F.floor(F.col("_row") * slices / F.element_at(sizes, F.col("_file"))).cast("int")
+    sliced = _lookup(located, sizes, "_file").withColumn(
+        "_slice", F.floor(F.col("_row") * slices / F.col("_size")).cast("int")
     )
     per_slice = -(-max_rows // slices)
     cell = F.concat_ws("#", F.col("_file"), F.col("_slice").cast("string"))

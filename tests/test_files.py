@@ -43,13 +43,33 @@ def test_samples_never_shuffle_unchosen_payload(spark):
             sample.collect()
             plan = sample._jdf.queryExecution().executedPlan().toString()
             final = plan.split("== Initial Plan ==")[0]
-            assert "Join" not in final
+            assert "SortMergeJoin" not in final
             payload = [x for x in final.split("Exchange ") if "user_id" in x]
             assert payload and all("md5(" in x for x in payload[-1:])
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_ten_thousand_groups(spark):
+    df = spark.range(60_000).select("id", (F.col("id") % 10_007).alias("g"))
+    got = sampling.smallest_hashes(df, F.col("g"), ["id"], 2, 7).drop("_hash").collect()
+    best = {}
+    for i in range(60_000):
+        best.setdefault(i % 10_007, []).append((hashlib.md5(f"{i}|7".encode()).hexdigest(), i))
+    assert {(r.g, r.id) for r in got} == {
+        (g, i) for g, rows in best.items() for _, i in sorted(rows)[:2]
+    }
+    assert len(got) == 2 * 10_007
+
+
+def test_more_groups_than_are_sent(spark, monkeypatch):
+    df = spark.range(3_000).select("id", (F.col("id") % 50).alias("g"))
+    sent = sampling.smallest_hashes(df, F.col("g"), ["id"], 3, 1).drop("_hash").collect()
+    monkeypatch.setattr(sampling, "SENT_GROUPS", 10)
+    merged = sampling.smallest_hashes(df, F.col("g"), ["id"], 3, 1).drop("_hash").collect()
+    assert sorted(sent) == sorted(merged) and len(sent) == 150
+
+
 def test_uniform_sample_size(spark):
     df = spark.range(5000)
     assert sampling.uniform_sample(df, ["id"], 777).count() == 777
@@ -198,6 +218,17 @@ def test_pipeline_writes_every_layer(spark, chain):
     small = BoostSettings(rounds=2, max_depth=2)
     paths = run_pipeline(chain, root, small, small, ForestSettings(trees=3, max_depth=4))
     assert len(paths) >= 42
+    catalogue = {r.result: r.available_rows for r in spark.read.parquet(paths["output_catalogue"]).collect()}
+    profile = spark.read.parquet(paths["quality_profile"]).collect()
+    assert {r.service: r.sample_rows for r in profile} == {
+        "high_volume_fhv": chain.raw.count(), "yellow_taxi": chain.raw_taxi.count()
+    }
+    drops = spark.read.parquet(paths["data_quality_summary"]).first()
+    assert (drops.raw_count, drops.valid_count) == (chain.raw.count(), chain.trips.count())
+    ids = spark.read.parquet(paths["dwd_hvfhv_trip_clean"]).agg(
+        F.count_distinct("trip_id"), F.max("trip_id")
+    ).first()
+    assert tuple(ids) == (chain.trips.count(),) * 2
     counts = {
         name: spark.read.parquet(paths[name]).count()
         for name in ("dwd_hvfhv_trip_clean", "dws_zone_hour_policy_panel", "policy_cards")
@@ -216,7 +247,8 @@ def test_pipeline_writes_every_layer(spark, chain):
     for table in warehouse.register_written(spark, root, written):
         fmt = warehouse.TABLES[table][1]
         reader = spark.read.option("header", "true") if fmt == "csv" else spark.read
-        assert spark.table(table).count() == reader.format(fmt).load(paths[table]).count() > 0
+        rows = reader.format(fmt).load(paths[table]).count()
+        assert spark.table(table).count() == rows == catalogue[table] > 0
         spark.sql(f"DROP TABLE {table}")
     hourly = spark.read.csv(paths["dws_hourly_demand"], header=True)
     assert hourly.select("service_type").distinct().count() == 2
