@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -55,14 +55,38 @@ def n_words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+# Columns of a document that operators read by name.
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(docs: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` on ``docs`` whose further columns have names that no operator uses, and have their
+    own names again in the result. A column that ``run`` adds under such a name gets underscores
+    in front of it."""
+    held = {c: f"user_column_{k}" for k, c in enumerate(docs.columns) if c.lower() not in DOCUMENT}
+    if not held:
+        return run(docs)
+    out = run(docs.toDF(*[held.get(c, c) for c in docs.columns]))
+    back = {name: c for c, name in held.items()}
+    taken = {c.lower() for c in docs.columns}
+    names = []
+    for c in out.columns:
+        name = back.get(c, c)
+        while c not in back and c.lower() not in DOCUMENT and name.lower() in taken:
+            name = f"_{name}"
+        names.append(name)
+    return out.toDF(*names)
+
+
 def hash_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """At most ``rows`` rows, chosen by hash of ``keys``. A large table is first cut down to
-    about four times as many by a bound on the hash, so little is sent to be ordered."""
+    """At most ``rows`` rows of different ``keys``, chosen by hash of the keys. A large table is
+    first cut down to about four times as many keys by a bound on the hash, so little is sent to
+    be ordered. Rows that repeat a key count once, however many there are."""
     place = F.xxhash64(*keys, F.lit(5))
-    total = df.count()
+    total = df.select(place.alias("place")).distinct().count()
     if total > 4 * rows:
         df = df.where(F.pmod(place, F.lit(1 << 31)) < (4 * rows << 31) // total)
-    return df.orderBy(place, *keys).limit(rows)
+    return df.dropDuplicates(keys).orderBy(place, *keys).limit(rows)
 
 
 def ordered_offsets(df: DataFrame, order: list[str], sums: dict[str, str], name: str) -> DataFrame:

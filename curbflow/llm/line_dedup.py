@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from curbflow.llm.common import row_key, stored
+from curbflow.llm.common import apart, row_key, stored
 
 LEAST_WORDS = 20  # of a shared passage
 
@@ -137,8 +137,13 @@ def dedup_lines(docs: DataFrame, rule: ChunkRule = ChunkRule()) -> DataFrame:
     row hash and line, keeps its lines. Of rows that repeat id and text, one counts as the
     first. Single lines, chunks below the rule's least words, null and empty texts stay as
     they are; a document may end with an empty text, but no row is dropped. Keys of
-    decisions and texts are shuffled, each text twice at most.
+    decisions and texts are shuffled, each text twice at most. A user's column called
+    lines_removed stays, the operator's is then called _lines_removed.
     """
+    return apart(docs, lambda plain: _dedup_lines(plain, rule))
+
+
+def _dedup_lines(docs: DataFrame, rule: ChunkRule) -> DataFrame:
     texts = docs.select("doc_id", row_key().alias("row"), "text")
     # Repeated rows have one key: their chunks are decided together, apart from the keeper.
     doomed = (
@@ -320,7 +325,12 @@ def dedup_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
 
     Windows (``least_windows``) are counted by marks of 16 bytes. Only windows whose mark
     repeats are compared byte by byte; a mark shared by different bytes removes nothing.
+    A user's column called lines_removed stays, the operator's is then called _lines_removed.
     """
+    return apart(docs, lambda plain: _dedup_passages(plain, least_words))
+
+
+def _dedup_passages(docs: DataFrame, least_words: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), "text")
     windows = texts.mapInArrow(_passages(least_words), _PLACE)
     place = F.struct(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curbflow.llm.common import WORD_WITH_LEAD, n_words, ordered_offsets, stored
+from curbflow.llm.common import WORD_WITH_LEAD, apart, n_words, ordered_offsets, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -179,6 +179,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Returns the columns of ``docs``. ``n_chars`` of a cut document follows its text.
     Documents without words are not part of a mix of words and leave it.
     """
+    return apart(docs, _mixed)
+
+
+def _mixed(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     sizes = measured(docs)
     cuts = source_cuts(sizes, source_targets(sizes))

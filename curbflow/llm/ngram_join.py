@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbflow.llm.common import row_key, runs, stored
+from curbflow.llm.common import apart, row_key, runs, stored
 from curbflow.llm.graph import components, spanning_forest
 
 NGRAM = 5
@@ -347,6 +347,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Of rows that share this id, the one with the smallest row key stays, once. A class
     whose ids are all null keeps the row with the smallest key.
     """
+    return apart(docs, _one_of_each)
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
     best = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
     keep = (
         jaccard_links(docs)

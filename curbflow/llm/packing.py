@@ -134,7 +134,8 @@ def pack_documents(
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    """The places of ``pack_documents`` with the text of each piece, and source and lang.
+    """The places of ``pack_documents`` with the text of each piece, and source and lang. Other
+    columns of ``docs``, n_chars among them, are of whole documents and left out.
 
     Texts move once, to their places; pieces keep the white space before their words.
     """

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbflow.llm.common import hash_sample, stored
+from curbflow.llm.common import apart, hash_sample, stored
 
 BUCKETS = 1 << 15
 SAMPLE_ROWS = 4000  # bound on labelled rows that training sees
@@ -178,9 +178,9 @@ def train_quality(
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "grade").agg(F.min("text").alias("text"))  # of a repeated id, one text
         .select("grade", "text")
         .mapInArrow(_feature_rows, "grade int, at binary, value binary")
-        .limit(4 * sample_rows)  # only repeated ids can bring more rows than the sample has
         .collect()
     )
     if not rows:
@@ -223,19 +223,40 @@ def grade_documents(
     docs: DataFrame, model: OrdinalModel | None, keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
     """Columns ``keep`` of every document, with expected_grade, tail_probability of grade 1
-    or better, and kept (tail_probability at least ``LEAST_TAIL``).
+    or better, and kept (tail_probability at least ``LEAST_TAIL``). Where ``keep`` has such a name,
+    the operator's column gets an underscore in front.
 
     Null and empty texts have no features: their grade follows the thresholds alone.
     Without a model (no labelled rows, or one grade only) both numbers are null and every
     document is kept. Each whole text is read once, nothing is shuffled.
     """
-    picked = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return picked.mapInArrow(
+    fields = [f"c{k}" for k in range(len(keep))]
+    picked = docs.select(
+        *[F.col(f"`{c}`").alias(name) for c, name in zip(keep, fields)], F.col("text").alias("_text")
+    )
+    schema = ", ".join(f"{n} {kind}" for n, kind in picked.drop("_text").dtypes)
+    scored = picked.mapInArrow(
         _scorer(model), f"{schema}, expected_grade double, tail_probability double"
     ).withColumn(
         "kept", F.coalesce(F.col("tail_probability") >= LEAST_TAIL, F.lit(True))
     )
+    taken = {c.lower() for c in keep}
+    own = []
+    for name in ("expected_grade", "tail_probability", "kept"):
+        while name in taken:
+            name = f"_{name}"
+        own.append(name)
+    return scored.toDF(*keep, *own)
+
+
+def kept_documents(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
+    """The documents that ``grade_documents`` keeps, with all their columns."""
+
+    def run(plain: DataFrame) -> DataFrame:
+        columns = plain.columns
+        return grade_documents(plain, model, tuple(columns)).where("kept").select(*columns)
+
+    return apart(docs, run)
 
 
 def graded(labels: DataFrame) -> DataFrame:

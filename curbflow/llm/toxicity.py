@@ -121,7 +121,7 @@ def train_toxicity(
     their ids, out of ``labels`` (doc_id, toxic). Only the text is an input."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select(
         "doc_id", F.col("toxic").cast("int").alias("toxic")
-    )
+    ).distinct()
     share = known.agg(F.avg("toxic")).first()[0]
     if share is None:
         return None
@@ -134,9 +134,9 @@ def train_toxicity(
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # of a repeated id, one text
         .select("toxic", "text")
         .mapInArrow(_presence, "toxic int, at binary")
-        .limit(8 * class_sample)  # only repeated ids can bring more rows than the sample has
         .collect()
     )
     if not rows:
