@@ -8,19 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbflow.llm import line_dedup, mixing, ngram_join, packing, quality
-from curbflow.llm.common import shared_folder, table
+from curbflow.llm.common import apart, shared_folder, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     grades = quality.graded(table(spark, sf_dir, "labels"))
     model = quality.train_quality(docs, grades)
-    columns = docs.columns
-    return (
-        quality.grade_documents(docs, model, tuple(columns))
-        .where("kept")
-        .select(*columns)
-    )
+    return quality.kept_documents(docs, model)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +23,13 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     ``n_chars`` follows the text.
     """
-    changed = F.col("lines_removed") > 0
-    return (
-        line_dedup.dedup_lines(docs)
-        .withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")))
-        .select(*docs.columns)
-    )
+
+    def run(plain: DataFrame) -> DataFrame:
+        changed = F.col("lines_removed") > 0
+        n_chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars"))
+        return line_dedup.dedup_lines(plain).withColumn("n_chars", n_chars).select(*plain.columns)
+
+    return apart(docs, run)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
