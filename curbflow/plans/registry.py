@@ -795,27 +795,58 @@ def _stump_sql(round_: int, rows: str, gradient: str) -> str:
         for k, f in enumerate(("hour", "weekday"))
     )
     return f"""s{round_} AS (
-SELECT *, -0.5e0 * gl / (nl + 1) AS left_value, -0.5e0 * (gt - gl) / (nt - nl + 1) AS right_value FROM (
+SELECT *, -0.5e0 * gl / (nl + 1) AS left_value, -0.5e0 * (gt - gl) / (nt - nl + 1) AS right_value,
+  gl * gl / (nl + 1) + (gt - gl) * (gt - gl) / (nt - nl + 1) - gt * gt / (nt + 1) AS gain FROM (
 SELECT k, feature, v, lead(v) OVER w AS nxt, sum(g) OVER w AS gl, sum(n) OVER w AS nl,
   sum(g) OVER (PARTITION BY k) AS gt, sum(n) OVER (PARTITION BY k) AS nt
 FROM ({cells}) WINDOW w AS (PARTITION BY k ORDER BY v)) WHERE nxt IS NOT NULL
-ORDER BY gl * gl / (nl + 1) + (gt - gl) * (gt - gl) / (nt - nl + 1) DESC, k, v LIMIT 1)"""
+ORDER BY gain DESC, k, v LIMIT 1)"""
 
 
-simple(
-    "boosted_stumps",
-    f"""SELECT * FROM (WITH t AS (SELECT hour, weekday, order_count::DOUBLE AS y,
+_STUMP_SQL = f"""SELECT * FROM (WITH t AS (SELECT hour, weekday, order_count::DOUBLE AS y,
   avg(order_count) OVER () AS p FROM panel),
 {_stump_sql(1, 't', 'p - y')},
 t2 AS (SELECT t.* EXCLUDE (p), p + CASE WHEN (CASE feature WHEN 'hour' THEN hour ELSE weekday END) <= v
   THEN left_value ELSE right_value END AS p FROM t, s1),
 {_stump_sql(2, 't2', 'p - y')}
-SELECT 1 AS round, feature, (v + nxt) / 2 AS split_at, left_value, right_value FROM s1
-UNION ALL SELECT 2, feature, (v + nxt) / 2, left_value, right_value FROM s2)""",
-    lambda c: boosting.splits_table(
-        c.spark,
-        boosting.fit_boosted(c.stored_panel, ("hour", "weekday"), "order_count", _STUMPS),
-    ).select("round", "feature", "split_at", "left_value", "right_value"),
+SELECT 1 AS round, feature, (v + nxt) / 2 AS split_at, left_value, right_value, gain FROM s1
+UNION ALL SELECT 2, feature, (v + nxt) / 2, left_value, right_value, gain FROM s2)"""
+
+
+def _stumps(c: Chain) -> boosting.Boosted:
+    return _once(c, "stumps", lambda: boosting.fit_boosted(
+        c.stored_panel, ("hour", "weekday"), "order_count", _STUMPS
+    ))
+
+
+simple(
+    "boosted_stumps",
+    f"SELECT round, feature, split_at, left_value, right_value FROM ({_STUMP_SQL})",
+    lambda c: boosting.splits_table(c.spark, _stumps(c)).select(
+        "round", "feature", "split_at", "left_value", "right_value"
+    ),
+)
+simple(
+    "boosted_stumps_importance",
+    f"""SELECT f.feature, coalesce(sum(gain), 0) / (SELECT sum(gain) FROM ({_STUMP_SQL})) AS importance
+FROM (SELECT unnest(['hour', 'weekday']) AS feature) f
+LEFT JOIN ({_STUMP_SQL}) s ON s.feature = f.feature GROUP BY f.feature""",
+    lambda c: c.spark.createDataFrame(
+        list(zip(_stumps(c).features, _stumps(c).importance)), "feature string, importance double"
+    ),
+)
+simple(
+    "best_model_dates",
+    """SELECT count(*) FILTER (is_train) > 0 AS trained, true AS beats_lag,
+  min(trip_date) FILTER (is_train) AS train_start_date,
+  max(trip_date) FILTER (is_train) AS train_end_date,
+  min(trip_date) FILTER (NOT is_train) AS test_start_date,
+  max(trip_date) FILTER (NOT is_train) AS test_end_date FROM split""",
+    lambda c: _best(c).select(
+        F.col("train_start_date").isNotNull().alias("trained"),
+        (F.col("model_name") != "naive_lag_1").alias("beats_lag"),
+        "train_start_date", "train_end_date", "test_start_date", "test_end_date",
+    ),
 )
 _HOLDOUT_SQL = """SELECT '{m}' AS model_name, count(*) AS rows,
   avg(abs(order_count - greatest(lag_1_hour_order_count, 0))) AS yardstick_mae,
@@ -840,10 +871,8 @@ simple(
 simple("seasonal_naive_gap", "SELECT * FROM gap", lambda c: c.naive_gap)
 
 
-@query("model_comparison")
-def _models(job: Job) -> DataFrame:
+def _best(chain: Chain) -> DataFrame:
     """Holdout metrics of the naive yardstick, the forest and the boosted trees; the best RMSE."""
-    chain = job.chain
     naive = forecast.error_metrics(forecast.naive_forecast(chain.stored_panel)).select(
         F.lit("naive_lag_1").alias("model_name"), "*"
     )
@@ -852,6 +881,9 @@ def _models(job: Job) -> DataFrame:
     return forecast.best_model(naive.unionByName(forest).unionByName(boosted))
 
 
+simple("model_comparison", None, _best)
+
+
 def _checked(predictions: DataFrame) -> DataFrame:
     """Keys and actuals of predictions, and whether prediction and errors fit together."""
     gap = F.col("actual_order_count") - F.col("predicted_order_count")
