@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from curbflow import labels as L
 from curbflow.functions.columns import label_map
+from curbflow.labels import DID_COLLINEAR, DID_NO_VARIATION
 from curbflow.session import materialize, ship_to_workers
 from curbflow.spec import PolicySpec
 
@@ -147,10 +148,10 @@ def unidentified(values: np.ndarray) -> str | None:
     gram = _gram(values)
     own = gram[0, 0]
     if own <= 1e-10:
-        return L.DID_NO_VARIATION
+        return DID_NO_VARIATION
     others = np.linalg.pinv(gram[1:, 1:], rcond=1e-10, hermitian=True)
     rest = own - gram[0, 1:] @ others @ gram[1:, 0]
-    return L.DID_COLLINEAR if rest <= 1e-8 * own else None
+    return DID_COLLINEAR if rest <= 1e-8 * own else None
 
 
 def _inverse(values: np.ndarray) -> tuple[np.ndarray, int]:
