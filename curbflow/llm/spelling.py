@@ -30,6 +30,7 @@ SLIP_RATE = 199
 PARTS_REPLACED = 4  # of which any two may differ
 PARTS_INSERTED = 3  # of which any one may differ
 HELD_WORDS = 200_000  # words that a task adds up before it passes them on
+FILED_WORDS = 20_000  # words that a task files: a few seconds, as each has 24 files
 
 _COUNTS = "word string, n long"
 
@@ -138,7 +139,8 @@ def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_words(words: DataFrame) -> DataFrame:
     """``word``, ``near``, ``near_n``: both directions of all pairs of words of at least two code
     points that differ by one inserted, deleted or replaced code point."""
-    filed = words.mapInArrow(_filed, _FILES)
+    dealt = words.repartition(words.count() // FILED_WORDS + 1)
+    filed = dealt.mapInArrow(_filed, _FILES)
     left = filed.where("role < 2").select("file", "role", "word", "n")
     right = filed.where("role <> 1").selectExpr(
         "file", "role AS near_role", "word AS near", "n AS near_n"
