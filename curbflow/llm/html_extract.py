@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -16,7 +18,8 @@ from curbflow.llm.common import hash_sample
 
 SAMPLE_PAGES = 300  # bound on the pages that training sees
 LAYOUTS = 4  # layouts that each training page is given besides its own
-TRAIN_BLOCKS = 60  # training pages have at most so many blocks; decoding has no bound
+TRAIN_BLOCKS = 60  # longer training pages are learnt from in pieces of so many blocks ...
+TRAIN_PIECES = 4  # ... of which so many at most, the first, the last and others by chance
 
 # Roles of HTML elements.
 RAW = frozenset("script style textarea title".split())  # up to the end tag or the page end
@@ -53,28 +56,49 @@ NOT_MAIN_WORDS = frozenset(
     "ad ads advert advertisement sponsor promo banner cookie consent notice alert popup modal "
     "sidebar side aside widget related recommended menu nav navigation navbar breadcrumb "
     "header masthead footer bottom comment comments reply replies discussion disqus share "
-    "social newsletter subscribe login signup search form toolbar pagination".split()
+    "social newsletter subscribe login signup search form toolbar pagination opinions voices "
+    "feedback remarks responses thoughts guestbook readers thread".split()
 )
 MAIN_WORDS = ("content", "article", "post", "entry", "main", "body", "story", "text")
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-z][a-z0-9:-]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>"""
-    r"|<(/?)([a-z][a-z0-9:-]*)([^>]*)>|<[!?/][^>]*>|[^<]+|<",
-    re.I | re.S,
-)
+_TAG = re.compile(r"<(/?)([a-z][a-z0-9:-]*+)", re.I)
+_TAG_SIGN = re.compile("[>\"']")
+_LONG_ZEROS = re.compile("&#0+(?=[0-9])")
+_NO_CHARACTER = re.compile("&#[0-9]{8,};?")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
-@dataclass
+@dataclass(slots=True)
+class Element:
+    """An open element, linked to the one around it."""
+
+    tag: str
+    name: str  # "tag" or "tag.word.word"
+    around: "Element | None"
+    fresh: tuple[str, ...]  # its features that no element around it has
+    other: bool  # it, or one around it, is a part beside the main text
+    score: float | None = None  # weights of the features of the whole path
+
+
+@dataclass(slots=True)
 class Block:
-    path: tuple[str, ...]  # open elements, "tag" or "tag.word.word"
+    within: Element | None
     text: str
     link_chars: int
     bold_chars: int
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Names of the open elements, outermost first."""
+        out, element = [], self.within
+        while element is not None:
+            out.append(element.name)
+            element = element.around
+        return tuple(reversed(out))
+
 
 @dataclass(slots=True)
 class Token:
@@ -84,23 +108,70 @@ class Token:
     end: int | None = None  # of a MUTE start tag, the index of its end tag
 
 
+def _tag_ends(html: str) -> tuple[list[int], list[int | None]]:
+    """Places of the characters > " and ', and for each the end of a tag that has it as its next
+    such character: ">" outside of quoted values, None if there is none. Read from the end, so
+    that a page of unbalanced quotes takes no longer than another."""
+    places = [m.start() for m in _TAG_SIGN.finditer(html)]
+    ends: list[int | None] = [None] * (len(places) + 1)
+    later: dict[str, int] = {}
+    for k in range(len(places) - 1, -1, -1):
+        sign = html[places[k]]
+        if sign == ">":
+            ends[k] = places[k]
+        else:
+            closing = later.get(sign)
+            ends[k] = None if closing is None else ends[closing + 1]
+            later[sign] = k
+    return places, ends
+
+
+def _decoded(raw: str) -> str:
+    if "&" not in raw:
+        return raw
+    if "&#" in raw:  # numbers beyond all characters, of any length
+        raw = _NO_CHARACTER.sub("\ufffd", _LONG_ZEROS.sub("&#", raw))
+    return unescape(raw)
+
+
 def _tokens(html: str) -> list[Token]:
-    """Texts and tags in page order. Comments are left out, and RAW elements are a space."""
+    """Texts and tags in page order. Comments are left out, and RAW elements are a space.
+
+    A tag ends at the next ">" outside of quoted values or, if there is none, at the next ">".
+    """
     out: list[Token] = []
     pending: dict[str, list[int]] = {}  # MUTE start tags that wait for their end tag
     foreign: list[str] = []
+    inside: Counter[str] = Counter()  # of foreign
+    places, ends = _tag_ends(html)
+    last = html.rfind(">")
     at = 0
-    while m := _TOKEN.match(html, at):
-        at = m.end()
-        tag = m.group(2) or m.group(5)
-        if tag is None:
-            raw = m.group(0)
-            if raw[0] != "<" or raw == "<":
-                out.append(Token(unescape(raw) if "&" in raw else raw))
+    while at < len(html):
+        if html[at] != "<":
+            end = html.find("<", at)
+            end = len(html) if end < 0 else end
+            out.append(Token(_decoded(html[at:end])))
+            at = end
+            continue
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            at = len(html) if end < 0 else end + 3
             continue
+        m = _TAG.match(html, at)
+        if m is None or m.end() > last:
+            if html[at + 1 : at + 2] in ("!", "?", "/") and at + 2 <= last:
+                at = html.index(">", at + 2) + 1
+            else:
+                out.append(Token("<"))
+                at += 1
+            continue
+        end = ends[bisect_left(places, m.end())]
+        if end is None:
+            end = html.index(">", m.end())
+        at = end + 1
+        tag, marks = m.group(2), html[m.end() : end]
         tag = tag.lower()
-        closing = bool(m.group(1) or m.group(4))
-        marks = m.group(3) or m.group(6) or ""
+        closing = bool(m.group(1))
         empty = marks.endswith("/")
         if tag in RAW and not closing and not (empty and foreign):
             found = _RAW_END[tag].search(html, at)
@@ -110,11 +181,12 @@ def _tokens(html: str) -> list[Token]:
         if tag in FOREIGN and not (empty and not closing):
             if not closing:
                 foreign.append(tag)
-            elif tag in foreign:
-                while foreign.pop() != tag:
-                    pass
+                inside[tag] += 1
+            elif inside[tag]:
+                _pop_to(tag, foreign, inside)
         elif foreign and not closing and tag in CLOSES_P:
             foreign.clear()
+            inside.clear()
         if tag in MUTE:
             waiting = pending.setdefault(tag, [])
             if closing:
@@ -128,7 +200,16 @@ def _tokens(html: str) -> list[Token]:
     return out
 
 
-def _after_mute(tokens: list[Token], at: int, stack: list[tuple[str, str]]) -> int:
+def _pop_to(tag: str, names: list[str], counts: Counter[str]) -> None:
+    """Take names off the end of the list, up to and with ``tag``."""
+    while True:
+        name = names.pop()
+        counts[name] -= 1
+        if name == tag:
+            return
+
+
+def _after_mute(tokens: list[Token], at: int, opened: Counter[str]) -> int:
     """Index of the token after the content of the MUTE element that starts at ``at``.
 
     That is after its end tag, but never beyond the end of an element around it; an svg ends
@@ -139,6 +220,7 @@ def _after_mute(tokens: list[Token], at: int, stack: list[tuple[str, str]]) -> i
     if start.end is None and start.text.endswith("/"):
         return at + 1
     inside: list[str] = []
+    counts: Counter[str] = Counter()  # of inside
     for k in range(at + 1, len(tokens)):
         token = tokens[k]
         tag = token.tag
@@ -147,14 +229,13 @@ def _after_mute(tokens: list[Token], at: int, stack: list[tuple[str, str]]) -> i
         if not tag:
             continue
         if token.closing:
-            if tag in inside:
-                while inside.pop() != tag:
-                    pass
-            elif any(tag == x for x, _ in stack):
+            if counts[tag]:
+                _pop_to(tag, inside, counts)
+            elif opened[tag]:
                 return k
             continue
         if start.tag == "svg":
-            if tag in LEAVES_SVG and "foreignobject" not in inside:
+            if tag in LEAVES_SVG and not counts["foreignobject"]:
                 return k
         elif start.end is None and not (
             tag in INLINE or tag in VOID or tag in MUTE or tag in ("option", "optgroup")
@@ -162,14 +243,25 @@ def _after_mute(tokens: list[Token], at: int, stack: list[tuple[str, str]]) -> i
             return k
         if tag not in VOID and not token.text.endswith("/"):
             inside.append(tag)
+            counts[tag] += 1
     return len(tokens)
 
 
-def leaf_blocks(html: str) -> list[Block]:
+def element_features(name: str) -> tuple[str, ...]:
+    """Of an element as an ancestor: its tag and the words of its classes."""
+    tag, *words = name.split(".")
+    return (f"in:{tag}", *(f"word:{w}" for w in words))
+
+
+def leaf_blocks(html: str, known: dict[str, tuple[str, ...]] | None = None) -> list[Block]:
     """Runs of text between block-level tags, in page order, with white space folded and
-    character references decoded. Unclosed and stray tags are tolerated."""
+    character references decoded. Unclosed and stray tags are tolerated. Time grows with the
+    page, however deep its elements lie; ``known`` keeps features of element names."""
     blocks: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    known = {} if known is None else known
+    stack: list[Element] = []
+    opened: Counter[str] = Counter()  # tags on the stack
+    active: set[str] = set()  # features of the elements on the stack
     parts: list[str] = []
     links = bold = 0
     depth_a = depth_b = 0
@@ -179,10 +271,16 @@ def leaf_blocks(html: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                blocks.append(Block(tuple(x for _, x in stack), text, links, bold))
+                blocks.append(Block(stack[-1] if stack else None, text, links, bold))
             parts.clear()
         links = bold = 0
 
+    def shut() -> Element:
+        element = stack.pop()
+        opened[element.tag] -= 1
+        active.difference_update(element.fresh)
+        return element
+
     tokens = _tokens(html)
     at = 0
     while at < len(tokens):
@@ -199,7 +297,7 @@ def leaf_blocks(html: str) -> list[Block]:
         if tag in MUTE:
             parts.append(" ")
             if not closing:
-                at = _after_mute(tokens, at - 1, stack)
+                at = _after_mute(tokens, at - 1, opened)
             continue
         if tag in MATH:
             if tag in ("mspace", "mtd", "mtr"):
@@ -220,16 +318,14 @@ def leaf_blocks(html: str) -> list[Block]:
         flush()
         depth_a = depth_b = 0
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                while shut().tag != tag:
+                    pass
             continue
-        shut = SIBLINGS.get(tag, ())
-        if tag in CLOSES_P and stack and stack[-1][0] == "p":
-            stack.pop()
-        elif shut and stack and stack[-1][0] in shut:
-            stack.pop()
+        if stack and (
+            (tag in CLOSES_P and stack[-1].tag == "p") or stack[-1].tag in SIBLINGS.get(tag, ())
+        ):
+            shut()
         marks = token.text
         name = tag
         if "=" in marks:
@@ -239,7 +335,16 @@ def leaf_blocks(html: str) -> list[Block]:
             if words:
                 name = ".".join([tag, *dict.fromkeys(words)])
         if not (marks.endswith("/") and tag not in CLOSES_P):
-            stack.append((tag, name))
+            if name not in known:
+                if len(known) > 100_000:
+                    known.clear()
+                known[name] = element_features(name)
+            around = stack[-1] if stack else None
+            fresh = tuple(f for f in known[name] if f not in active)
+            other = (around is not None and around.other) or _beside(name)
+            stack.append(Element(tag, name, around, fresh, other))
+            opened[tag] += 1
+            active.update(fresh)
     flush()
     return blocks
 
@@ -247,10 +352,8 @@ def leaf_blocks(html: str) -> list[Block]:
 def path_features(path: tuple[str, ...]) -> list[str]:
     """Tags of all ancestors, the words of their classes, and the nearest element."""
     out = set()
-    for element in path:
-        tag, *words = element.split(".")
-        out.add(f"in:{tag}")
-        out.update(f"word:{w}" for w in words)
+    for name in path:
+        out.update(element_features(name))
     near = path[-1].split(".")[0] if path else ""
     return sorted(out) + [f"leaf:{near}"]
 
@@ -366,16 +469,19 @@ def viterbi(scores: list[float], crf: Crf) -> list[int]:
     return states[::-1]
 
 
+def _beside(name: str) -> bool:
+    """Whether the markup of an element says that it is not of the main text."""
+    tag, *words = name.split(".")
+    if tag in ("article", "main"):
+        return False
+    return tag in NOT_MAIN_TAGS or not NOT_MAIN_WORDS.isdisjoint(words)
+
+
 def markup_label(path: tuple[str, ...]) -> int:
-    """1 for blocks in an article element that no nearer part of other kind holds."""
-    main = False
-    for element in path:
-        tag, *words = element.split(".")
-        if tag in ("article", "main"):
-            main = True
-        elif tag in NOT_MAIN_TAGS or NOT_MAIN_WORDS.intersection(words):
-            return 0
-    return int(main)
+    """1 for blocks in an article element that lie in no part of other kind."""
+    if any(_beside(name) for name in path):
+        return 0
+    return int(any(name.split(".")[0] in ("article", "main") for name in path))
 
 
 def _variants(blocks: list[Block], labels: list[int], seed: int):
@@ -408,9 +514,9 @@ def _variants(blocks: list[Block], labels: list[int], seed: int):
                 if pick.random() < 0.6:
                     text = " ".join(text.split()[: int(pick.integers(2, 14))])
                 linked = len(text) if "li" in part and pick.random() < 0.8 else 0
-                out.append((base + inside + part, Block((), text, linked, 0), 0))
+                out.append((base + inside + part, Block(None, text, linked, 0), 0))
 
-        for _ in range(int(pick.integers(1, 4))):
+        for _ in range(int(pick.integers(0, 4))):
             other((), int(pick.integers(1, 5)))
         for block, label in zip(blocks, labels):
             if label:
@@ -428,41 +534,91 @@ def _variants(blocks: list[Block], labels: list[int], seed: int):
         yield [p for p, _, _ in out], [b for _, b, _ in out], [k for _, _, k in out]
 
 
-def train_crf(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Crf | None:
-    """Fit on at most ``sample_pages`` pages that have an article element, chosen by hash of
-    page_id. Their markup is the label; each page is also laid out anew (``_variants``), so
-    that pages without the element are read by their other signs."""
-    labelled = pages.where(F.lower("html").contains("<article")).select("page_id", "html")
-    rows = hash_sample(labelled, ["page_id", "html"], sample_pages).collect()
-    features, labels = [], []
-    for seed, row in enumerate(rows):
-        blocks = leaf_blocks(row.html)[:TRAIN_BLOCKS]
-        known = [markup_label(b.path) for b in blocks]
-        if not any(known):
-            continue
-        for paths, made, states in _variants(blocks, known, seed):
-            features.append(
-                [path_features(p) + text_features(b) for p, b in zip(paths, made)][:TRAIN_BLOCKS]
-            )
-            labels.append(states[:TRAIN_BLOCKS])
-    return fit_crf(features, labels)
+def _pieces(blocks: list[Block], seed: int) -> list[list[Block]]:
+    """Runs of at most ``TRAIN_BLOCKS`` blocks from all over a page, ``TRAIN_PIECES`` at most."""
+    out = [blocks[k : k + TRAIN_BLOCKS] for k in range(0, len(blocks), TRAIN_BLOCKS)]
+    if len(out) > TRAIN_PIECES:
+        inner = np.random.default_rng(seed).choice(len(out) - 2, TRAIN_PIECES - 2, replace=False)
+        out = [out[0], *(out[k + 1] for k in sorted(inner)), out[-1]]
+    return out
+
 
+def _lessons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features and labels of the blocks of labelled pages, in their own and other layouts."""
+    for batch in batches:
+        seeds, features, labels = [], [], []
+        for seed, html in zip(*(batch.column(c).to_pylist() for c in ("seed", "html"))):
+            blocks = leaf_blocks(html)
+            for piece in _pieces(blocks, seed):
+                known = [markup_label(b.path) for b in piece]
+                if len(blocks) <= TRAIN_BLOCKS and not any(known):
+                    continue
+                for paths, made, states in _variants(piece, known, seed):
+                    seeds.append(seed)
+                    features.append([path_features(p) + text_features(b) for p, b in zip(paths, made)])
+                    labels.append(states)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(seeds, pa.int32()), pa.array(features, pa.list_(pa.list_(pa.string()))),
+             pa.array(labels, pa.list_(pa.int32()))],
+            ["seed", "features", "labels"],
+        )
 
-def main_text(html: str | None, crf: Crf | None, known: dict[tuple[str, ...], float]) -> str:
-    """Texts of the blocks that are decoded as main, joined by line feeds."""
+
+def train_crf(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Crf | None:
+    """Fit on at most ``sample_pages`` pages that have an article element, chosen by hash of
+    page_id and html. Their markup is the label; each page is also laid out anew (``_variants``),
+    so that pages without the element are read by their other signs. Pages are parsed in tasks;
+    the driver gets the features of at most ``TRAIN_PIECES`` pieces a page and layout."""
+    labelled = pages.where(F.lower("html").contains("<article")).select(
+        F.col("page_id").cast("long").alias("page_id"), F.xxhash64("html").alias("page"), "html"
+    )
+    keys = hash_sample(labelled.select("page_id", "page"), ["page_id", "page"], sample_pages)
+    chosen = [(k, r.page_id, r.page) for k, r in enumerate(keys.collect())]
+    if not chosen:
+        return None
+    sample = pages.sparkSession.createDataFrame(chosen, "seed int, sample_id long, sample_page long")
+    same = F.col("page_id").eqNullSafe(F.col("sample_id")) & (F.col("page") == F.col("sample_page"))
+    rows = (
+        labelled.join(F.broadcast(sample), same)
+        .groupBy("seed")
+        .agg(F.min("html").alias("html"))
+        .mapInArrow(_lessons, "seed int, features array<array<string>>, labels array<int>")
+        .toArrow()
+        .to_pylist()
+    )
+    rows.sort(key=lambda r: r["seed"])  # stable: pieces and layouts of a page stay in order
+    if not any(any(r["labels"]) for r in rows):
+        return None
+    rows = [r for r in rows if r["labels"]]
+    return fit_crf([r["features"] for r in rows], [r["labels"] for r in rows])
+
+
+def _path_score(element: Element | None, weight: dict[str, float]) -> float:
+    """Sum of the weights of ``path_features``, each element added up once."""
+    open_sums = []
+    near = element
+    while element is not None and element.score is None:
+        open_sums.append(element)
+        element = element.around
+    total = 0.0 if element is None else element.score
+    for element in reversed(open_sums):
+        total += sum(weight.get(f, 0.0) for f in element.fresh)
+        element.score = total
+    return total + weight.get(f"leaf:{near.tag if near else ''}", 0.0)
+
+
+def main_text(html: str | None, crf: Crf | None, known: dict[str, tuple[str, ...]]) -> str:
+    """Texts of the blocks that are decoded as main, joined by line feeds. Without a model,
+    blocks that their markup does not put beside the main text count as main."""
     if not html:
         return ""
-    blocks = leaf_blocks(html)
+    blocks = leaf_blocks(html, known)
     if crf is None:
-        return "\n".join(b.text for b in blocks)
+        return "\n".join(b.text for b in blocks if b.within is None or not b.within.other)
     weight = crf.weights
     scores = []
     for b in blocks:
-        score = known.get(b.path)
-        if score is None:
-            if len(known) > 100_000:
-                known.clear()
-            score = known[b.path] = sum(weight.get(f, 0.0) for f in path_features(b.path))
+        score = _path_score(b.within, weight)
         for f in text_features(b):
             score += weight.get(f, 0.0)
         scores.append(score)
@@ -471,7 +627,7 @@ def main_text(html: str | None, crf: Crf | None, known: dict[tuple[str, ...], fl
 
 def _extractor(crf: Crf | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, ...], float] = {}
+        known: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             texts = [main_text(h, crf, known) for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -487,7 +643,7 @@ def extract_pages(pages: DataFrame, crf: Crf | None) -> DataFrame:
 
     Each whole page is parsed and decoded in its task; nothing is shuffled. Null and empty
     pages, and pages without a main block, give an empty text. Without a model (no page with
-    an article element to learn from) all text blocks count as main.
+    an article element to learn from) the markup decides (``main_text``).
     """
     return (
         pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html")
