@@ -19,7 +19,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the multi-line chunks that an earlier document has.
+    """Documents without the runs of lines of 20 words or more that occur earlier.
 
     ``n_chars`` follows the text.
     """
@@ -27,7 +27,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     def run(plain: DataFrame) -> DataFrame:
         changed = F.col("lines_removed") > 0
         n_chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars"))
-        return line_dedup.dedup_lines(plain).withColumn("n_chars", n_chars).select(*plain.columns)
+        return line_dedup.dedup_passages(plain).withColumn("n_chars", n_chars).select(*plain.columns)
 
     return apart(docs, run)
 
