@@ -8,7 +8,8 @@ import pytest
 import __spark_entry__
 import corpus_pipeline
 from curbflow.llm import mixing, quality
-from test_near_copies import brute_dedup, brute_links
+from test_near_copies import brute_links
+from test_passages import brute_passages
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -54,7 +55,7 @@ def test_quality_stage(spark, stages):
 
 
 def test_line_stage(stages):
-    want = {k: text for k, (text, _) in brute_dedup(list(texts(stages[1]).items())).items()}
+    want = {k: text for k, (text, _) in brute_passages(list(texts(stages[1]).items())).items()}
     assert texts(stages[2]) == want
     assert all(r.n_chars == len(r.text) for r in stages[2].collect())
 
