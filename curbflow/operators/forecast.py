@@ -6,17 +6,16 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curbflow.operators.boosting import BoostSettings, fit_boosted
+from curbflow.operators.forest import ForestSettings, fit_forest
 from curbflow.operators.timeseries import demand_lags, rolling_means
 from curbflow.session import materialize
 
-LEVEL_MEMORY_MB = 1024  # node statistics of one round of splits
-
 # Feature lists and model settings.
 FORECAST_FEATURES = (
     "zone_id", "hour", "weekday", "is_weekend", "month", "avg_trip_miles", "avg_fare_per_mile",
@@ -30,20 +29,6 @@ BASELINE_FEATURES = (
 LEGACY_FEATURES = ("pickup_hour", "weekday", "day", "is_weekend", "pickup_location_id")
 
 
-@dataclass(frozen=True)
-class ForestSettings:
-    """Depth 30 is the most the learner allows; trees without a limit end far earlier.
-
-    ``bins`` is at least the number of zones, so that every zone can be split from the next.
-    """
-
-    trees: int = 160
-    min_leaf: int = 2
-    max_depth: int = 30
-    bins: int = 512
-    seed: int = 42
-
-
 # Leaf-wise growth; the default settings are those of the forecast, level by level.
 BASELINE_BOOST = BoostSettings(
     rounds=100, max_depth=None, leaves=31, step=0.1, min_leaf=20, penalty=0.0, row_share=1.0,
@@ -125,19 +110,6 @@ def error_metrics(scored: DataFrame, actual: str = "order_count") -> DataFrame:
     )
 
 
-def _vectors(table: DataFrame, features) -> DataFrame:
-    """Adds the feature vector; whole numbers and flags keep their own columns and types."""
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(table)
-
-
-def _forest(label: str, forest: ForestSettings) -> RandomForestRegressor:
-    return RandomForestRegressor(
-        labelCol=label, numTrees=forest.trees, minInstancesPerNode=forest.min_leaf,
-        maxDepth=forest.max_depth, maxBins=forest.bins, featureSubsetStrategy="all",
-        maxMemoryInMB=LEVEL_MEMORY_MB, cacheNodeIds=True, seed=forest.seed,
-    )
-
-
 @dataclass
 class Forecast:
     """Predictions on train and test rows, and the importance of each feature."""
@@ -161,11 +133,10 @@ def fit_forecast(
         boosted = fit_boosted(train, FORECAST_FEATURES, "order_count", boost)
         predicted, weights = boosted.predict(table), boosted.importance
     else:
-        fitted = _forest("order_count", forest).fit(
-            _vectors(train, FORECAST_FEATURES).select("order_count", "features")
-        )
-        predicted = fitted.transform(_vectors(table, FORECAST_FEATURES)).drop("features")
-        weights = fitted.featureImportances.toArray()
+        fitted = fit_forest(train, FORECAST_FEATURES, "order_count", forest)
+        # Results read the predictions several times.
+        predicted = materialize(fitted.predict(table), "forest-scored")
+        weights = fitted.importance
     scored = with_errors(predicted, "order_count", "prediction").drop("prediction")
     rows = [(model, name, float(weight)) for name, weight in zip(FORECAST_FEATURES, weights)]
     importance = panel.sparkSession.createDataFrame(
@@ -283,13 +254,17 @@ def fit_legacy_demand(
     stages = [
         StringIndexer(inputCol="pickup_borough", outputCol="borough_index", handleInvalid="keep"),
         OneHotEncoder(inputCol="borough_index", outputCol="borough_vector"),
-        VectorAssembler(
-            inputCols=[*LEGACY_FEATURES, "borough_vector"], outputCol="features"
-        ),
-        _forest("trip_count", forest),
     ]
-    fitted = Pipeline(stages=stages).fit(split.where("is_train"))
-    scored = with_errors(fitted.transform(split), "trip_count", "prediction").withColumn(
+    encoder = Pipeline(stages=stages).fit(split.where("is_train"))
+    boroughs = [f"borough_{k}" for k in range(len(encoder.stages[0].labels))]
+    encoded = encoder.transform(split).withColumns(
+        {name: vector_to_array("borough_vector")[k] for k, name in enumerate(boroughs)}
+    )
+    wide = materialize(encoded.drop("borough_vector", "borough_index"), "legacy-encoded")
+    fitted = fit_forest(
+        wide.where("is_train"), [*LEGACY_FEATURES, *boroughs], "trip_count", forest
+    )
+    scored = with_errors(fitted.predict(wide), "trip_count", "prediction").withColumn(
         "prediction_error", F.col("trip_count") - F.col("prediction")
     )
     rows = split.agg(F.count(F.lit(1)).alias("n")).scalar()
