@@ -1,10 +1,13 @@
 """Demand marts that are kept up to date from month files, reading only what is new.
 
-A state folder holds partial sums of every file (``partials``, a folder per batch) and a
-manifest of the files behind them (``manifest``, a folder per version). An update lists the
-files without opening them, reads the ones that are new or changed, adds their partial sums
-and writes the next version of the manifest last. A file counts under the batch that the
-manifest names, so partial sums of changed, deleted or half-finished files are left aside.
+A state folder holds partial sums of every month file (``partials``, a folder per batch) and a
+manifest of the files behind them (``manifest``, a folder per version). The part files of a
+folder are one month file: the keys of a month repeat in each of its parts, so sums by part
+would be nearly as many as the trips. An update lists the files without opening them, reads
+the ones that are new or changed, with the parts that were summed together with a changed or
+deleted one, adds their partial sums and writes the next version of the manifest last. A month
+file counts under the batches that the manifest names, so partial sums of changed, deleted or
+half-finished files are left aside.
 """
 
 from __future__ import annotations
@@ -78,13 +81,18 @@ def _listing(spark: SparkSession, sources: Mapping[str, str]) -> DataFrame:
     return found
 
 
+def _month_file(file):
+    """The folder of a part file, any other file itself."""
+    return F.regexp_replace(file, "/part-[^/]*$", "")
+
+
 def partial_sums(standard: DataFrame) -> DataFrame:
-    """Counts and sums of every mart by file, from one pass over standard trips.
+    """Counts and sums of every mart by month file, from one pass over standard trips.
 
     Each mart is a grouping set of the same aggregation, combined before the shuffle; the bits
     of the grouping id say which keys are left out.
     """
-    trips = standard.withColumn("file", F.input_file_name())
+    trips = standard.withColumn("file", _month_file(F.input_file_name()))
     columns = ["file", "is_valid_trip", *ALL_KEYS]
     sets = [["file", "is_valid_trip", *keys] for keys in KEYS.values()]
     left_out = {
@@ -115,8 +123,11 @@ def update(
     state = state.rstrip("/")
     same = ["service", "file", "size", "modified"]
     listing, known = _listing(spark, sources), manifest(spark, state)
-    todo = listing.join(known, same, "left_anti").orderBy("service", "path").collect()
-    kept = known.join(listing, same, "left_semi")
+    together = [_month_file("file").alias("month_file"), "batch"]
+    broken = known.join(listing, same, "left_anti").select(*together).distinct()
+    whole = known.select("*", together[0]).join(broken, ["month_file", "batch"], "left_anti")
+    kept = whole.select(*known.columns)
+    todo = listing.join(kept, same, "left_anti").orderBy("service", "path").collect()
     kept_rows, known_rows = kept.count(), known.count()
     version = (known.agg(F.max("version")).first()[0] or 0) + 1
     if not todo and kept_rows == known_rows:
@@ -147,7 +158,8 @@ def update(
 def mart(spark: SparkSession, state: str, name: str, zones: DataFrame | None = None) -> DataFrame:
     """A mart merged from the partial sums of the files in the manifest, columns as the
     operator of that name gives them; ``zone_hourly_demand`` needs the zones."""
-    files = manifest(spark, state).select("file", "batch")
+    names = F.array("file", _month_file("file"))  # sums of older states are by part file
+    files = manifest(spark, state).select(F.explode(names).alias("file"), "batch")
     every = spark.read.schema(PARTIALS).parquet(f"{state.rstrip('/')}/partials")
     sums = every.where(F.col("mart") == name)
     mine = sums.join(files, ["file", "batch"], "left_semi")
