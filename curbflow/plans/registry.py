@@ -1337,19 +1337,27 @@ _DRIFT = (
 )
 
 
+def _staged(chain: Chain, service: str, raw: DataFrame, start: str) -> DataFrame:
+    """Raw trips with the place of their month, stored: the months are cut from one read."""
+    month = F.coalesce(F.month(start), F.lit(1)) % len(_DRIFT)
+    return _once(chain, f"staged_{service}", lambda: materialize(
+        raw.withColumn("_place", month), f"raw-{service}", rebalance=False
+    ))
+
+
 def _write_months(chain: Chain, root: str, wanted: tuple[int, ...] = (0, 1, 2)) -> None:
     """Month files of both services, whose types and columns drift."""
-    for folder, raw, start in (
-        ("fhvhv/fhvhv", chain.raw, "pickup_datetime"),
-        ("yellow/yellow", chain.raw_taxi, "tpep_pickup_datetime"),
+    for service, raw, start in (
+        ("fhvhv", chain.raw, "pickup_datetime"),
+        ("yellow", chain.raw_taxi, "tpep_pickup_datetime"),
     ):
-        month = F.coalesce(F.month(start), F.lit(1)) % len(_DRIFT)
         for k in wanted:
-            part = raw.where(month == k).withColumns(
+            part = _staged(chain, service, raw, start).where(F.col("_place") == k).drop("_place")
+            part = part.withColumns(
                 {name: F.col(name).cast(kind) for name, kind in _DRIFT[k].items()}
             )
             part = part.drop("airport_fee") if k == 0 else part
-            part.write.parquet(f"{root}/{folder}_tripdata_2024-{k + 1:02d}.parquet")
+            part.write.parquet(f"{root}/{service}/{service}_tripdata_2024-{k + 1:02d}.parquet")
 
 
 @query("month_files_chain", "SELECT * FROM zone_hourly")
