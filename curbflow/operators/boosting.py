@@ -5,8 +5,9 @@ the blocks adds up gradients and rows by node, feature and bin; these sums, whos
 not depend on the rows, decide the splits. Of two children only the smaller is added up, the
 other is the difference to the parent. Trees grow by the best gain first (a number of
 leaves) or level by level (a depth). One pass prepares the children of all open leaves, so a
-tree takes about as many passes as it is deep. A table of one block is learnt in one task by
-the same code, without a job for each pass.
+tree takes about as many passes as it is deep. A pass is one job of one stage over blocks that are
+kept with their predictions; a table of one block is learnt in one task by the same code, without
+a job for each pass.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -28,6 +30,7 @@ ship_to_workers(__name__)
 
 BLOCK_ROWS = 65_536
 STORED_ROUNDS = 10  # after so many trees the predictions of the blocks are written anew
+FEW_TASKS = 32  # sums of more tasks are added up in tasks before they come to the driver
 LEAST_GAIN = 1e-9  # of the gradient's square sum: below it a gain is rounding
 
 
@@ -90,6 +93,7 @@ def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 _BLOCK = "place long, rows int, bins binary, target binary, predicted binary"
+Block = tuple[int, np.ndarray, np.ndarray, np.ndarray]  # place, bins, target, prediction
 
 
 def _pack(features: Sequence[str], label: str, edges: Sequence[np.ndarray]):
@@ -198,43 +202,47 @@ def _add_block(
     columns: list[int],
 ) -> None:
     """Add a block to ``out`` (gradient or rows, wanted node, feature, bin)."""
-    _, _, features, width = out.shape
-    flat = out.reshape(2, -1)
+    _, nodes, _, width = out.shape
     used = np.flatnonzero((slot >= 0) & drawn)
-    change = gradient[used]
+    change, row = gradient[used], slot[used] * width
     for f in columns:
-        code = (slot[used] * features + f) * width + bins[used, f]
-        flat[0] += np.bincount(code, change, flat.shape[1])
-        flat[1] += np.bincount(code, minlength=flat.shape[1])
+        code = row + bins[used, f]
+        out[0, :, f] += np.bincount(code, change, nodes * width).reshape(nodes, width)
+        out[1, :, f] += np.bincount(code, minlength=nodes * width).reshape(nodes, width)
 
 
 def _sums(
-    done: list[Tree], tree: Tree, wanted: list[int], columns: list[int], features: int, width: int,
+    tree: Tree, wanted: list[int], columns: list[int], features: int, width: int,
     settings: BoostSettings, round_: int,
 ):
-    """Gradients and rows by wanted node, feature and bin, summed over the blocks of a task."""
+    """Gradients and rows by wanted node, feature and bin, summed over the blocks of a task; cells
+    without rows are left out."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(blocks: Iterator[Block]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         out = np.zeros((2, len(wanted), features, width))
         slots = _slots(tree, wanted)
-        for batch in batches:
-            for place, bins, target, predicted in _read(batch, features):
-                for old in done:
-                    predicted = predicted + old.predict(bins)
-                drawn = drawn_rows(settings.seed, round_, place, len(target), settings.row_share)
-                _add_block(
-                    out, bins, predicted - target, slots[tree.nodes(bins)], drawn, columns
-                )
-        gradient, rows = out.reshape(2, -1)
-        found = np.flatnonzero(rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(found, pa.int64()), pa.array(gradient[found]), pa.array(rows[found])],
-            ["cell", "gradient", "rows"],
-        )
+        for place, bins, target, predicted in blocks:
+            drawn = drawn_rows(settings.seed, round_, place, len(target), settings.row_share)
+            _add_block(out, bins, predicted - target, slots[tree.nodes(bins)], drawn, columns)
+        yield _cells(out)
 
     return run
 
 
+def _cells(out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    gradient, rows = out.reshape(2, -1)
+    found = np.flatnonzero(rows).astype(np.int32)
+    return found, gradient[found], rows[found]
+
+
+def _added(parts, cells: int) -> np.ndarray:
+    out = np.zeros((2, cells))
+    for cell, gradient, rows in parts:
+        out[0, cell] += gradient
+        out[1, cell] += rows
+    return out
+
+
 def _learnt_block(settings: BoostSettings, features: int, width: int, base: float):
     """The whole model from the only block."""
 
@@ -263,22 +271,37 @@ def _learnt_block(settings: BoostSettings, features: int, width: int, base: floa
     return run
 
 
-def _with_predictions(done: list[Tree], features: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = []
-            for _, bins, _, predicted in _read(batch, features):
-                for tree in done:
-                    predicted = predicted + tree.predict(bins)
-                new.append(predicted.tobytes())
-            columns = dict(zip(batch.schema.names, batch.columns)) | {
-                "predicted": pa.array(new, pa.binary())
-            }
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+def _sums_of_tasks(cells: int):
+    def run(parts: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        yield _cells(_added(parts, cells))
 
     return run
 
 
+def _kept_blocks(features: int, base: float):
+    """Blocks as arrays, for the first round."""
+
+    def run(rows: Iterator) -> Iterator[Block]:
+        for row in rows:
+            bins = np.frombuffer(row["bins"], np.uint16).reshape(-1, features)
+            yield row["place"], bins, np.frombuffer(row["target"]), np.frombuffer(row["predicted"]) + base
+
+    return run
+
+
+def _with_tree(tree: Tree):
+    def run(blocks: Iterator[Block]) -> Iterator[Block]:
+        for place, bins, target, predicted in blocks:
+            yield place, bins, target, predicted + tree.predict(bins)
+
+    return run
+
+
+def _as_row(block: Block) -> tuple:
+    place, bins, target, predicted = block
+    return place, len(target), bins.tobytes(), target.tobytes(), predicted.tobytes()
+
+
 @dataclass
 class _Node:
     depth: int
@@ -475,34 +498,53 @@ def fit_boosted(
 def _fit_blocks(
     blocks: DataFrame, features: int, width: int, base: float, settings: BoostSettings
 ) -> tuple[list[Tree], list[float]]:
-    """One job for each pass over the blocks; the sums of a pass come to the driver."""
-    stored, done = [blocks], [Tree([], {0: base})]  # ``done`` is not yet in the stored predictions
+    """One job of one stage for each pass over the blocks; the sums of a pass come to the driver,
+    those of many tasks after they were added up in a few.
+
+    The blocks are kept with the predictions of all trees so far, so a pass only follows the tree
+    that grows. A tree is added by the first pass of the next round. Every ``STORED_ROUNDS`` trees
+    the blocks are written, so a lost executor repeats few of them.
+    """
+    spark = blocks.sparkSession
+    tasks = max(1, min(blocks.count(), spark.sparkContext.defaultParallelism))
+    made = 0
+
+    def read(table: DataFrame, start: float):
+        rows = table.repartition(tasks).select("place", "bins", "target", "predicted").rdd
+        return rows.mapPartitions(_kept_blocks(features, start))
+
+    def keep(rdd):
+        return rdd.persist(StorageLevel.MEMORY_AND_DISK)
+
+    now, before = keep(read(blocks, base)), []
 
     def sums_of(round_, columns, tree, wanted):
-        cells = stored[-1].mapInArrow(
-            _sums(done, tree, wanted, columns, features, width, settings, round_),
-            "cell long, gradient double, rows double",
-        )
-        found = cells.groupBy("cell").agg(
-            F.sum("gradient").alias("gradient"), F.sum("rows").alias("rows")
-        ).toArrow()
-        out = np.zeros((2, len(wanted) * features * width))
-        cell = found["cell"].to_numpy()
-        out[0, cell], out[1, cell] = found["gradient"].to_numpy(), found["rows"].to_numpy()
+        cells = len(wanted) * features * width
+        parts = now.mapPartitions(_sums(tree, wanted, columns, features, width, settings, round_))
+        if tasks > FEW_TASKS:
+            few = int(tasks**0.5)
+            dealt = parts.mapPartitionsWithIndex(lambda k, x: ((k % few, part) for part in x))
+            parts = dealt.partitionBy(few, int).values().mapPartitions(_sums_of_tasks(cells))
+        out = _added(parts.collect(), cells)
+        while before:  # the first pass of a round has kept the new predictions
+            before.pop().unpersist()
         return out.reshape(2, len(wanted), features, width)
 
     def finished(tree):
-        done.append(tree)
-        if len(done) > STORED_ROUNDS:
-            stored.append(
-                materialize(
-                    stored[-1].mapInArrow(_with_predictions(done, features), _BLOCK),
-                    "boost-blocks", rebalance=False,
-                )
-            )
-            done.clear()
-
-    return _grown(settings, features, sums_of, finished)
+        nonlocal now, made
+        made += 1
+        before.append(now)
+        now = now.mapPartitions(_with_tree(tree))
+        if made % STORED_ROUNDS == 0:
+            table = spark.createDataFrame(now.map(_as_row), blocks.schema)
+            now = read(materialize(table, "boost-blocks", rebalance=False), 0.0)
+        now = keep(now)
+
+    try:
+        return _grown(settings, features, sums_of, finished)
+    finally:
+        for kept in [now, *before]:
+            kept.unpersist()
 
 
 def splits_table(spark: SparkSession, model: Boosted) -> DataFrame:

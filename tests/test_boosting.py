@@ -132,3 +132,46 @@ def test_a_row_meets_the_splits_in_order():
     bins = np.array([[3, 9], [4, 0], [4, 1]], np.uint16)
     assert tree.nodes(bins).tolist() == [1, 3, 4]
     assert tree.predict(bins).tolist() == [1.0, 3.0, 4.0]
+
+
+def test_one_small_job_for_each_pass(spark, monkeypatch):
+    """Deep trees over many blocks: no pass costs more than one job, and sums of many
+    tasks that are added up in tasks give the same model."""
+    x, y = rows_of(11, 900)
+    settings = BoostSettings(3, 5, None, 0.2, 1, 1.0, 0.85, 1.0, 255, 1)
+    passes = []
+
+    def fitted():
+        return boosting.fit_boosted(frame(spark, x, y).repartition(5), NAMES, "y", settings)
+
+    grow = boosting._Grower.__init__
+
+    def watched(self, settings, columns, sums_of):
+        def sums(tree, wanted):
+            passes.append(len(wanted))
+            return sums_of(tree, wanted)
+
+        grow(self, settings, columns, sums)
+
+    monkeypatch.setattr(boosting._Grower, "__init__", watched)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 100)
+    context = spark.sparkContext
+    fit_blocks, jobs = boosting._fit_blocks, []
+
+    def in_group(*args):
+        context.setJobGroup("boost-passes", "passes over blocks")
+        try:
+            return fit_blocks(*args)
+        finally:
+            jobs.extend(context.statusTracker().getJobIdsForGroup("boost-passes"))
+            context.setLocalProperty("spark.jobGroup.id", None)
+
+    monkeypatch.setattr(boosting, "_fit_blocks", in_group)
+    few = fitted()
+    assert len(passes) >= 9 and len(jobs) <= len(passes) + 4
+    monkeypatch.setattr(boosting, "FEW_TASKS", 2)
+    many = fitted()
+    for a, b in zip(few.trees, many.trees):
+        assert a.splits == b.splits
+        assert np.allclose([a.values[k] for k in sorted(a.values)],
+                           [b.values[k] for k in sorted(b.values)])
