@@ -1,90 +1,150 @@
 """Audit of how far the sources of a language differ in the words they use.
 
 Texts that several documents of a language share are collapsed: one row per distinct text with
-its number of documents in each source. Each distinct text is tokenised once; its counts and
-its documents are added up with those numbers. Sources are then compared on the terms that
-they have; the terms that one or both lack are covered by sums over equal counts.
+its number of documents in each source. Each distinct text is tokenised once, many texts at a
+time as arrays; its counts and its documents are added up with those numbers. Sources are then
+compared on the terms that they have; the terms that one or both lack are covered by sums over
+equal counts.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curbflow.llm.common import stored
 
-# Code points that separate terms: all of ASCII but its letters.
-TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+# Bytes of terms, A-Z lower-cased; 0 for those that separate terms: all of ASCII but its letters.
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[:128] = [ord(chr(c).lower()) if chr(c).isalpha() else 0 for c in range(128)]
 LEAST_DOCUMENTS = 10
 TOP_TERMS = 10
 SCALE = 1_000_000_000
-HELD_TERMS = 200_000  # terms that a task adds up before it passes them on
+HELD_TERMS = 1_000_000  # occurrences that a task adds up before it passes them on
+HELD_BYTES = 32_000_000  # the same for their bytes
+PIECE_BYTES = 4_000_000  # text that is tokenised at a time
 
 _TALLY = "lang string, term binary, found array<struct<source: string, documents: long, n: long>>"
 
 
+def _terms(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The terms of all texts in order, and the number of terms of each text."""
+    data = _FOLD[np.frombuffer(b"\0".join([b"", *texts, b""]), np.uint8)]
+    inside = data != 0
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, stops = edges[::2], edges[1::2]
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(stops - starts, out=offsets[1:])
+    found = pa.Array.from_buffers(
+        pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]
+    )
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return found, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def _heads(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal ``keys`` start."""
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def _by_term(
-    counts: dict[tuple[str, str], Counter], documents: dict[tuple[str, str], Counter]
+    terms: pa.Array, owner: np.ndarray, langs: list[str], copies: list[list[dict]]
 ) -> pa.RecordBatch:
-    """One row per language and term with the sources that have it."""
-    rows: dict[tuple[str, bytes], list] = {}
-    for (lang, source), found in counts.items():
-        seen = documents[lang, source]
-        for term, n in found.items():
-            rows.setdefault((lang, term), []).append((source, seen[term], n))
-    flat = [x for found in rows.values() for x in found]
-    offsets = [0, *accumulate(map(len, rows.values()))]
-    kinds = {"source": pa.string(), "documents": pa.int64(), "n": pa.int64()}
-    columns = zip(*flat) if flat else ((), (), ())
+    """One row per language and term with the sources that have it. ``owner`` is the text of
+    each term, ascending; ``langs`` and ``copies`` are those of the texts."""
+    groups = sorted({(lang, c["source"]) for lang, found in zip(langs, copies) for c in found})
+    number = {g: k for k, g in enumerate(groups)}
+    copy_group = np.array(
+        [number[lang, c["source"]] for lang, found in zip(langs, copies) for c in found], np.int64
+    )
+    copy_times = np.array([c["times"] for found in copies for c in found], np.int64)
+    n_copies = np.array([len(found) for found in copies], np.int64)
+    copy_start = np.cumsum(n_copies) - n_copies
+
+    coded = terms.dictionary_encode()
+    names = coded.dictionary
+    keys = owner * len(names) + coded.indices.to_numpy(zero_copy_only=False)
+    keys.sort()
+    heads = _heads(keys)
+    times = np.diff(heads, append=len(keys))  # of a term in a text
+    text, code = np.divmod(keys[heads], len(names))
+
+    each = n_copies[text]  # a row for each copy of the text
+    row = np.repeat(np.arange(len(text)), each)
+    copy = np.repeat(copy_start[text] - (np.cumsum(each) - each), each) + np.arange(len(row))
+    keys = code[row] * len(groups) + copy_group[copy]
+    order = np.argsort(keys)
+    keys, documents = keys[order], copy_times[copy][order]
+    n = times[row][order] * documents
+    heads = _heads(keys)
+    code, group = np.divmod(keys[heads], len(groups))
+    documents, n = np.add.reduceat(documents, heads), np.add.reduceat(n, heads)
+
+    lang_names = sorted({lang for lang, _ in groups})  # in the order of the groups
+    lang_number = {lang: k for k, lang in enumerate(lang_names)}
+    lang = np.array([lang_number[x] for x, _ in groups], np.int64)[group]
+    rows = _heads(code * len(lang_names) + lang)
+    sources = pa.array([source for _, source in groups], pa.string()).take(pa.array(group))
     structs = pa.StructArray.from_arrays(
-        [pa.array(c, kind) for c, kind in zip(columns, kinds.values())], list(kinds)
+        [sources, pa.array(documents), pa.array(n)], ["source", "documents", "n"]
     )
+    offsets = pa.array(np.append(rows, len(group)), pa.int32())
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([lang for lang, _ in rows], pa.string()),
-            pa.array([term for _, term in rows], pa.binary()),
-            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs),
+            pa.array(lang_names, pa.string()).take(pa.array(lang[rows])),
+            names.take(pa.array(code[rows])),
+            pa.ListArray.from_arrays(offsets, structs),
         ],
         ["lang", "term", "found"],
     )
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
+    """Languages, texts and copies of rows with about ``PIECE_BYTES`` of text."""
+    for batch in batches:
+        columns = [batch.column(c) for c in ("lang", "text", "copies")]
+        ends = np.append(0, np.cumsum(pc.binary_length(columns[1]).to_numpy(zero_copy_only=False)))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + PIECE_BYTES, side="right")) - 1)
+            yield tuple(c.slice(a, b - a).to_pylist() for c in columns)
+            a = b
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents and occurrences of each term by language and source."""
-    counts: dict[tuple[str, str], Counter] = {}
-    documents: dict[tuple[str, str], Counter] = {}
-    held = 0
+    terms: list[pa.Array] = []
+    lengths: list[np.ndarray] = []
+    langs: list[str] = []
+    copies: list[list[dict]] = []
+    held = size = 0
 
-    for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "copies")))
-        for lang, text, copies in rows:
-            found = TERM.findall(text.lower())  # of bytes: A-Z only
-            once = set(found)
-            several = None
-            for copy in copies:
-                group, times = (lang, copy["source"]), copy["times"]
-                n, seen = counts.setdefault(group, Counter()), documents.setdefault(group, Counter())
-                held -= len(n)
-                if times == 1:
-                    n.update(found)
-                    seen.update(once)
-                else:
-                    several = several or Counter(found)
-                    for term, k in several.items():
-                        n[term] += k * times
-                        seen[term] += times
-                held += len(n)
-            if held > HELD_TERMS:
-                yield _by_term(counts, documents)
-                counts, documents, held = {}, {}, 0
+    def added_up() -> pa.RecordBatch:
+        n = np.concatenate(lengths)
+        return _by_term(pa.concat_arrays(terms), np.repeat(np.arange(len(n)), n), langs, copies)
+
+    for lang, text, copy in _pieces(batches):
+        found, n = _terms(text)
+        if not len(found):
+            continue
+        terms.append(found)
+        lengths.append(n)
+        langs += lang
+        copies += copy
+        held += int((n * [len(c) for c in copy]).sum())
+        size += found.nbytes
+        if held > HELD_TERMS or size > HELD_BYTES:
+            yield added_up()
+            terms, lengths, langs, copies, held, size = [], [], [], [], 0, 0
     if held:
-        yield _by_term(counts, documents)
+        yield added_up()
 
 
 def _chance(n: str, total: str, terms: str) -> Column:
@@ -126,7 +186,7 @@ def term_counts(texts: DataFrame, least_documents: int) -> DataFrame:
     of the language have.
 
     Tasks send a term once with all its sources, so a word that is in every text costs a row
-    for each ``HELD_TERMS`` terms of a task. The sums by source need no further shuffle.
+    for each ``HELD_TERMS`` occurrences of a task. The sums by source need no further shuffle.
     """
     tallies = texts.mapInArrow(_tally, _TALLY).repartition("lang", "term")
     return (

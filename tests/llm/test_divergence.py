@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from curbflow.llm import divergence
 
@@ -98,3 +99,47 @@ def test_counts_beyond_a_long_product(spark):
     one = spark.createDataFrame([(40_000_000_000, 90_000_000_000, 7)], "n long, total long, terms long")
     (value,) = one.select(divergence._chance("n", "total", "terms")).first()
     assert value == 1 + 10**9 * 40_000_000_002 // (90_000_000_000 + 14)
+
+
+def batch_of(rows):
+    """Rows (text, lang, {source: times}) as a task gets them."""
+    return pa.RecordBatch.from_pydict({
+        "lang": pa.array([lang for _, lang, _ in rows], pa.string()),
+        "text": pa.array([text.encode() for text, _, _ in rows], pa.binary()),
+        "copies": [[{"source": s, "times": n} for s, n in c.items()] for _, _, c in rows],
+    })
+
+
+def test_a_task_sends_a_term_once():
+    terms = ["abcdefghij"[k // 1_000] + "é" * (k // 100 % 10) + "x" * (k % 100) for k in range(10_000)]
+    text = " ".join(terms)
+    out = list(divergence._tally(iter([batch_of([(text, "en", {f"s{k}": 1}) for k in range(30)])])))
+    assert sum(b.num_rows for b in out) == 10_000
+    assert {len(f) for b in out for f in b.column("found").to_pylist()} == {30}
+
+
+def test_pieces_of_text_count_like_one(monkeypatch):
+    monkeypatch.setattr(divergence, "PIECE_BYTES", 40)
+    monkeypatch.setattr(divergence, "HELD_BYTES", 100)
+    pick = np.random.default_rng(6)
+    signs = list("aAzZ@[`{ \x00\x7f\x80éÉ日0_\n")
+    rows = [
+        ("".join(pick.choice(signs, int(pick.integers(0, 60)))), ["", "en"][k % 2],
+         {s: int(n) for s, n in zip("abé", pick.integers(1, 4, int(pick.integers(1, 4))))})
+        for k in range(200)
+    ] + [("", "en", {"a": 1}), ("end", "en", {"b": 2}), ("A" * 99, "en", {"b": 1})]
+    right = defaultdict(lambda: [0, 0])
+    for text, lang, copies in rows:
+        for term, k in Counter(TERM.findall(text.translate(LOWER))).items():
+            for source, times in copies.items():
+                cell = right[lang, term.encode(), source]
+                cell[0] += times
+                cell[1] += k * times
+    got = defaultdict(lambda: [0, 0])
+    for batch in divergence._tally(iter([batch_of(rows[:90]), batch_of(rows[90:])])):
+        for row in batch.to_pylist():
+            for s in row["found"]:
+                cell = got[row["lang"], row["term"], s["source"]]
+                cell[0] += s["documents"]
+                cell[1] += s["n"]
+    assert dict(got) == dict(right)
