@@ -145,8 +145,10 @@ def near_words(words: DataFrame) -> DataFrame:
     right = filed.where("role <> 1").selectExpr(
         "file", "role AS near_role", "word AS near", "n AS near_n"
     )
+    # Always a merge join: Spark sizes the files by the words they come from, of which each has 18 on
+    # either side, so it would broadcast hundreds of MB.
     pairs = (
-        left.join(right, "file")
+        left.join(right.hint("merge"), "file")
         .where("near_role = 2 * role AND (role = 1 OR word < near)")
         .where("levenshtein(word, near, 1) = 1")
         .select("word", "n", "near", "near_n")
@@ -165,10 +167,13 @@ def _roots(forms: DataFrame) -> DataFrame:
     Each round doubles the steps taken. A form is ``FORM_RATIO`` times as frequent as its word,
     so there are no rings, and few rounds.
     """
+    # Merge joins from here on: Spark sizes a stored table by its packed files, many times too low.
     now = stored(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         further = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        joined = stored(now.join(further, "root", "left").select("word", "root", "next"), "roots")
+        joined = stored(
+            now.join(further.hint("merge"), "root", "left").select("word", "root", "next"), "roots"
+        )
         now = joined.select("word", F.coalesce("next", "root").alias("root"))
         if joined.where("next IS NOT NULL").isEmpty():
             return now
@@ -195,7 +200,7 @@ def spelling_forms(
     )
     has_form = F.expr(f"-best.order >= {int(ratio)} * n")
     known = stored(
-        words.join(best, "word", "left").select(
+        words.join(best.hint("merge"), "word", "left").select(
             "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
             F.when(has_form, F.col("best.near")).alias("form"),
             F.when(has_form, -F.col("best.order")).alias("form_n"),
@@ -203,7 +208,7 @@ def spelling_forms(
         "word-forms",
     )
     roots = _roots(known.where("form IS NOT NULL"))
-    return known.join(roots, "word", "left").select(
+    return known.join(roots.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )
 

@@ -115,3 +115,14 @@ def test_odd_tables(spark):
         "doc_id long, text string, " + ", ".join(f"{n} string" for n in names),
     )
     assert found(spelling.spelling_forms(wide)) == brute(rows)
+
+
+def test_no_table_is_broadcast(spark):
+    """Spark sizes the files and the stored tables too low; a broadcast of them fills the driver."""
+    rows = made_rows(3, 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")
+    try:
+        assert found(spelling.spelling_forms(docs)) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
